@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbatica.llm import minhash_dedup
+from verbatica.llm import bpe, decontamination, minhash_dedup, quality, suffix_dedup
 from verbatica.llm.shared import cut
 from verbatica.session import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
-    ("near-duplicates", minhash_dedup.stage),
+    ("quality classifier", quality.stage),
+    ("MinHash near-dedup", minhash_dedup.stage),
+    ("suffix-array dedup", suffix_dedup.stage),
+    ("benchmark decontamination", decontamination.stage),
+    ("BPE encoding and decoding", bpe.stage),
 ]
 
 #: SQL can express neither the classifier nor the suffix arrays; the tests hold every stage against a brute-force version.

@@ -2,6 +2,17 @@
 
 from __future__ import annotations
 
-from . import minhash_dedup
+from . import bpe, decontamination, fingerprints, language, licenses, minhash_dedup, quality, sharding, suffix_dedup, url_filter
 
-QUERIES = {**minhash_dedup.QUERIES}
+QUERIES = {
+    **language.QUERIES,
+    **licenses.QUERIES,
+    **url_filter.QUERIES,
+    **fingerprints.QUERIES,
+    **quality.QUERIES,
+    **suffix_dedup.QUERIES,
+    **sharding.QUERIES,
+    **bpe.QUERIES,
+    **decontamination.QUERIES,
+    **minhash_dedup.QUERIES,
+}

@@ -144,8 +144,8 @@ def expand(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(total)
 
 
-def portions(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = MAX_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches of about ``most`` characters with their texts (null as empty)."""
+def portions(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = MAX_CHARS, rows: int = 1 << 30) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches of about ``most`` characters and at most so many rows, with their texts (null as empty)."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -153,7 +153,7 @@ def portions(batches: Iterable[pa.RecordBatch], text: str = "text", most: int =
         at = 0
         while at < batch.num_rows:
             texts, chars = [], 0
-            while at + len(texts) < batch.num_rows and (chars < most or not texts):
+            while at + len(texts) < batch.num_rows and len(texts) < rows and (chars < most or not texts):
                 value = column[at + len(texts)].as_py() or ""
                 texts.append(value)
                 chars += len(value)
