@@ -5,8 +5,8 @@ is one shingle; without words the set is empty and linked with nothing.  Two doc
 similarity of their sets is at least ``similarity``.
 
 1. Documents of equal sets form a class, named by its smallest doc_id; only representatives go on.
-2. Each representative carries 256 MinHash values as 32 band keys of 8 values, and an odd sketch: 512 parity bits, one
-   flipped by each MinHash value.  The XOR of two sketches estimates their similarity precisely where that is high.
+2. Each representative carries 1,024 MinHash values as an odd sketch: 2,048 parity bits, one flipped by each value; the first
+   256 also as 32 band keys of 8 values.  The XOR of two sketches estimates their similarity precisely where that is high.
 3. In each band bucket every member is compared with the bucket's smallest member only (a star, never all pairs).
    Survivors of the sketch are confirmed on their full sets; confirmed links give components.
 4. Buckets whose members still lie in several components are compared once more, across components only, in cells of
@@ -32,10 +32,11 @@ from .shared import components, cut, discard, parts, table
 from .textops import Words, expand, list_array, mix, not_blank, portions, window_hashes
 
 SHINGLE = 5
-HASHES, BANDS, SKETCH_BITS = 256, 32, 512
+#: MinHash values of a sketch and its bits; bands and the values of each.
+HASHES, SKETCH_BITS, BANDS, ROWS = 1024, 2048, 32, 8
 SIMILARITY = 0.85
-#: Estimates this far below the threshold refuse a pair: 5 standard deviations of 256 samples at 0.85, and sketch noise.
-SLACK = 0.13
+#: Estimates this far below the threshold refuse a pair: 5 standard deviations of 1,024 samples at 0.85, and sketch noise.
+SLACK = 0.07
 #: Members of a bucket that meet in one cell, on either side.
 CELL = 128
 
@@ -43,7 +44,7 @@ _rng = np.random.default_rng(20_25)
 _A = (_rng.integers(1 << 32, size=HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _rng.integers(1 << 32, size=HASHES, dtype=np.uint64).astype(np.uint32)
 _SALT = _rng.integers(1 << 63, size=HASHES, dtype=np.uint64)
-_BLOCK = 1 << 16
+_BLOCK = 1 << 15
 
 
 def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,9 +82,8 @@ def minhashes(sets: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def band_keys(mins: np.ndarray) -> np.ndarray:
-    rows = HASHES // BANDS
-    power = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(rows)], dtype=np.uint64)
-    keys = (mins.reshape(len(mins), BANDS, rows).astype(np.uint64) * power).sum(axis=2, dtype=np.uint64)
+    power = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(ROWS)], dtype=np.uint64)
+    keys = (mins[:, : BANDS * ROWS].reshape(len(mins), BANDS, ROWS).astype(np.uint64) * power).sum(axis=2, dtype=np.uint64)
     return mix(keys + mix(np.arange(1, BANDS + 1, dtype=np.uint64))).view(np.int64)
 
 
@@ -103,7 +103,7 @@ def most_odd(similarity: float) -> int:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in portions(batches, most=500_000):
+    for batch, texts in portions(batches, most=500_000, rows=1_000):
         sets, count = shingle_sets(texts)
         some = count > 0
         mins = minhashes(sets, count[some])
