@@ -28,7 +28,9 @@ from .textops import code_points, code_table, lower_table, mix, portions, runs,
 
 BUCKETS = 1 << 18
 #: Most labelled rows to learn from, about.
-SAMPLE, SHARDS, EPOCHS = 24_000, 8, 3
+SAMPLE, SHARDS, EPOCHS = 24_000, 16, 3
+#: Characters whose n-grams are in memory at once.
+PORTION = 200_000
 ALPHA, BETA, L1, L2, SCALE = 1.0, 1.0, 0.02, 0.05, 20.0
 THRESHOLD = 0.7
 
@@ -79,9 +81,17 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
     """Weights (the last is the bias) after the updates over the texts in the order given."""
-    buckets, n = features(texts)
-    first = np.concatenate(([0], np.cumsum(n * 5)))
-    rows = [np.unique(buckets[first[d] : first[d + 1]], return_counts=True) for d in range(len(texts))]
+    rows: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(rows) < len(texts):  # a few texts at a time, as their n-grams take far more room than what is kept
+        some, chars = [], 0
+        while len(rows) + len(some) < len(texts) and (chars < PORTION or not some):
+            some.append(texts[len(rows) + len(some)])
+            chars += len(some[-1])
+        buckets, n = features(some)
+        first = np.concatenate(([0], np.cumsum(n * 5)))
+        for d in range(len(some)):
+            at, count = np.unique(buckets[first[d] : first[d + 1]], return_counts=True)
+            rows.append((at.astype(np.int32), count.astype(np.int32)))
     z, g2, w = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     for _ in range(epochs):
         for (at, count), y in zip(rows, labels, strict=True):
@@ -129,7 +139,7 @@ def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value
-        for batch, texts in portions(batches, most=500_000):
+        for batch, texts in portions(batches, most=PORTION):
             buckets, n = features(texts)
             running = np.concatenate(([0.0], np.cumsum(w[buckets], dtype=np.float64)))
             first = np.concatenate(([0], np.cumsum(n * 5)))
