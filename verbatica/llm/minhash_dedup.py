@@ -10,7 +10,7 @@ similarity of their sets is at least ``similarity``.
 3. In each band bucket every member is compared with the bucket's smallest member only (a star, never all pairs).
    Survivors of the sketch are confirmed on their full sets; confirmed links give components.
 4. Buckets whose members still lie in several components are compared once more, across components only, in cells of
-   bounded size: sketches meet in blocks inside a task, so pairs below the estimate never become rows.
+   bounded size: sketches and sets meet in blocks inside a task, so no pair becomes a row but a link that joins components.
 5. The links of both rounds give the final components.  Pairs inside one component need no row: they change nothing.
 
 A pair at the threshold shares a band with probability 1 - (1 - 0.85**8)**32 > 0.9999; a sketch estimate is taken as a
@@ -129,41 +129,58 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cells(similarity: float):
-    """Pairs of different components whose sketches agree, from rows sorted by cell."""
-    most = most_odd(similarity)
-
-    def meet(frame: dict) -> tuple[np.ndarray, np.ndarray]:
-        left, right = np.flatnonzero(frame["block"] == frame["i"]), np.flatnonzero(frame["block"] == frame["j"])
-        words, n, comp, ident = frame["sketch"], frame["n"], frame["comp"], frame["id"]
-        x = np.bitwise_count(words[left][:, None, :] ^ words[right][None, :, :]).sum(axis=2, dtype=np.int32)
-        ok = (x <= most) & (comp[left][:, None] != comp[right][None, :]) & (ident[left][:, None] != ident[right][None, :])
+    """Links (a, b) between members of different components, from rows sorted by cell.
+
+    Two blocks of a bucket meet.  Pairs whose sketches agree are confirmed on their full sets, the likeliest first; a pair
+    whose components a link of this cell has joined already is passed over, so a cell gives fewer links than it has rows.
+    """
+    most, percent = most_odd(similarity), round(100 * similarity)
+
+    def meet(f: dict, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        left, right = np.flatnonzero(f["block"] == f["i"][0]), np.flatnonzero(f["block"] == f["j"][0])
+        words, n, comp, ident = f["sketch"], f["n"], f["comp"], f["id"]
+        apart = np.bitwise_count(words[left][:, None, :] ^ words[right][None, :, :]).sum(axis=2, dtype=np.int32)
+        ok = (apart <= most) & (comp[left][:, None] != comp[right][None, :])
         small, large = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
-        ok &= small >= similarity * large - 1e-9
+        ok &= 100 * small >= percent * large
         p, q = np.nonzero(ok)
-        p, q = ident[left[p]], ident[right[q]]
-        return np.minimum(p, q), np.maximum(p, q)
+        order = np.argsort(apart[p, q], kind="stable")
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                x = up
+            return x
+
+        links = []
+        for x, y in zip(left[p[order]].tolist(), right[q[order]].tolist(), strict=True):
+            u, v = find(int(comp[x])), find(int(comp[y]))
+            if u == v:
+                continue
+            shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * shared >= percent * (len(sets[x]) + len(sets[y]) - shared):
+                root[max(u, v)] = min(u, v)
+                links.append((int(ident[x]), int(ident[y])))
+        return links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
 
-        def emit(whole: pa.Table | pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        def emit(whole: pa.Table) -> Iterator[pa.RecordBatch]:
             if not whole.num_rows:
                 return
-            col = {k: whole.column(whole.schema.get_field_index(k)) for k in whole.schema.names}
-            flat = col["sketch"].combine_chunks() if isinstance(col["sketch"], pa.ChunkedArray) else col["sketch"]
-            f = {k: np.asarray(col[k]) for k in ("bucket", "i", "j", "block", "id", "comp", "n")}
-            f["sketch"] = np.asarray(flat.flatten()).reshape(whole.num_rows, -1).view(np.uint64)
+            one = whole.combine_chunks().to_batches()[0]
+            f = {k: np.asarray(one.column(k)) for k in ("bucket", "i", "j", "block", "id", "comp", "n")}
+            f["sketch"] = np.asarray(one.column("sketch").flatten()).reshape(one.num_rows, -1).view(np.uint64)
+            flat, at = np.asarray(one.column("set").flatten()), np.concatenate(([0], np.cumsum(np.asarray(one.column("set").value_lengths()))))
             change = (f["bucket"][1:] != f["bucket"][:-1]) | (f["i"][1:] != f["i"][:-1]) | (f["j"][1:] != f["j"][:-1])
-            edge = np.concatenate(([0], np.flatnonzero(change) + 1, [whole.num_rows]))
-            got = []
+            edge = np.concatenate(([0], np.flatnonzero(change) + 1, [one.num_rows]))
+            links = []
             for s, e in zip(edge[:-1], edge[1:], strict=True):
-                if e - s < 2:
-                    continue
-                g = {k: v[s:e] for k, v in f.items()}
-                g["i"], g["j"] = g["i"][0], g["j"][0]
-                got.append(meet(g))
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in got])) for k in (0, 1)], names=["a", "b"])
+                if e - s > 1:
+                    links += meet({k: v[s:e] for k, v in f.items()}, [flat[at[r] : at[r + 1]] for r in range(s, e)])
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -173,18 +190,22 @@ def _cells(similarity: float):
             key = [np.asarray(whole.column(k)) for k in ("bucket", "i", "j")]
             last = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in key]))
             keep = int(last[-1]) + 1 if len(last) else 0
-            yield from emit(whole.slice(0, keep).combine_chunks())
+            yield from emit(whole.slice(0, keep))
             rest = whole.slice(keep)
         if rest is not None:
-            yield from emit(rest.combine_chunks())
+            yield from emit(rest)
 
     return run
 
 
+def _sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, set) of the documents that ids (id) names."""
+    return texts.join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_full_sets, "id long, set array<long>")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_full_sets, "id long, set array<long>")
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), texts)
     both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b"))
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -222,15 +243,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     at = banded.join(found.select(F.col("node").alias("id"), F.col("component")), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
     mixed = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("bucket", "size")
     blocks = F.ceil(F.col("size") / CELL).cast("int")
-    near = (at.join(mixed, "bucket").withColumn("blocks", blocks)
-            .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    open_ = cut(at.join(mixed, "bucket"), "open")
+    whole = sketch.join(_sets_of(open_, texts), "id")
+    near = (open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp")
-            .join(sketch, "id"))
-    pairs = (near.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-             .select("bucket", "i", "j", "block", "id", "comp", "n", "sketch").mapInArrow(_cells(similarity), "a long, b long").distinct()
-             .join(likely, ["a", "b"], "left_anti"))
-    second = _confirmed(cut(pairs, "pairs"), texts, similarity)
+            .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp").join(whole, "id"))
+    second = (near.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+              .select("bucket", "i", "j", "block", "id", "comp", "n", "sketch", "set").mapInArrow(_cells(similarity), "a long, b long"))
     final = components(first.union(second))
     linked = member.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
