@@ -6,7 +6,7 @@ the marks themselves, or a repeat of the token before.  A text's value in a buck
 n-grams, so its score is one sparse dot product whatever its length.
 
 Training takes a bounded sample: at most about ``SAMPLE`` labelled rows, chosen by a hash of the id.  The sampled ids are
-broadcast (bounded by the same number) to find their texts, which go to ``SHARDS`` groups of bounded size; each group runs
+broadcast (bounded by the same number) to find their texts, which go to groups of about ``SHARD`` rows; each group runs
 the updates in an order hashed from the ids, and the groups' weights are averaged.  Scoring reads all texts and shuffles
 nothing; the weights are 1 MB.
 
@@ -23,12 +23,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import fold_of, table
+from .shared import cut, fold_of, table
 from .textops import code_points, code_table, lower_table, mix, portions, runs, token_hashes
 
 BUCKETS = 1 << 18
-#: Most labelled rows to learn from, about.
-SAMPLE, SHARDS, EPOCHS = 24_000, 16, 3
+#: Most labelled rows to learn from, about; and rows that one task learns from, about.
+SAMPLE, SHARD, EPOCHS = 24_000, 1_500, 3
 #: Characters whose n-grams are in memory at once.
 PORTION = 200_000
 ALPHA, BETA, L1, L2, SCALE = 1.0, 1.0, 0.02, 0.05, 20.0
@@ -116,19 +116,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     if ones in (0, n):
         return weights
     share = int(min(1.0, sample / n) * 1_000_000)
+    groups = max(1, round(min(n, sample) / SHARD))
+    shard = F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(groups))
     chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < share)
-    taken = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(SHARDS)))
+    taken = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("shard", shard)
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.assign(turn=pd.util.hash_array(frame.doc_id.to_numpy())).sort_values(["turn", "text"])
         w = train(frame.text.fillna("").tolist(), frame.y.to_numpy(float))
-        at = np.flatnonzero(w)
+        at = np.union1d(np.flatnonzero(w), [BUCKETS])
         return pd.DataFrame({"bucket": at, "w": w[at]})
 
     trained = taken.select("shard", "doc_id", "text", "y").groupBy("shard").applyInPandas(one, "bucket long, w double")
-    shards = chosen.select(F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(SHARDS))).distinct().count()
+    trained = cut(trained, "weights")
+    learners = trained.where(F.col("bucket") == BUCKETS).count()  # each has a bias
     for row in trained.groupBy("bucket").agg(F.sum("w").alias("w")).toLocalIterator():
-        weights[row["bucket"]] = row["w"] / shards
+        weights[row["bucket"]] = row["w"] / max(1, learners)
     return weights
 
 
