@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .shared import table
 from .textops import portions
@@ -170,7 +171,7 @@ def decoded(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """tokens with the text of packed ids, as decoded_text; a null array has a null text, ids not in the file are left out."""
     with open(path, encoding="utf-8") as file:
         held = tokens.sparkSession.sparkContext.broadcast(file.read())
-    schema = tokens.schema.add("decoded_text", "string")
+    schema = StructType([*tokens.schema.fields, StructField("decoded_text", StringType())])
     place = tokens.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

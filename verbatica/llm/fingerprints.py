@@ -36,6 +36,7 @@ LEVELS, BINS = (2, 3, 4, 5), 32
 RANGES, MOST_RANGES = 4, 100_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LEAST_ID = -(1 << 63)
+_COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def _toss(s: np.ndarray, head: np.ndarray) -> np.ndarray:
@@ -163,7 +164,9 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     spark, n = docs.sparkSession, parts(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_ID)).alias("ord"), F.coalesce("text", F.lit("")).alias("text"))
     ranges = min(RANGES * n, MOST_RANGES)
-    cuts = rows.agg(F.percentile_approx("ord", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
+    cuts = rows.agg(F.percentile_approx("ord", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
+    if not cuts:
+        return spark.createDataFrame([], _COMPARED)
     splits = [-float("inf"), *sorted({float(c) for c in cuts}), float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol="at", outputCol="range")
 
@@ -171,16 +174,13 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
         return bucketed.transform(df.withColumn("at", F.col("ord").cast("double"))).withColumn("range", -F.col("range").cast("int")).drop("at")
 
     heads = sorted((r["range"], r["ord"]) for r in ranged(rows.select("ord")).groupBy("range").agg(F.max("ord").alias("ord")).collect())
-    if not heads:
-        return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     # the first row of each range also closes the range before it (of the first range: the last)
     closes = [(heads[i][1], heads[i - 1][0]) for i in range(len(heads))]
     closing = F.broadcast(spark.createDataFrame(closes, "ord long, range int"))
     copies = rows.join(closing, "ord").groupBy("range", "ord").agg(F.min("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "ord", "text", "range", F.lit(True).alias("copy"))
     every = ranged(rows).withColumn("copy", F.lit(False)).unionByName(copies)
     dealt = every.repartition(n, "range").sortWithinPartitions("range", "copy", F.desc("ord"), "text")
-    return dealt.select("doc_id", "text", "copy").mapInArrow(
-        _compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.select("doc_id", "text", "copy").mapInArrow(_compared, _COMPARED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

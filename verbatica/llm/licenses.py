@@ -2,9 +2,9 @@
 
 Words are lower-cased runs of letters and digits.  Of the hashes of 3 words each template keeps the smaller of any two in a
 row; the inverted index from such a hash to templates and places is broadcast (its size depends on the templates only).
-Documents are winnowed alike, so a copied stretch of at least 4 words of a template gives a hit.  Hits whose diagonals lie within
-``BAND`` of each other make one candidate; the template is aligned with the words there, within the band, for the longest
-common subsequence.  A candidate is reported if at least ``COVERAGE`` of the template's words match, with its span in the text.
+Documents are winnowed alike, so a copied stretch of at least 4 words of a template gives a hit.  From the first hit that no
+match covers yet the template is aligned with the words there, within ``BAND`` of the hit's diagonal, for the longest common
+subsequence.  A candidate is reported if at least ``COVERAGE`` of the template's words match, with its span in the text.
 
 Every document is scanned whole, in the partition where it lies; nothing is shuffled.  A text may give several rows, one for
 each place; a null or empty text gives none.  Templates without words are refused; templates of fewer than 4 words need an exact hit.
@@ -64,22 +64,24 @@ def winnowed(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def aligned(template: np.ndarray, words: np.ndarray, offset: int, band: int = BAND) -> tuple[int, int, int]:
-    """Longest common subsequence within band of the diagonal word = place + offset: (matches, first word, last word + 1)."""
-    best: dict[int, tuple[int, int, int]] = {}  # by word: matches, minus the first word, end; over the rows so far
+    """Longest common subsequence within band of the diagonal word = place + offset: (matches, first word, last word + 1).
+
+    Of equally long ones that which ends first, then that which begins last.
+    """
+    best: dict[int, tuple[int, int, int]] = {}  # by word: matches, minus the end, first word; over the rows so far
     for i, t in enumerate(template.tolist()):
         lo, hi = max(0, i + offset - band), min(len(words), i + offset + band + 1)
         row: dict[int, tuple[int, int, int]] = {}
-        run = best.get(lo - 1, (0, 0, 0))
+        run = row[lo - 1] = best.get(lo - 1, (0, 0, 0))
         for j in range(lo, hi):
-            options = [run, best.get(j, (0, 0, 0))]
+            here = max(run, best.get(j, (0, 0, 0)))
             if words[j] == t:
-                m, s, _ = best.get(j - 1, (0, 0, 0))
-                options.append((m + 1, s if m else -j, j + 1))
-            run = row[j] = max(options)
-        row[lo - 1] = best.get(lo - 1, (0, 0, 0))
+                m, _, first = best.get(j - 1, (0, 0, 0))
+                here = max(here, (m + 1, -j - 1, first if m else j))
+            run = row[j] = here
         best = row
-    m, s, e = max(best.values(), default=(0, 0, 0))
-    return m, -s, e
+    m, end, first = max(best.values(), default=(0, 0, 0))
+    return m, first, -end
 
 
 class Index:
@@ -106,29 +108,24 @@ def matches(index: Index, texts: list[str]) -> list[tuple[int, str, float, int,
     near = np.minimum(np.searchsorted(index.hash, h), len(index.hash) - 1)
     hit = np.flatnonzero(index.hash[near] == h)
     doc = np.searchsorted(first, place[hit], side="right") - 1
-    seeds: dict[tuple[int, int], list[int]] = {}
+    seeds: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for d, p, key in zip(doc.tolist(), place[hit].tolist(), h[hit].tolist(), strict=True):
         for t, q in index.at[key]:
-            seeds.setdefault((d, t), []).append(p - int(first[d]) - q)
+            seeds.setdefault((d, t), []).append((p - int(first[d]), q))
     out = []
-    for (d, t), diagonals in sorted(seeds.items()):
-        own, template = words[first[d] : first[d + 1]], index.words[t]
-        groups: list[list[int]] = []
-        for x in sorted(diagonals):
-            if groups and x - groups[-1][-1] <= BAND:
-                groups[-1].append(x)
+    for (d, t), places in sorted(seeds.items()):
+        own, template, base = words[first[d] : first[d + 1]], index.words[t], int(text_start[d])
+        stop, refused = 0, None  # the end of the last match; the diagonal that was last refused, and as far as it went
+        for p, q in sorted(places):
+            if p < stop or refused and abs(p - q - refused[0]) <= BAND // 2 and p < refused[1]:
+                continue
+            lo = max(stop, p - q - BAND)
+            m, s, e = aligned(template, own[lo : p - q + len(template) + BAND], p - q - lo)
+            if m >= COVERAGE * len(template):
+                stop = lo + e
+                out.append((d, index.names[t], m / len(template), m, int(start[first[d] + lo + s]) - base, int(end[first[d] + lo + e - 1]) - base))
             else:
-                groups.append([x])
-        told = set()
-        for group in groups:
-            # a wide group holds several places; each is aligned on its own diagonal
-            for centre in sorted({group[0] + (x - group[0]) // BAND * BAND for x in group}):
-                lo = max(0, centre - 2 * BAND)
-                m, s, e = aligned(template, own[lo : centre + len(template) + 3 * BAND], centre - lo, 2 * BAND)
-                if m >= COVERAGE * len(template) and (lo + s, lo + e) not in told:
-                    told.add((lo + s, lo + e))
-                    base = int(text_start[d])
-                    out.append((d, index.names[t], m / len(template), m, int(start[first[d] + lo + s]) - base, int(end[first[d] + lo + e - 1]) - base))
+                refused = (p - q, p - q + len(template))
     return out
 
 
