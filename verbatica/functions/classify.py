@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Keywords of halls; the first of equal scores wins.
 HALLS = {
@@ -141,17 +141,23 @@ def sentiment(text: Column) -> Column:
     return F.when(good > bad, "positive").when(bad > good, "negative").otherwise("neutral")
 
 
-def memory_type(prose: Column, least: float = 0.3) -> Column:
-    """(type, confidence) of a segment, or null: too short, without a marker, or not sure enough."""
-    scores = marker_scores(prose)
-    top = F.greatest(*scores.values())
-    bonus = F.when(F.char_length(prose) > 500, 2).when(F.char_length(prose) > 200, 1).otherwise(0)
-    confidence = F.least(F.lit(1.0), (top + bonus) / 5.0)
-    feeling, over = sentiment(prose), F.lower(prose).rlike("|".join(RESOLVED))
-    first = _best(scores, "none")
-    named = (F.when((first == "problem") & over, F.when((scores["emotional"] > 0) & (feeling == "positive"), "emotional").otherwise("milestone"))
-             .when((first == "problem") & (feeling == "positive"), F.when(scores["milestone"] > 0, "milestone").when(scores["emotional"] > 0, "emotional").otherwise("problem")).otherwise(first))
-    return F.when((F.char_length(F.trim(prose)) >= 20) & (top > 0) & (confidence >= least), F.struct(named.alias("type"), confidence.alias("confidence")))
+def memory_types(df: DataFrame, text: str = "text", least: float = 0.3) -> DataFrame:
+    """df with memory_type and confidence of a segment; null if it is too short, has no marker, or is not sure enough.
+
+    Scores are columns of their own, so each pattern runs once a row.
+    """
+    at = df.withColumn("__prose", prose_lines(F.col(text)))
+    at = at.withColumns({f"__{name}": score for name, score in marker_scores(F.col("__prose")).items()})
+    scores = {name: F.col(f"__{name}") for name in MEMORY_TYPES}
+    at = at.withColumns({"__feeling": sentiment(F.col("__prose")), "__over": F.lower("__prose").rlike("|".join(RESOLVED)), "__first": _best(scores, "none"), "__top": F.greatest(*scores.values())})
+    size = F.char_length(text)
+    confidence = F.least(F.lit(1.0), (F.col("__top") + F.when(size > 500, 2).when(size > 200, 1).otherwise(0)) / 5.0)
+    problem, good = F.col("__first") == "problem", F.col("__feeling") == "positive"
+    named = (F.when(problem & F.col("__over"), F.when((F.col("__emotional") > 0) & good, "emotional").otherwise("milestone"))
+             .when(problem & good, F.when(F.col("__milestone") > 0, "milestone").when(F.col("__emotional") > 0, "emotional").otherwise("problem")).otherwise(F.col("__first")))
+    told = (F.char_length(F.trim(text)) >= 20) & (F.col("__top") > 0) & (confidence >= least)
+    out = at.withColumns({"memory_type": F.when(told, named), "confidence": F.when(told, confidence)})
+    return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
 def prose_lines(text: Column) -> Column:

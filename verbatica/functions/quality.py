@@ -37,7 +37,7 @@ ACTORS = r"\b(user|admin|system|customer|client|operator|manager|developer|teste
 OBJECTS = r"\b(data|information|record|entry|item|element|file|document|report|form|template|message|notification|alert|email|request|user|account|profile|session|credential|input|output|response|result|value)\b"
 OUTCOMES = r"(returns?|displays?|shows?|generates?|sends?|stores?|becomes?|transitions?\s+to|changes?\s+to|results?\s+in)\s+\w+"
 TRIGGERS = r"\b(if|when|unless|given|after|before|upon|in case|provided|assuming|whenever)\b"
-PASSIVE = r"\b(is|are|was|were|be|been|being)\b( by |.* by |\s+\w+(ed|en)\b)"
+BE = r"\b(is|are|was|were|be|been|being)\b"
 REQUIREMENT_ID = r"(?:[A-Z]+-)?(?:FR|REQ|NFR|AC|SC)-\d+"
 #: Ideals and weights of the metrics, and weights of the categories.
 IDEALS = {"flesch_kincaid_grade": 10.0, "gunning_fog_index": 12.0, "smog_index": 12.0, "coleman_liau_index": 10.0, "automated_readability_index": 10.0}
@@ -98,7 +98,7 @@ def requirements(text: Column) -> Column:
     ident = r"(?:[A-Z]+-)?(?:FR|REQ|NFR)-\d+"
     some = lambda a: F.filter(F.transform(a, F.trim), lambda s: s != "")
     marked = some(F.regexp_extract_all(text, F.lit(rf"(?s)(?:^|\n)\s*{ident}\s*[:\-]?\s*(.+?)(?=\n\s*{ident}|\z)"), F.lit(1)))
-    binding = F.filter(some(F.regexp_extract_all(text, F.lit(r"(?i)([^.!?\n]*\b(?:shall|must)\b[^.!?\n]*[.!?])"), F.lit(1))), lambda s: F.char_length(s) > 10)
+    binding = F.filter(some(F.regexp_extract_all(text, F.lit(r"([^.!?\n]++[.!?])"), F.lit(1))), lambda s: (F.char_length(s) > 10) & s.rlike(r"(?i)\b(shall|must)\b"))
     plain = F.filter(some(F.split(text, r"[.!?]+\s+")), lambda s: F.char_length(s) > 20)
     return F.when(F.size(marked) > 0, marked).when(F.size(binding) > 0, binding).otherwise(plain)
 
@@ -115,53 +115,71 @@ def _of(array: Column, held: list[str]) -> Column:
     return F.size(F.filter(array, lambda w: w.isin(held)))
 
 
-def metrics(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with 34 scores of 0 to 1, a mean for each of the seven categories, and overall_weighted_average."""
-    c = readability(df, text).withColumn("__r", F.transform(requirements(F.col(text)), F.lower)).withColumn("__w", words(F.col(text)))
-    n = F.size("__r").cast("double")
-    safe = F.greatest(n, F.lit(1.0))
-    share = lambda test: F.size(F.filter("__r", test)) / safe
-    total = lambda f: F.aggregate(F.transform("__r", f), F.lit(0), lambda a, x: a + x).cast("double")
+def requirement_flags(r: Column) -> dict[str, Column]:
+    """What each requirement (in lower case) has, as numbers to sum."""
     action = r"\b(" + "|".join(ACTIONS) + r")(s|es|d|ed|ing)?\b"
+    guard, acts, shown = r.rlike("|".join(CONDITION)), r.rlike(action), r.rlike("|".join(OBSERVABLE))
+    tests = {
+        "atomic": F.size(F.filter(F.split(r, r"\s+"), lambda w: w.isin(COORDINATING))) == 0,
+        "whole": r.rlike(ACTORS) & r.rlike(action + r"[^\n]*?\w{3,}"), "passive": r.rlike(BE) & (r.contains(" by ") | r.rlike(BE + r"\s+\w+(ed|en)\b")),
+        "vague": F.concat(F.lit(" "), r, F.lit(" ")).rlike(" (" + "|".join(PRONOUNS) + ") "),
+        "actor": r.rlike(ACTORS), "action": r.rlike("|".join(ACTIONS)), "object": r.rlike(OBJECTS), "outcome": r.rlike(OUTCOMES), "trigger": r.rlike(TRIGGERS),
+        "guarded": guard, "moves": guard & acts, "complete": guard & acts & shown, "shown": shown,
+    }
+    numbers = {name: F.coalesce(test.cast("int"), F.lit(0)) for name, test in tests.items()}
+    numbers |= {m: F.regexp_count(r, F.lit(f" {m} ")) for m in MODALS}
+    numbers |= {"hard": _count(r, HARD), "soft": _held(r, SOFT), "negative": _count(r, NEGATIVE)}
+    numbers["branches"] = reduce(lambda a, b: a + b, [r.rlike(p).cast("int") for p in CONDITION])
+    numbers["errors"] = reduce(lambda a, b: a + b, [r.rlike(p).cast("int") for p in ERRORS])
+    return numbers
+
+
+def metrics(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """df with 34 scores of 0 to 1, a mean for each of the seven categories, and overall_weighted_average.
+
+    Requirements become rows, are measured by compiled expressions, and are summed by the key (which must be unique); only
+    numbers are shuffled.
+    """
+    rows = df.select(key, F.explode(requirements(F.col(text))).alias("__r")).withColumn("__r", F.lower("__r"))
+    names = list(requirement_flags(F.col("__r")))
+    sums = rows.select(key, *[c.alias(f"__{n}") for n, c in requirement_flags(F.col("__r")).items()]).groupBy(key).agg(F.count("*").alias("__n"), *[F.sum(f"__{n}").alias(f"__{n}") for n in names])
+    c = readability(df, text).withColumn("__w", words(F.col(text)))
+    held = {"coordination": COORDINATING, "subordination": SUBORDINATING, "negation": NEGATIONS, "conditional": CONDITIONALS}
+    c = c.withColumns({f"__{n}s": _of(F.col("__w"), v) for n, v in held.items()} | {
+        "__concepts": F.size(F.array_distinct(F.filter("__w", lambda x: F.char_length(x) > 4))).cast("double"),
+        "__exempt": F.regexp_count(F.lower(text), F.lit(r"\b(shall|must|should|will)\s+not\b")), "__ids": F.regexp_extract_all(text, F.lit(f"({REQUIREMENT_ID})"), F.lit(1))}).drop("__w")
+    c = c.join(sums, key, "left").fillna(0, subset=["__n", *[f"__{n}" for n in names]])
+    n = F.col("__n").cast("double")
+    safe = F.greatest(n, F.lit(1.0))
+    total = {name: F.col(f"__{name}").cast("double") for name in names}
+    share = {name: total[name] / safe for name in names}
     clip = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     score: dict[str, Column] = {"flesch_reading_ease_score": clip(1 - F.abs(F.col("flesch_reading_ease") - 65) / 100)}
     for name, ideal in IDEALS.items():
         score[name + "_score"] = clip(1 - F.abs(F.col(name) - ideal) / (2 * ideal))
-    score["atomicity_score"] = share(lambda r: F.size(F.filter(F.split(r, r"\s+"), lambda w: w.isin(COORDINATING))) == 0)
-    score["completeness_score"] = share(lambda r: r.rlike(ACTORS) & r.rlike(action) & r.rlike(action + r".*\w{3,}"))
-    score["passive_voice_ratio"] = 1 - share(lambda r: r.rlike(PASSIVE))
-    score["ambiguous_pronoun_ratio"] = 1 - share(lambda r: F.concat(F.lit(" "), r, F.lit(" ")).rlike(" (" + "|".join(PRONOUNS) + ") "))
-    modal = {m: total(lambda r, m=m: F.regexp_count(r, F.lit(f" {m} "))) for m in MODALS}
-    strength, modals = reduce(lambda a, b: a + b, [modal[m] * v for m, v in MODALS.items()]), reduce(lambda a, b: a + b, modal.values())
-    score["modal_strength"] = F.when(n == 0, 0.0).when(modals == 0, 0.5).otherwise(strength / modals)
+    strength, modals = reduce(lambda a, b: a + b, [total[m] * v for m, v in MODALS.items()]), reduce(lambda a, b: a + b, [total[m] for m in MODALS])
+    score |= {"atomicity_score": share["atomic"], "completeness_score": share["whole"], "passive_voice_ratio": F.when(n > 0, 1 - share["passive"]).otherwise(1.0), "ambiguous_pronoun_ratio": F.when(n > 0, 1 - share["vague"]).otherwise(1.0),
+              "modal_strength": F.when(n == 0, 0.0).when(modals == 0, 0.5).otherwise(strength / modals)}
     w, s = F.greatest(F.col("n_words"), F.lit(1)).cast("double"), F.greatest(F.col("n_sentences"), F.lit(1)).cast("double")
-    concepts = F.size(F.array_distinct(F.filter("__w", lambda x: F.char_length(x) > 4))).cast("double")
-    coordination, subordination = _of(F.col("__w"), COORDINATING), _of(F.col("__w"), SUBORDINATING)
-    base = F.greatest(F.floor(w / s * (coordination + subordination + 1)), F.lit(1)).cast("double")
-    negation = F.greatest(F.lit(0), _of(F.col("__w"), NEGATIONS) - F.regexp_count(F.lower(text), F.lit(r"\b(shall|must|should|will)\s+not\b")))
-    score |= {"sentence_length": clip(1 - F.abs(w / s - 20) / 20), "syllable_complexity": clip(1 - F.abs(F.col("n_syllables") / w - 1.5) / 1.5),
-              "concept_density": clip(1 - F.abs(concepts / w - 0.2) / 0.2), "coordination_complexity": clip(1 - coordination / base / 0.1),
-              "subordination_complexity": clip(1 - subordination / base / 0.1), "negation_load": clip(1 - negation / base / 0.05), "conditional_load": clip(1 - _of(F.col("__w"), CONDITIONALS) / base / 0.1)}
-    score |= {"actor_presence": share(lambda r: r.rlike(ACTORS)), "action_presence": share(lambda r: _held(r, ACTIONS) > 0), "object_presence": share(lambda r: r.rlike(OBJECTS)),
-              "outcome_presence": share(lambda r: r.rlike(OUTCOMES)), "trigger_presence": share(lambda r: r.rlike(TRIGGERS))}
-    score["scc_score"] = (score["actor_presence"] + score["action_presence"] + score["object_presence"] + score["outcome_presence"] + 0.7 * score["trigger_presence"]) / 4.7
-    hard, soft, negative = total(lambda r: _count(r, HARD)), total(lambda r: _held(r, SOFT)), total(lambda r: _count(r, NEGATIVE))
-    score |= {"hard_constraint_ratio": F.when(hard + soft > 0, hard / (hard + soft)).otherwise(0.0), "constraint_density": 1 - F.exp(-2 * (hard + soft) / safe), "negative_space_coverage": 1 - F.exp(-5 * negative / safe)}
-    guards = "|".join(CONDITION)
-    moves, whole = share(lambda r: r.rlike(guards) & r.rlike(action)) * safe, share(lambda r: r.rlike(guards) & r.rlike(action) & (_held(r, OBSERVABLE) > 0)) * safe
-    branches = total(lambda r: reduce(lambda a, b: a + b, [r.rlike(p).cast("int") for p in CONDITION]))
-    errors = total(lambda r: reduce(lambda a, b: a + b, [r.rlike(p).cast("int") for p in ERRORS]))
+    base = F.greatest(F.floor(w / s * (F.col("__coordinations") + F.col("__subordinations") + 1)), F.lit(1)).cast("double")
+    score |= {"sentence_length": clip(1 - F.abs(w / s - 20) / 20), "syllable_complexity": clip(1 - F.abs(F.col("n_syllables") / w - 1.5) / 1.5), "concept_density": clip(1 - F.abs(F.col("__concepts") / w - 0.2) / 0.2),
+              "coordination_complexity": clip(1 - F.col("__coordinations") / base / 0.1), "subordination_complexity": clip(1 - F.col("__subordinations") / base / 0.1),
+              "negation_load": clip(1 - F.greatest(F.lit(0), F.col("__negations") - F.col("__exempt")) / base / 0.05), "conditional_load": clip(1 - F.col("__conditionals") / base / 0.1)}
+    score |= {f"{role}_presence": share[role] for role in ("actor", "action", "object", "outcome", "trigger")}
+    score["scc_score"] = (share["actor"] + share["action"] + share["object"] + share["outcome"] + 0.7 * share["trigger"]) / 4.7
+    found = total["hard"] + total["soft"]
+    score |= {"hard_constraint_ratio": F.when(found > 0, total["hard"] / found).otherwise(0.0), "constraint_density": 1 - F.exp(-2 * found / safe), "negative_space_coverage": 1 - F.exp(-5 * share["negative"])}
     target = F.log(F.lit(7.0)) + 0.5 * F.log(F.lit(4.0))
-    score |= {"scenario_decomposition_score": 1 - F.exp(-3 * share(lambda r: r.rlike(guards))), "transition_completeness_score": F.when(moves > 0, whole / moves).otherwise(0.0),
-              "branch_coverage_score": F.when(branches > 0, F.least((F.log1p(branches) + 0.5 * F.log1p(errors)) / target, F.lit(1.0))).otherwise(0.0), "observability_score": share(lambda r: _held(r, OBSERVABLE) > 0)}
-    refs = F.greatest(F.lit(0), F.size(F.regexp_extract_all(text, F.lit(f"({REQUIREMENT_ID})"), F.lit(1))) - F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({REQUIREMENT_ID})"), F.lit(1)))))
-    score |= {"requirement_volume_score": F.least(F.lit(1.0), F.log1p(n) / F.log(F.lit(201.0))), "coverage_density": F.when(n > 0, 1 - F.exp(-n / F.greatest(concepts, F.lit(1.0)) / 3)).otherwise(0.0),
-              "cross_reference_index": 1 - F.exp(-refs / safe)}
+    score |= {"scenario_decomposition_score": 1 - F.exp(-3 * share["guarded"]), "transition_completeness_score": F.when(total["moves"] > 0, total["complete"] / total["moves"]).otherwise(0.0),
+              "branch_coverage_score": F.when(total["branches"] > 0, F.least((F.log1p(total["branches"]) + 0.5 * F.log1p(total["errors"])) / target, F.lit(1.0))).otherwise(0.0), "observability_score": share["shown"]}
+    references = (F.size("__ids") - F.size(F.array_distinct("__ids"))).cast("double")
+    score |= {"requirement_volume_score": F.least(F.lit(1.0), F.log1p(n) / F.log(F.lit(201.0))), "coverage_density": F.when(n > 0, 1 - F.exp(-n / F.greatest(F.col("__concepts"), F.lit(1.0)) / 3)).otherwise(0.0),
+              "cross_reference_index": 1 - F.exp(-references / safe)}
     c = c.withColumns(score)
     named = {cat: {k if k in score else k + "_score": v for k, v in per.items()} for cat, per in WEIGHTS.items()}
-    means = {cat + "_average": reduce(lambda a, b: a + b, [F.col(k) * v for k, v in per.items()]) / sum(per.values()) for cat, per in named.items()}
-    c = c.withColumns(means)
-    return c.withColumn("overall_weighted_average", reduce(lambda a, b: a + b, [F.col(cat + "_average") * v for cat, v in CATEGORIES.items()])).drop("__r", "__w")
+    c = c.withColumns({cat + "_average": reduce(lambda a, b: a + b, [F.col(k) * v for k, v in per.items()]) / sum(per.values()) for cat, per in named.items()})
+    c = c.withColumn("overall_weighted_average", reduce(lambda a, b: a + b, [F.col(cat + "_average") * v for cat, v in CATEGORIES.items()]))
+    return c.drop(*[x for x in c.columns if x.startswith("__")])
 
 
 def level(score: Column) -> Column:

@@ -215,10 +215,12 @@ def split_at_headers(df: DataFrame, key: str, header: str, text: str = "text") -
     return lines.withColumn("part", part).groupBy(key, "part").agg(F.array_join(F.transform(rows, lambda p: p["line"]), "\n").alias("body"))
 
 
-def token_f1(prediction: Column, truth: Column) -> Column:
-    """F1 of the words in common, articles and marks aside, with multiplicity."""
-    norm = lambda c: F.filter(F.split(F.regexp_replace(F.regexp_replace(F.lower(c), r"\b(a|an|the)\b", " "), r"[^\p{L}\p{N}_\s]", ""), r"\s+"), lambda w: w != "")
-    p, t = norm(prediction), norm(truth)
-    count = lambda a, w: F.size(F.filter(a, lambda x: x == w))
-    same = F.aggregate(F.array_distinct(p), F.lit(0), lambda s, w: s + F.least(count(p, w), count(t, w)))
-    return F.when((F.size(p) == 0) | (F.size(t) == 0), (F.size(p) == F.size(t)).cast("double")).otherwise(2.0 * same / (F.size(p) + F.size(t)))
+def token_f1(df: DataFrame, key: list[str], prediction: str, truth: str) -> DataFrame:
+    """(key, f1): F1 of the words in common, with multiplicity; articles and marks don't count. Two empty texts are equal."""
+    def words(column: str, name: str) -> DataFrame:
+        bare = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(column, F.lit(""))), r"\b(a|an|the)\b", " "), r"[^\p{L}\p{N}_\s]", "")
+        return df.select(*key, F.explode(F.filter(F.split(bare, r"\s+"), lambda w: w != "")).alias("word")).groupBy(*key, "word").agg(F.count("*").alias(name))
+
+    both = words(prediction, "p").join(words(truth, "t"), [*key, "word"], "full")
+    sums = both.groupBy(*key).agg(F.sum(F.least(F.coalesce("p", F.lit(0)), F.coalesce("t", F.lit(0)))).alias("same"), F.coalesce(F.sum("p"), F.lit(0)).alias("p"), F.coalesce(F.sum("t"), F.lit(0)).alias("t"))
+    return df.select(*key).join(sums, key, "left").select(*key, F.coalesce(2 * F.col("same") / (F.col("p") + F.col("t")), F.lit(1.0)).alias("f1"))

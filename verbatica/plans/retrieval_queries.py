@@ -22,15 +22,17 @@ st as (select count(*) as n, avg(len(w)) as mean from dt),
 px as (select id, len(w) as size, unnest(w) as term from dt),
 ix as (select id, term, count(*) as tf, any_value(size) as size from px where term in (select term from q) group by id, term),
 df as (select term, count(*) as df from ix group by term),
-sc as (select q.query_id, ix.id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * size / mean))) as score
+sc as (select q.query_id, ix.id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * size / mean))), 10) as score
        from ix join q on q.term = ix.term join df on df.term = ix.term, st group by all),
 bm as (select query_id, id, score, rank from (select *, row_number() over (partition by query_id order by score desc, id)::int as rank from sc))"""
 _ANY = f"""
-qa as (select query_id, unnest(t) as term, len(t) as asked from (select item_id as query_id, list_distinct({_TOKENS.format("coalesce(text, '')")})[1:16] as t from benchmark)),
+q1 as (select item_id as query_id, {_TOKENS.format("coalesce(text, '')")} as w from benchmark), q2 as (select query_id, w, unnest(generate_series(1, len(w))) as p from q1),
+q4 as (select query_id, w[p] as term, min(p) as p from q2 group by query_id, w[p]), q3 as (select query_id, term, row_number() over (partition by query_id order by p) as place from q4),
+qa as (select query_id, term, count(*) over (partition by query_id) as asked from q3 where place <= 16),
 da as (select id, unnest(list_distinct({_TOKENS.format('text')})) as term from drawers),
 ma as (select query_id, id, count(*) as n_terms, any_value(asked) as asked from qa join da on qa.term = da.term group by all)"""
 _DENSE = """
-d as (select a.vec_id as query_id, b.vec_id as id, list_dot_product(a.embedding::double[], b.embedding::double[]) as score from embeddings a join embeddings b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+d as (select a.vec_id as query_id, b.vec_id as id, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 10) as score from embeddings a join embeddings b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
 dr as (select query_id, id, score, row_number() over (partition by query_id order by score desc, id)::int as rank from d)"""
 
 
@@ -53,7 +55,7 @@ def _fused(spark, sf_dir):
 _FUSED = WITH + "," + _BM25 + "," + _ANY + """,
 rk as (select query_id, id, rank, 1.0 as w from bm where rank <= 100 union all
        select query_id, id, rank, 0.5 as w from (select *, row_number() over (partition by query_id order by n_terms desc, id) as rank from ma) where rank <= 100),
-fu as (select query_id, id, sum(w::double / (60 + rank)) as score from rk group by all)"""
+fu as (select query_id, id, round(sum(w::double / (60 + rank)), 10) as score from rk group by all)"""
 
 
 def _boosted(spark, sf_dir):
@@ -127,8 +129,8 @@ QUERIES = {
         select * from u where used <= 8192"""),
     "info_weight": (_weights, "with" + _DENSE + """
         select query_id, id, rank, round(case when 1 - score >= 0.5 then 1.0 else 0.5 + 0.5 * (1 - score) / 0.5 end::double, 6) as factor from dr where rank <= 20"""),
-    "hybrid_search": (lambda s, d: r.search(_ask(s, d), drawers(s, d)).select("query_id", "rank", "id", "wing", "room", F.round("score", 8).alias("score")), _FUSED + """,
+    "hybrid_search": (lambda s, d: r.search(_ask(s, d), drawers(s, d)).select("query_id", "rank", "id", "wing", "room", F.round("score", 6).alias("score")), _FUSED + """,
         p as (select fu.query_id, fu.id, fu.score, wing, room, epoch(filed_at::timestamp)::double as filed from fu join drawers d on d.id = fu.id),
-        n as (select *, score * (1 + 0.5 * exp(-((max(filed) over (partition by query_id)) - filed) / 86400 / 90)) as s from p)
-        select query_id, rank, id, wing, room, round(s, 8) as score from (select *, row_number() over (partition by query_id order by s desc, id)::int as rank from n) where rank <= 10"""),
+        n as (select *, round(score * (1 + 0.5 * exp(-((max(filed) over (partition by query_id)) - filed) / 86400 / 90)), 10) as s from p)
+        select query_id, rank, id, wing, room, round(s, 6) as score from (select *, row_number() over (partition by query_id order by s desc, id)::int as rank from n) where rank <= 10"""),
 }

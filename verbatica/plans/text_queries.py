@@ -72,7 +72,7 @@ c as (select *, (conv_id + turn) % 17 = 0 as broken from conversations)"""
 
 
 def _quality(spark, sf_dir):
-    m = quality.metrics(_docs(spark, sf_dir).select("doc_id", "text"))
+    m = quality.metrics(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
     return m.select("doc_id", *[F.round(c, 6).alias(c) for c in m.columns if c.endswith("_average") or c == "average_grade_level"])
 
 
@@ -119,7 +119,7 @@ QUERIES = {
     "hall_classifier": (lambda s, d: _words(s, d).select("id", classify.hall(F.col("text")).alias("hall")), f"with {_TEXTS}, l as (select id, lower(substring(text, 1, 3000)) as low from x) select id, {_HALL} as hall from l"),
     "room_classifier": (lambda s, d: _words(s, d).select("id", classify.conversation_room(F.col("text")).alias("room")), f"with {_TEXTS}, l as (select id, lower(substring(text, 1, 3000)) as low from x) select id, {_ROOM} as room from l"),
     "intent": (lambda s, d: _words(s, d).select("id", classify.intent(F.col("text")).alias("intent")), None),
-    "memory_type": (lambda s, d: _words(s, d).select("id", classify.memory_type(classify.prose_lines(F.col("text"))).alias("m")).select("id", "m.type", F.round("m.confidence", 6).alias("confidence")), None),
+    "memory_type": (lambda s, d: classify.memory_types(_words(s, d)).select("id", "memory_type", F.round("confidence", 6).alias("confidence")), None),
     "ears_pattern": (lambda s, d: _words(s, d).select("id", classify.requirement_form(F.col("text")).alias("form")), f"""
         with {_TEXTS}, l as (select id, lower(text) as low from x) select id, case when {_present("low", ["shall not", "must not", "will not", "should not"])} > 0 then 'unwanted'
           when {_present("low", ["when ", "if ", "upon ", "after ", "before "])} > 0 then 'event_driven' when contains(low, 'while ') then 'state_driven' when contains(low, 'where ') then 'optional'
@@ -135,7 +135,7 @@ QUERIES = {
         select doc_id, n_words::int as n_words, n_sentences::int as n_sentences, n_syllables::int as n_syllables, n_complex::int as n_complex, round(case when ok then greatest(0, least(100, fre)) else 0 end, 5) as flesch_reading_ease,
                round(case when ok then fog else 0 end, 5) as gunning_fog_index, round(case when ok then (greatest(fk, 0) + fog + greatest(smog, 0) + greatest(cl, 0) + greatest(ar, 0)) / 5 else 0 end, 5) as average_grade_level from e"""),
     "quality_metrics": (_quality, None),
-    "quality_tier": (lambda s, d: quality.metrics(_docs(s, d).select("doc_id", "text")).select("doc_id", retrieval.quality_tier(F.col("overall_weighted_average"), F.lit(True)).alias("factor"), quality.level(F.col("overall_weighted_average")).alias("level")), None),
+    "quality_tier": (lambda s, d: quality.metrics(_docs(s, d).select("doc_id", "text"), "doc_id").select("doc_id", retrieval.quality_tier(F.col("overall_weighted_average"), F.lit(True)).alias("factor"), quality.level(F.col("overall_weighted_average")).alias("level")), None),
     "entity_mentions": (lambda s, d: _mentions(s, d), None),
     "token_f1": (lambda s, d: _f1(s, d), None),
     "events_hourly": (lambda s, d: capture.activity(table(s, d, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total")), "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all"),
@@ -165,4 +165,5 @@ def _f1(spark, sf_dir):
 
     c = messages(spark, sf_dir)
     before = F.lag("content").over(Window.partitionBy("session_id").orderBy("ordinal"))
-    return c.withColumn("before", before).where("before is not null").select("session_id", "ordinal", F.round(t.token_f1(F.col("content"), F.col("before")), 6).alias("f1"))
+    pairs = c.withColumn("before", before).where("before is not null")
+    return t.token_f1(pairs, ["session_id", "ordinal"], "content", "before").select("session_id", "ordinal", F.round("f1", 6).alias("f1"))
