@@ -106,10 +106,15 @@ def conversation_room(text: Column) -> Column:
     return by_keywords(text, CONVERSATION_ROOMS)
 
 
+def _near(names: list[str]):
+    """Whether a folder's name holds one of the names, or stands in it."""
+    return lambda p: reduce(lambda a, b: a | b, [p.contains(c.lower()) | ((p != "") & F.lit(c.lower()).contains(p)) for c in names])
+
+
 def room(path: Column, text: Column, rooms: dict[str, list[str]]) -> Column:
     """A folder's name, then the file's, then keyword counts in the first 2,000 characters, else `general`."""
     parts = F.split(F.lower(path), "/")
-    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
     stem = F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")
     low = F.lower(F.substring(text, 1, 2000))
     count = lambda w: F.regexp_count(low, F.lit(r"\Q" + w.lower() + r"\E"))
@@ -117,8 +122,7 @@ def room(path: Column, text: Column, rooms: dict[str, list[str]]) -> Column:
     for name in reversed(rooms):
         found = F.when(stem.contains(name.lower()) | F.lit(name.lower()).contains(stem), F.lit(name)).otherwise(found)
     for name, words in reversed(rooms.items()):
-        near = F.exists(folders, lambda p, name=name, words=words: reduce(lambda a, b: a | b, [p.contains(c.lower()) | ((p != "") & F.lit(c.lower()).contains(p)) for c in [name, *words]]))
-        found = F.when(near, F.lit(name)).otherwise(found)
+        found = F.when(F.exists(folders, _near([name, *words])), F.lit(name)).otherwise(found)
     return found
 
 

@@ -265,15 +265,12 @@ def allocation(sizes: dict[str, int], total: int, floor: int) -> dict[str, int]:
     whole = sum(sizes.values())
     total = min(total, whole)
     out = {k: min(n, max(floor, int(total * n / whole))) for k, n in sizes.items()} if whole else {}
-    by_rest = sorted(out, key=lambda k: (-(total * sizes[k] / whole - int(total * sizes[k] / whole)), k))
     while (gap := total - sum(out.values())) != 0:
-        moved = False
-        for k in by_rest if gap > 0 else reversed(by_rest):
-            room = sizes[k] - out[k] if gap > 0 else out[k] - min(floor, sizes[k])
-            if room > 0 and gap:
-                out[k] += 1 if gap > 0 else -1
-                gap -= 1 if gap > 0 else -1
-                moved = True
-        if not moved:
+        # what is missing goes where most was cut off; what is too much leaves the stratum furthest above its floor
+        room = {k: sizes[k] - out[k] if gap > 0 else out[k] - min(floor, sizes[k]) for k in out}
+        free = [k for k in out if room[k] > 0]
+        if not free:
             break
+        k = max(free, key=lambda k: (total * sizes[k] / whole - out[k] if gap > 0 else room[k], k))
+        out[k] += 1 if gap > 0 else -1
     return out
