@@ -167,3 +167,30 @@ def _f1(spark, sf_dir):
     before = F.lag("content").over(Window.partitionBy("session_id").orderBy("ordinal"))
     pairs = c.withColumn("before", before).where("before is not null")
     return t.token_f1(pairs, ["session_id", "ordinal"], "content", "before").select("session_id", "ordinal", F.round("f1", 6).alias("f1"))
+
+
+def _names(spark, sf_dir):
+    """Names to look for: the capitalised words that several messages have."""
+    from ..functions import entities
+
+    talks = table(spark, sf_dir, "conversations").select(F.monotonically_increasing_id().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return entities.candidates(talks, "id", least=1).groupBy("name").agg(F.count("*").alias("n")).where("n >= 5 and char_length(name) >= 6").select("name")
+
+
+def _entity_queries():
+    from ..functions import article, entities, summary
+
+    docs = lambda s, d: _docs(s, d).select("doc_id", "text")
+    return {
+        "entity_candidates": (lambda s, d: entities.candidates(docs(s, d), "doc_id"), None),
+        "entity_lists": (lambda s, d: entities.entity_list(docs(s, d), "doc_id"), None),
+        "entity_kinds": (lambda s, d: entities.kinds(docs(s, d), "doc_id"), None),
+        "entity_fuzzy_match": (lambda s, d: entities.fuzzy_mentions(_words(s, d), "id", _names(s, d)), None),
+        "summaries": (lambda s, d: summary.compressed(docs(s, d), "doc_id", entities=entities.entity_list(docs(s, d), "doc_id")), None),
+        "article_profile": (lambda s, d: article.profile(_docs(s, d), language=F.col("lang")).select("doc_id", "n_words", "n_sentences", "truncated", "words_per_sentence", "flesch_reading_ease", "smog"), None),
+        "pointer_lines": (lambda s, d: entities.pointer_lines(drawers(s, d).withColumn("drawer_ids", F.array("id")), "id"), None),
+        "key_sentences": (lambda s, d: docs(s, d).select("doc_id", summary.key_sentence(F.col("text")).alias("sentence"), summary.codes(F.col("text"), summary.FLAGS).alias("flags"), summary.token_count(F.col("text")).alias("n_tokens")), None),
+    }
+
+
+QUERIES |= _entity_queries()
