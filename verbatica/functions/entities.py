@@ -48,7 +48,7 @@ def kinds(df: DataFrame, key: str, text: str = "text", least: int = 3) -> DataFr
     dialogue = F.when(F.col("dialogue") >= 2, F.col("dialogue") * 3).otherwise(0)
     scored = per.select("name", "n", "pronoun", (dialogue + F.col("action") * 2 + F.col("pronoun") * 2 + F.col("addressed") * 4).alias("person"), (F.col("built") * 2).alias("project"),
                         ((F.col("dialogue") >= 2).cast("int") + (F.col("action") > 0).cast("int") + (F.col("pronoun") > 0).cast("int") + (F.col("addressed") > 0).cast("int")).alias("signs"))
-    share = F.col("person") / (F.col("person") + F.col("project"))
+    share = F.try_divide(F.col("person"), F.col("person") + F.col("project"))
     sure = ((F.col("signs") >= 2) & (F.col("person") >= 5)) | ((F.col("pronoun") >= 5) & (F.col("pronoun") / F.col("n") >= 0.2))
     return scored.select(
         "name", "n", "person", "project",

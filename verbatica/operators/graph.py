@@ -31,7 +31,7 @@ def tunnels(graph: DataFrame, wing_a: str | None = None, wing_b: str | None = No
     for wing in (wing_a, wing_b):
         if wing:
             kept = kept.where(F.array_contains("wings", wing))
-    return kept.select("room", "wings", "n", F.element_at("dates", -1).alias("last_date")).orderBy(F.desc("n"), "room").limit(most)
+    return kept.select("room", "wings", "n", F.get("dates", F.size("dates") - 1).alias("last_date")).orderBy(F.desc("n"), "room").limit(most)
 
 
 def statistics(graph: DataFrame) -> DataFrame:

@@ -129,9 +129,9 @@ def kruskal(df: DataFrame, value: str, by: str, least: int = 20) -> DataFrame:
     total = per.agg(F.sum("m").alias("n"), F.count("*").alias("k"), F.sum(F.col("r") * F.col("r") / F.col("m")).alias("s"))
     ties = ranks.agg(F.sum(F.col("n").cast("double") * F.col("n") * F.col("n") - F.col("n")).alias("t"))
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
-    h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / (1 - F.col("t") / (n * n * n - n))
+    h = F.try_divide(F.try_divide(F.lit(12.0), n * (n + 1)) * F.col("s") - 3 * (n + 1), 1 - F.try_divide(F.col("t"), n * n * n - n))
     return (total.join(F.broadcast(ties)).select(h.alias("h"), F.col("n").alias("n"), F.col("k").alias("k"))
-            .withColumn("epsilon_squared", F.greatest((F.col("h") - F.col("k") + 1) / (F.col("n") - F.col("k")), F.lit(0.0))))
+            .withColumn("epsilon_squared", F.greatest(F.try_divide(F.col("h") - F.col("k") + 1, F.col("n") - F.col("k")), F.lit(0.0))))
 
 
 def chi_square_tail(x: float, df: int) -> float:
