@@ -126,11 +126,11 @@ def kruskal(df: DataFrame, value: str, by: str, least: int = 20) -> DataFrame:
     kept = kept.join(large, by, "left_semi")
     ranks = average_ranks(kept, value)
     per = kept.join(ranks.select(value, "rank"), value).groupBy(by).agg(F.count("*").alias("m"), F.sum("rank").alias("r"))
-    total = per.agg(F.sum("m").alias("n"), F.count("*").alias("k"), F.sum(F.col("r") * F.col("r") / F.col("m")).alias("s"))
-    ties = ranks.agg(F.sum(F.col("n").cast("double") * F.col("n") * F.col("n") - F.col("n")).alias("t"))
+    total = per.agg(F.lit(1).alias("one"), F.sum("m").alias("n"), F.count("*").alias("k"), F.sum(F.col("r") * F.col("r") / F.col("m")).alias("s"))
+    ties = ranks.agg(F.lit(1).alias("one"), F.sum(F.col("n").cast("double") * F.col("n") * F.col("n") - F.col("n")).alias("t"))
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
     h = F.try_divide(F.try_divide(F.lit(12.0), n * (n + 1)) * F.col("s") - 3 * (n + 1), 1 - F.try_divide(F.col("t"), n * n * n - n))
-    return (total.join(F.broadcast(ties)).select(h.alias("h"), F.col("n").alias("n"), F.col("k").alias("k"))
+    return (total.join(ties, "one").select(h.alias("h"), F.col("n").alias("n"), F.col("k").alias("k"))
             .withColumn("epsilon_squared", F.greatest(F.try_divide(F.col("h") - F.col("k") + 1, F.col("n") - F.col("k")), F.lit(0.0))))
 
 
@@ -200,13 +200,12 @@ def jensen_shannon(counts: DataFrame) -> DataFrame:
     """(a, b, distance) of every two groups of (grp, bin, n), base 2; groups are few (wings), bins fewer."""
     share = counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("grp")))
     groups = share.select("grp").distinct()
-    pairs = groups.select(F.col("grp").alias("a")).join(groups.select(F.col("grp").alias("b")), F.col("a") < F.col("b"))
-    bins = share.select("bin").distinct()
-    full = pairs.join(F.broadcast(bins)).join(share.select(F.col("grp").alias("a"), "bin", F.col("p").alias("pa")), ["a", "bin"], "left").join(
-        share.select(F.col("grp").alias("b"), "bin", F.col("p").alias("pb")), ["b", "bin"], "left").select("a", "b", F.coalesce("pa", F.lit(0.0)).alias("pa"), F.coalesce("pb", F.lit(0.0)).alias("pb"))
+    pairs = groups.select(F.col("grp").alias("a")).join(groups.select(F.col("grp").alias("b")), F.col("a") < F.col("b"))  # what the result has, one row each
     mid = (F.col("pa") + F.col("pb")) / 2
-    part = lambda c: F.when((F.col(c) > 0), F.col(c) * F.log2(F.col(c) / mid)).otherwise(0.0)
-    return full.groupBy("a", "b").agg(F.sqrt(F.greatest((F.sum(part("pa")) + F.sum(part("pb"))) / 2, F.lit(0.0))).alias("distance"))
+    shared = share.select(F.col("grp").alias("a"), "bin", F.col("p").alias("pa")).join(share.select(F.col("grp").alias("b"), "bin", F.col("p").alias("pb")), "bin").where("a < b")
+    # a bin that only one of two groups has adds its whole share
+    met = shared.groupBy("a", "b").agg(F.sum(F.col("pa") * F.log2(F.col("pa") / mid) + F.col("pb") * F.log2(F.col("pb") / mid) - F.col("pa") - F.col("pb")).alias("s"))
+    return pairs.join(met, ["a", "b"], "left").select("a", "b", F.sqrt(F.greatest((2 + F.coalesce("s", F.lit(0.0))) / 2, F.lit(0.0))).alias("distance"))
 
 
 def decay_points(df: DataFrame, value: str, order: str, by: str, width: int = 10) -> DataFrame:

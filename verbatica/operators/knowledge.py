@@ -42,10 +42,10 @@ def timeline(triples: DataFrame, entity: str | None = None, most: int = 100) ->
 
 def statistics(triples: DataFrame) -> DataFrame:
     """One row: entities, facts, facts still open, and the sorted predicates."""
-    ends = triples.select(F.explode(F.array("subject", "object")).alias("e")).agg(F.countDistinct("e").alias("n_entities"))
-    facts = triples.agg(F.count("*").alias("n_triples"), F.sum(F.col("valid_to").isNull().cast("long")).alias("n_open"),
+    ends = triples.select(F.explode(F.array("subject", "object")).alias("e")).agg(F.lit(1).alias("one"), F.countDistinct("e").alias("n_entities"))
+    facts = triples.agg(F.lit(1).alias("one"), F.count("*").alias("n_triples"), F.sum(F.col("valid_to").isNull().cast("long")).alias("n_open"),
                         F.array_join(F.sort_array(F.collect_set("predicate")), ",").alias("predicates"))
-    return facts.join(F.broadcast(ends))  # one row each
+    return facts.join(ends, "one").drop("one")  # one row each
 
 
 def drawers_by_entities(triples: DataFrame, names: list[str] | DataFrame, most: int | None = 50) -> DataFrame:
