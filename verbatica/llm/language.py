@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .shared import fold_of, table
-from .textops import code_points, code_table, lower_table, mix, portions, runs
+from .textops import code_points, code_table, expand, lower_table, mix, portions, runs
 
 BUCKETS = 1 << 15
 SAMPLE = 24_000
@@ -105,7 +105,7 @@ def word_scores(model: Model, texts: list[str]) -> tuple[np.ndarray, ...]:
     bucket, start, end, script, first, text_start = word_parts(texts)
     out = np.empty((len(start), len(model.langs)), np.float32)
     if len(start):
-        at = expand_ranges(start, end)
+        at = expand(start, end - start)
         sums = np.add.reduceat(model.table[bucket[at]], np.concatenate(([0], np.cumsum(end - start)[:-1])), axis=0)
         sums += model.refused[script]
         out = np.maximum(sums - sums.max(axis=1, keepdims=True), FLOOR)
@@ -113,11 +113,6 @@ def word_scores(model: Model, texts: list[str]) -> tuple[np.ndarray, ...]:
     return out, start - base, end - base, first
 
 
-def expand_ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    n = end - start
-    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-
-
 def viterbi(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The language of each word on its text's best path; all texts take each step together, longest first."""
     n = np.diff(first)

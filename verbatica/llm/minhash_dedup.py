@@ -28,8 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import components, cut, discard, parts, table
-from .textops import Words, expand, list_array, mix, not_blank, portions, window_hashes
+from .shared import components, cut, parts, table
+from .textops import Words, list_array, mix, not_blank, portions, window_hashes
 
 SHINGLE = 5
 #: MinHash values of a sketch and its bits; bands and the values of each.

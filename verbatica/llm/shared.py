@@ -1,28 +1,10 @@
-"""Session settings, lineage cuts and connected components for the operators of this package."""
+"""Tables, folds, lineage cuts and connected components for the operators of this package."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where that is unset (a local session), a new temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read from there: a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..plans.lineage import cut
 
 
 def discard(df: DataFrame) -> None:
