@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from verbatica.llm import suffix_dedup as sd
@@ -82,3 +83,20 @@ def test_shared_stretches_share_a_selected_word(stretch, before, after):
     second = {int(p - words.first[1]) for p in at if p >= words.first[1]}
     inside = range(0, len(body) - sd.PREFIX + 1)
     assert {p for p in first if p in inside} & {p for p in second if p in inside} & set(range(sd.SPREAD))
+
+
+@pytest.mark.parametrize("ranges, piece", [(1, 1 << 17), (37, 1 << 17), (1, 40)])
+def test_documents_between_that_share_less_hide_nothing(docs_of, monkeypatch, ranges, piece):
+    rng = np.random.default_rng(13)
+    say = lambda n: [f"v{k}" for k in rng.integers(100_000, size=n)]
+    rows = []
+    for k in range(0, 600, 60):
+        head, passage, tail = say(4), say(46), say(4)
+        rows += [(k, say(9) + head + passage + say(9)), (k + 1, say(9) + passage + tail + say(9))]  # each holds other windows of the last but one
+        rows += [(i, say(20) + passage[:41] + say(20)) for i in range(k + 2, k + 16)]
+        rows += [(i, say(20) + passage[5:] + say(20)) for i in range(k + 16, k + 30)]
+        rows += [(k + 30, say(9) + head + passage + tail + say(9)), (k + 31, say(60))]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    monkeypatch.setattr(sd, "parts", lambda s: ranges)
+    monkeypatch.setattr(sd, "PIECE", piece, raising=False)
+    assert spans(sd.repeated_spans(docs_of(rows))) == {d: hit for d, hit in brute(rows).items() if hit}

@@ -5,16 +5,17 @@
    there lie in both.  About one word in eight begins a kept suffix.
 2. The suffixes are sorted by the hash of their first 32 words, then by document; partitions are ranges of that order,
    so a passage that very many documents share is spread over many of them.
-3. Each suffix is compared with the neighbours before it, of up to four other documents: equal for 32 words, then extended
-   word by word, up to 18 to the left and to the right, by the words' codes that each row carries.  The longest match of at
-   least ``LEAST`` words marks those words.  Of the suffixes of a document every other one is passed over where its match
-   reaches as far as it is looked at on both sides: those before and after it match too, and mark the same words.  The first suffix of a partition meets the last of the partition before in one more step
-   over two rows a partition.
+3. Each suffix carries the codes of up to 18 words on either side, so it knows each window of ``LEAST`` words around its 32.
+   Of the suffixes in one piece of the order the first document that holds a window is found, whatever lies between, and a
+   later one is marked.  Of the suffixes of a document every other one is passed over where all it carries lies in one earlier
+   document: those before and after it match too, and mark the same words.  A passage may go on beyond a piece, so the windows
+   of a piece's first and last hash are sent, for the document that has them first there, through one more step: the smallest
+   document of each window.
 4. Marks of a document that overlap are joined into spans.
 
 So of documents that share a passage all but the smallest doc_id are marked, and each mark names an earlier document.  The
-32 words are compared by a 64-bit hash and the extension by 16-bit codes of single words, so an end may, once in 65,536 times,
-lie a word too far.  Words are split at white space and compared exactly.
+32 words are compared by a 64-bit hash and the words around them by 16-bit codes, so a window may, once in 65,536 times, match
+with one word that differs.  Words are split at white space and compared exactly.
 
 Null texts and texts of under 50 words have no spans.  Repeats inside one document, and rows that repeat a doc_id, are not
 marked against each other; rows with a null doc_id take no part.
@@ -26,15 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .shared import cut, parts, table
-from .textops import Words, not_blank, portions, window_hashes
+from .textops import Words, mix, not_blank, portions, window_hashes
 
 GRAM, SPREAD, PREFIX, SIDE, LEAST = 8, 16, 32, 18, 50
-#: Documents before a suffix that it is compared with.
-CHAIN = 4
+#: Suffixes that are compared in one go.
+PIECE = 1 << 17
+_FACTOR = np.random.default_rng(50).integers(1 << 63, size=LEAST + 2 * SIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -111,91 +112,81 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["h", "doc_id", "pos", "ctx"])
 
 
-def _reach(mine: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many words two contexts share to the left and to the right."""
-    same = mine[:, : 2 * SIDE] == other[:, : 2 * SIDE]
-    out = []
-    for side, room in ((same[:, :SIDE], 2 * SIDE), (same[:, SIDE:], 2 * SIDE + 1)):
-        whole = np.minimum.accumulate(side, axis=1).sum(axis=1)
-        out.append(np.minimum(whole, np.minimum(mine[:, room], other[:, room])).astype(np.int32))
-    return out[0], out[1]
+def _windows(h: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix a hash of each window of LEAST words around its prefix, by the number of words to the left, then of all words it carries, and which of them there are."""
+    words = ctx[:, : 2 * SIDE].astype(np.uint64)
+    key = np.empty((len(ctx), SIDE + 2), np.uint64)
+    for a in range(SIDE + 1):
+        key[:, a] = words[:, :a] @ _FACTOR[:a][::-1] + words[:, SIDE : 2 * SIDE - a] @ _FACTOR[a + PREFIX : LEAST]
+    key[:, -1] = words @ _FACTOR[LEAST:]
+    a = np.arange(SIDE + 1)
+    there = np.empty(key.shape, bool)
+    there[:, :-1] = (a <= ctx[:, 2 * SIDE, None]) & (SIDE - a <= ctx[:, 2 * SIDE + 1, None])
+    there[:, -1] = (ctx[:, 2 * SIDE] == SIDE) & (ctx[:, 2 * SIDE + 1] == SIDE)
+    return mix(key + mix(h.view(np.uint64))[:, None]), there
 
 
-_FOUND = "kind int, part int, h long, doc_id long, pos int, ctx binary, start int, stop int, other long"
+_FOUND = "kind int, h long, doc_id long, start int, stop int, other long"
 
 
-def _rows(kind, part, h, doc, pos, ctx, start, stop, other) -> pa.RecordBatch:
-    n = len(doc)
+def _rows(kind, h, doc, start, stop, other) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
-        pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(h), pa.array(doc), pa.array(pos),
-        _binary(ctx) if ctx is not None else pa.nulls(n, pa.binary()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(other, pa.int64())],
-        names=["kind", "part", "h", "doc_id", "pos", "ctx", "start", "stop", "other"])
+        pa.array(np.full(len(doc), kind, np.int32)), pa.array(h, pa.int64()), pa.array(doc), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(other, pa.int64())],
+        names=["kind", "h", "doc_id", "start", "stop", "other"])
+
+
+def _piece(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, ctx: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Marks (kind 0) of sorted suffixes; the windows (1) of the first and the last hash in the documents that hold them first here."""
+    open_ = (h == h[0]) | (h == h[-1])
+    start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    size = np.diff(np.concatenate((start, [len(h)])))
+    ask = np.flatnonzero(open_ | np.repeat(doc[start + size - 1] != doc[start], size))
+    h, doc, pos, ctx, open_ = (x[ask] for x in (h, doc, pos, ctx, open_))
+    key, there = _windows(h, ctx)
+    row, a = np.nonzero(there)
+    key = key[row, a]
+    order = np.argsort(key, kind="stable")  # of equal windows that of the smallest document comes first
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = key[order[1:]] != key[order[:-1]]
+    holder = np.empty(len(key), np.int64)
+    holder[order] = doc[row[order]][np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))]
+    hit = there.copy()
+    hit[row, a] = doc[row] > holder
+    other = np.full(there.shape, np.iinfo(np.int64).max)
+    other[row, a] = holder
+    found = hit[:, :-1]
+    good = np.flatnonzero(found.any(axis=1) & ~(hit[:, -1] & (ctx[:, -1] == 1)))
+    if len(good):
+        most = SIDE - np.argmax(found[good][:, ::-1], axis=1)
+        yield _rows(0, h[good], doc[good], pos[good] - most, pos[good] + LEAST - np.argmax(found[good], axis=1),
+                    np.where(found[good], other[good, :-1], np.iinfo(np.int64).max).min(axis=1))
+    first = np.flatnonzero(open_[row] & (doc[row] == holder) & (a <= SIDE))
+    if len(first):
+        begin = pos[row[first]] - a[first]
+        yield _rows(1, key[first].view(np.int64), doc[row[first]], begin, begin + LEAST, [None] * len(first))
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches (kind 0) of sorted suffixes with the one before in another document; the first run (1) and the last suffix (2) of the partition."""
-    part, rest, opening = TaskContext.get().partitionId(), None, True
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = [np.asarray(batch.column(k)) for k in range(3)] + [_matrix(batch.column(3))]
-        kept = 0 if rest is None else len(rest[0])
-        h, doc, pos, ctx = new if rest is None else [np.concatenate((a, b)) for a, b in zip(rest, new, strict=True)]
-        n = len(h)
-        edge = np.ones(n, bool)
-        edge[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        before = np.maximum.accumulate(np.where(edge, np.arange(n), 0)) - 1  # the suffix before this one's run
-        has = (before >= 0) & (h[before] == h)
-        ask = np.flatnonzero(has & (np.arange(n) >= kept))
-        near = before[ask]
-        left, right = _reach(ctx[ask], ctx[near])
-        other, prior = near.copy(), near
-        for _ in range(CHAIN - 1):  # the longest match may lie a few documents back
-            more = np.flatnonzero(has[prior] & (prior >= 0))
-            if not len(more):
-                break
-            prior = np.where(has[prior] & (prior >= 0), before[prior], -1)
-            l2, r2 = _reach(ctx[ask[more]], ctx[prior[more]])
-            longer = l2 + r2 > left[more] + right[more]
-            at = more[longer]
-            left[at], right[at], other[at] = l2[longer], r2[longer], prior[at]
-        good = (left + right + PREFIX >= LEAST) & ~((left == SIDE) & (right == SIDE) & (ctx[ask, -1] == 1))
-        ask, left, right, other = ask[good], left[good], right[good], other[good]
-        if len(ask):
-            yield _rows(0, part, h[ask], doc[ask], pos[ask], None, pos[ask] - left, pos[ask] + PREFIX + right, doc[other])
-        if opening:
-            run = np.flatnonzero(before[kept:] < 0) + kept
-            if len(run):
-                yield _rows(1, part, h[run], doc[run], pos[run], ctx[run], [None] * len(run), [None] * len(run), [None] * len(run))
-            opening = len(run) == n - kept
-        keep, k = [n - 1], n - 1
-        while has[k] and len(keep) <= CHAIN:
-            k = int(before[k])
-            keep.insert(0, k)
-        rest = [x[keep] for x in (h, doc, pos, ctx)]
-    if rest is not None:
-        yield _rows(2, part, *[x[-1:] for x in rest], [None], [None], [None])
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_piece of about PIECE sorted suffixes at a time."""
+    held, rows = [], 0
     for batch in batches:
         if batch.num_rows:
-            doc, pos, other = (np.asarray(batch.column(k)) for k in ("doc_id", "pos", "other"))
-            left, right = _reach(_matrix(batch.column("ctx")), _matrix(batch.column("octx")))
-            good = left + right + PREFIX >= LEAST
-            yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in (doc, pos - left, pos + PREFIX + right, other)], names=["doc_id", "start", "stop", "other"])
+            held.append([np.asarray(batch.column(k)) for k in range(3)] + [_matrix(batch.column(3))])
+            rows += batch.num_rows
+        if rows >= PIECE:
+            yield from _piece(*[np.concatenate(x) for x in zip(*held, strict=True)])
+            held, rows = [], 0
+    if rows:
+        yield from _piece(*[np.concatenate(x) for x in zip(*held, strict=True)])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, other_doc_id): each span of words that an earlier document holds; the end is excluded."""
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(_suffixes, "h long, doc_id long, pos int, ctx binary")
     found = cut(rows.repartitionByRange(parts(docs.sparkSession), "h", "doc_id").sortWithinPartitions("h", "doc_id", "pos").mapInArrow(_neighbours, _FOUND), "neighbours")
-    seen = Window.orderBy("part", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("kind") == 2, F.struct("h", "doc_id", "ctx")), ignorenulls=True).over(seen)
-    edges = found.where("kind > 0").withColumn("tail", last).where("kind = 1 and tail.h = h")
-    joined = edges.select("doc_id", "pos", "ctx", F.col("tail.doc_id").alias("other"), F.col("tail.ctx").alias("octx")).where("doc_id <> other").mapInArrow(
-        _across, "doc_id long, start int, stop int, other long")
-    marks = found.where("kind = 0").select("doc_id", "start", "stop", "other").union(joined)
+    ends = found.where("kind = 1").select("h", "doc_id", "start", "stop")
+    across = ends.join(ends.groupBy("h").agg(F.min("doc_id").alias("other"), F.max("doc_id").alias("last")).where("other < last"), "h").where("doc_id > other")
+    marks = found.where("kind = 0").select("doc_id", "start", "stop", "other").union(across.select("doc_id", "start", "stop", "other"))
     in_doc = Window.partitionBy("doc_id").orderBy("start", "stop", "other")
     fresh = F.coalesce(F.col("start") > F.max("stop").over(in_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     island = F.sum(fresh.cast("int")).over(in_doc.rowsBetween(Window.unboundedPreceding, 0))
