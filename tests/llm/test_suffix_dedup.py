@@ -100,3 +100,20 @@ def test_documents_between_that_share_less_hide_nothing(docs_of, monkeypatch, ra
     monkeypatch.setattr(sd, "parts", lambda s: ranges)
     monkeypatch.setattr(sd, "PIECE", piece, raising=False)
     assert spans(sd.repeated_spans(docs_of(rows))) == {d: hit for d, hit in brute(rows).items() if hit}
+
+
+@pytest.mark.parametrize("ranges, piece", [(3, 1 << 17), (37, 7)])
+def test_a_word_over_and_over_is_a_passage(docs_of, monkeypatch, ranges, piece):
+    rng = np.random.default_rng(17)
+    say = lambda n: [f"v{k}" for k in rng.integers(3000, size=n)]
+    head, tail = say(30), say(30)
+    rows = [(1, ["la"] * 50), (2, say(5) + ["la"] * 300 + say(5)), (3, ["la"] * 49), (4, head + ["la"] * 400 + tail), (5, say(3) + ["la"] * 90 + tail), (6, head + ["la"] * 91 + say(4)),
+            (7, say(9) + ["lo"] * 77 + say(9)), (8, ["lo"] * 60), (9, ["da", "di"] * 100), (10, ["di", "da"] * 60 + say(8))]
+    for k, n in enumerate(range(20, 60)):  # runs that a copy continues on one side
+        word, ends = [f"w{k}"] * n, (say(25), say(25))
+        rows += [(100 + 2 * k, say(4) + word[:7] + word + ends[1]), (101 + 2 * k, say(4) + word + ends[1])]
+        rows += [(300 + 2 * k, ends[0] + [f"z{k}"] * (n + 21)), (301 + 2 * k, ends[0] + [f"z{k}"] * n + say(3))]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    monkeypatch.setattr(sd, "parts", lambda s: ranges)
+    monkeypatch.setattr(sd, "PIECE", piece)
+    assert spans(sd.repeated_spans(docs_of([*rows, *corpus()[-3:-1]]))) == {d: hit for d, hit in brute([*rows, *corpus()[-3:-1]]).items() if hit}

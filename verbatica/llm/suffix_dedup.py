@@ -2,7 +2,8 @@
 
 1. Suffixes are kept only at positions that content selects: where the hash of 8 words is the smallest of 16 in a row.  Any
    two equal stretches of at least 50 words share a selected position within their first 16 words, so the 32 words from
-   there lie in both.  About one word in eight begins a kept suffix.
+   there lie in both.  About one word in eight begins a kept suffix; where one word is repeated, the first of the run and each
+   16th counted from its end, and stretches that hold nothing else match wherever in a run those lie.
 2. The suffixes are sorted by the hash of their first 32 words, then by document; partitions are ranges of that order,
    so a passage that very many documents share is spread over many of them.
 3. Each suffix carries the codes of up to 18 words on either side, so it knows each window of ``LEAST`` words around its 32.
@@ -56,9 +57,12 @@ def selected(words: Words) -> np.ndarray:
     starts, count = words.windows(GRAM)
     gram = np.full(total, _TOP)
     gram[starts] = window_hashes(words.hash, starts, GRAM) >> np.uint64(1)
-    same = np.zeros(total, bool)  # of a run of equal grams only the first may be chosen
-    same[1:] = gram[1:] == gram[:-1]
-    gram[same] = _TOP
+    # of a run of equal grams the first may be chosen, and the last and every 16th before it
+    ends = np.flatnonzero(np.append(gram[1:] != gram[:-1], True))
+    near = (np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(total)) % SPREAD
+    near[0] = 0
+    near[1:][gram[1:] != gram[:-1]] = 0
+    gram[near > 0] = _TOP
     least = _sliding(np.concatenate((gram, np.full(SPREAD - 1, _TOP))), SPREAD, np.minimum)
     doc = np.repeat(np.arange(len(words.n)), words.n)
     last = words.first[1:][doc] - GRAM - SPREAD + 1  # where the last whole window of a document begins
@@ -78,6 +82,10 @@ def _contexts(words: Words, at: np.ndarray) -> np.ndarray:
     reach = np.arange(SIDE)
     left = code[np.maximum(at[:, None] - 1 - reach, 0)]
     right = code[np.minimum(at[:, None] + PREFIX + reach, len(code) - 1)]
+    # a prefix of one word over and over may lie anywhere in a longer run, so that word counts as nothing beside it
+    ends = np.flatnonzero(np.append(words.hash[1:] != words.hash[:-1], True)) + 1
+    one = (ends[np.searchsorted(ends, at, side="right")] - at >= PREFIX)[:, None] * code[at][:, None]
+    left, right = left - one, right - one
     odd = (np.arange(len(at)) - np.searchsorted(doc, doc)) % 2 == 1
     close = (np.diff(at) <= SPREAD) & (doc[1:] == doc[:-1])
     odd[:-1] &= close
@@ -162,8 +170,11 @@ def _piece(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, ctx: np.ndarray) ->
                     np.where(found[good], other[good, :-1], np.iinfo(np.int64).max).min(axis=1))
     first = np.flatnonzero(open_[row] & (doc[row] == holder) & (a <= SIDE))
     if len(first):
-        begin = pos[row[first]] - a[first]
-        yield _rows(1, key[first].view(np.int64), doc[row[first]], begin, begin + LEAST, [None] * len(first))
+        key, doc, begin = key[first].view(np.int64), doc[row[first]], pos[row[first]] - a[first]
+        order = np.lexsort((begin, key))
+        key, doc, begin = key[order], doc[order], begin[order]
+        fresh = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (begin[1:] > begin[:-1] + LEAST))))  # equal windows that overlap are one stretch
+        yield _rows(1, key[fresh], doc[fresh], begin[fresh], begin[np.append(fresh[1:], len(key)) - 1] + LEAST, [None] * len(fresh))
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +195,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, other_doc_id): each span of words that an earlier document holds; the end is excluded."""
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(_suffixes, "h long, doc_id long, pos int, ctx binary")
     found = cut(rows.repartitionByRange(parts(docs.sparkSession), "h", "doc_id").sortWithinPartitions("h", "doc_id", "pos").mapInArrow(_neighbours, _FOUND), "neighbours")
-    ends = found.where("kind = 1").select("h", "doc_id", "start", "stop")
-    across = ends.join(ends.groupBy("h").agg(F.min("doc_id").alias("other"), F.max("doc_id").alias("last")).where("other < last"), "h").where("doc_id > other")
+    ends = found.where("kind = 1").withColumn("other", F.min("doc_id").over(Window.partitionBy("h")))  # a row for each piece and stretch at most
+    across = ends.where("doc_id > other")
     marks = found.where("kind = 0").select("doc_id", "start", "stop", "other").union(across.select("doc_id", "start", "stop", "other"))
     in_doc = Window.partitionBy("doc_id").orderBy("start", "stop", "other")
     fresh = F.coalesce(F.col("start") > F.max("stop").over(in_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
