@@ -126,3 +126,17 @@ def test_dense_blocks_and_greedy(spark, monkeypatch):
     near = [(i, "f", 100 - i, x[0].tolist() if i < 3 else x[i].tolist()) for i in range(6)] + [(9, "f", 5, x[9].tolist())]
     kept = {t.id: t.kept for t in dedup.greedy(spark.createDataFrame(near, "id long, source_file string, size int, vector array<double>"), 0.01).collect()}
     assert kept == {0: True, 1: False, 2: False, 3: True, 4: True, 5: True, 9: False}
+
+
+def test_large_groups_are_decided_in_parts(spark):
+    rng = np.random.default_rng(8)
+    x = unit(rng, 120, 3)
+    rows = spark.createDataFrame([(i, "ab"[i % 3 == 0], int(15 + rng.integers(9)), x[i].tolist()) for i in range(120)], "id long, source_file string, size int, vector array<double>")
+    whole = {t.id: t.kept for t in dedup.greedy(rows, 0.1).collect()}
+    assert {t.id: t.kept for t in dedup.greedy(rows, 0.1, block=50).collect()} == whole and 5 < sum(whole.values()) < 110
+    noisy = [(g, 0.2 + 0.7 * float(np.exp(-i / s)) + 0.01 * float(rng.normal()), float(i)) for g, s in (("e", 40), ("f", 15)) for i in range(1, 90 if g == "e" else 40)]
+    points = spark.createDataFrame(noisy, "g string, mean double, at double")
+    one, parts = ({(t.g, t.model): t for t in info.decay_fits(points, "g", block=b).collect()} for b in (1000, 50))
+    assert one.keys() == parts.keys() and len(one) == 4
+    for k, t in one.items():
+        assert parts[k].aic == pytest.approx(t.aic, abs=1e-4) and parts[k].weight == pytest.approx(t.weight, abs=1e-4)

@@ -215,42 +215,71 @@ def decay_points(df: DataFrame, value: str, order: str, by: str, width: int = 10
         F.avg("place").alias("at"), F.avg(value).alias("mean"), F.count("*").alias("n"))
 
 
-def decay_fits(points: DataFrame, by: str, least: int = 3) -> DataFrame:
-    """(by, model, a, b, c, aic, weight) of a power law and an exponential, fitted to each group's points by Gauss-Newton steps."""
+def _decay_sums(name: str, p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """J'J, J'r and the squared loss of a decay model over points; sums of parts add up."""
+    def model(p: np.ndarray) -> np.ndarray:
+        return p[0] * x ** -p[1] if name == "powerlaw" else p[2] + (p[0] - p[2]) * np.exp(-x / max(p[1], 1e-6))
+
+    with np.errstate(all="ignore"):
+        base = model(p)
+        jac = np.stack([(model(p + d) - base) / 1e-6 for d in np.eye(len(p)) * 1e-6], axis=1)
+        return np.concatenate(((jac.T @ jac).ravel(), jac.T @ (y - base), [((y - base) ** 2).sum()]))
+
+
+def _decay_models(n: int, first: tuple, last: tuple, sums) -> list[tuple]:
+    """(model, a, b, c, aic, weight) by Gauss-Newton steps over sums(model, parameters); first and last are points."""
+    out = []
+    for name, start in {"powerlaw": [max(first[1], 1e-6), 0.1], "exponential": [first[1], max(last[0] - first[0], 1.0) / 2, last[1]]}.items():
+        p, step = np.array(start, float), 1e-2
+        k, now = len(p), sums(name, p)
+        for _ in range(200):
+            new = p + np.linalg.lstsq(now[: k * k].reshape(k, k) + step * np.eye(k), now[k * k : -1], rcond=None)[0]
+            then = sums(name, new)
+            if np.isfinite(then).all() and then[-1] < now[-1]:
+                done = now[-1] - then[-1] < 1e-14
+                p, now, step = new, then, step / 3
+                if done:
+                    break
+            else:
+                step *= 4
+                if step > 1e12:
+                    break
+        out.append((name, *[float(v) for v in p], *[None] * (3 - k), float(n * math.log(max(now[-1], 1e-300) / n) + 2 * (k + 1))))
+    rel = [math.exp(-(row[-1] - min(r[-1] for r in out)) / 2) for row in out]
+    return [(*row, r / sum(rel)) for row, r in zip(out, rel, strict=True)]
+
+
+def decay_fits(points: DataFrame, by: str, least: int = 3, block: int = BLOCK) -> DataFrame:
+    """(by, model, a, b, c, aic, weight) of a power law and an exponential, fitted to each group's points by Gauss-Newton steps.
+
+    A group of at most `block` points is fitted in one task; for a larger one Spark adds up the sums of each step.
+    """
+    points = cut(points.select(by, "at", "mean"), "decay")
+    schema = f"{by} string, model string, a double, b double, c double, aic double, weight double"
+    sizes = points.groupBy(by).agg(F.count("*").alias("n"), F.min(F.struct("at", "mean")).alias("first"), F.max(F.struct("at", "mean")).alias("last"))
+    large = sizes.where(F.col("n") > max(block, least - 1)).collect()  # one row for each large group
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         f = frame.sort_values("at")
         x, y = f["at"].to_numpy(float), f["mean"].to_numpy(float)
-        out = []
-        if len(x) >= least:
-            span = max(x[-1] - x[0], 1.0)
-            models = {"powerlaw": (lambda p: p[0] * x ** -p[1], [max(y[0], 1e-6), 0.1]),
-                      "exponential": (lambda p: p[2] + (p[0] - p[2]) * np.exp(-x / max(p[1], 1e-6)), [y[0], span / 2, y[-1]])}
-            for name, (model, start) in models.items():
-                p, step = np.array(start, float), 1e-2
-                loss = float(((y - model(p)) ** 2).sum())
-                for _ in range(200):
-                    base = model(p)
-                    jac = np.stack([(model(p + d) - base) / 1e-6 for d in np.eye(len(p)) * 1e-6], axis=1)
-                    new = p + np.linalg.lstsq(jac.T @ jac + step * np.eye(len(p)), jac.T @ (y - base), rcond=None)[0]
-                    with np.errstate(all="ignore"):
-                        after = float(((y - model(new)) ** 2).sum())
-                    if np.isfinite(after) and after < loss:
-                        done = loss - after < 1e-14
-                        p, loss, step = new, after, step / 3
-                        if done:
-                            break
-                    else:
-                        step *= 4
-                        if step > 1e12:
-                            break
-                aic = len(x) * math.log(max(loss, 1e-300) / len(x)) + 2 * (len(p) + 1)
-                out.append((frame[by].iloc[0], name, *[float(v) for v in p], *[None] * (3 - len(p)), aic))
-        got = pd.DataFrame(out, columns=[by, "model", "a", "b", "c", "aic"])
-        rel = np.exp(-(got.aic - got.aic.min()) / 2)
-        return got.assign(weight=rel / rel.sum() if len(got) else [])
-
-    return points.groupBy(by).applyInPandas(fit, f"{by} string, model string, a double, b double, c double, aic double, weight double")
+        rows = _decay_models(len(x), (x[0], y[0]), (x[-1], y[-1]), lambda name, p: _decay_sums(name, p, x, y)) if len(x) >= least else []
+        return pd.DataFrame([(frame[by].iloc[0], *r) for r in rows], columns=[by, "model", "a", "b", "c", "aic", "weight"])
+
+    def spread(group: DataFrame):
+        def sums(name: str, p: np.ndarray) -> np.ndarray:
+            def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for f in frames:
+                    if len(f):
+                        yield pd.DataFrame([_decay_sums(name, p, f["at"].to_numpy(float), f["mean"].to_numpy(float))], columns=names)
+
+            names = [f"s{i}" for i in range(len(p) * (len(p) + 1) + 1)]
+            return np.array(group.mapInPandas(part, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c) for c in names]).first(), float)
+
+        return sums
+
+    small = points.join(sizes.where(F.col("n") <= block).select(F.col(by).alias("__by")), F.col(by).eqNullSafe(F.col("__by")), "left_semi").groupBy(by).applyInPandas(fit, schema)
+    rows = [(g[by], *r) for g in large for r in _decay_models(g["n"], g["first"], g["last"], spread(points.where(F.col(by).eqNullSafe(g[by]))))]
+    return small.union(points.sparkSession.createDataFrame(rows, schema)) if rows else small
 
 
 def reservoir(df: DataFrame, by: str, key: str, n: int, seed: int = 42) -> DataFrame:
