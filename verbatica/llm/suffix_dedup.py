@@ -1,25 +1,25 @@
 """Repeated passages by a sparse suffix array over words.
 
-1. Suffixes are kept only at positions that content selects: where the hash of 8 words is the smallest of 16 in a row.  Any
-   two equal stretches of at least 50 words share a selected position within their first 16 words, so the 32 words from
-   there lie in both.  About one word in eight begins a kept suffix; where one word is repeated, the first of the run and each
-   16th counted from its end, and stretches that hold nothing else match wherever in a run those lie.
-2. The suffixes are sorted by the hash of their first 32 words, then by document; partitions are ranges of that order,
-   so a passage that very many documents share is spread over many of them.
-3. Each suffix carries the codes of up to 18 words on either side, so it knows each window of ``LEAST`` words around its 32.
-   Of the suffixes in one piece of the order the first document that holds a window is found, whatever lies between, and a
-   later one is marked.  Of the suffixes of a document every other one is passed over where all it carries lies in one earlier
-   document: those before and after it match too, and mark the same words.  A passage may go on beyond a piece, so the windows
-   of a piece's first and last hash are sent, for the document that has them first there, through one more step: the smallest
-   document of each window.
+1. Each window of ``LEAST`` words names one suffix: it begins at the smallest hash of 8 words among the first 16 of the window.
+   The choice follows from the window's words alone, so equal windows name equal suffixes wherever they stand.  Only the
+   suffixes that a window names are kept, about one word in eight; each carries a hash of all words of every window that names it.
+2. The suffixes are sorted: by the hash of their first 32 words, then by the words that follow these, then by document.
+   Partitions are ranges of that order, so a passage that very many documents share is spread over many of them.
+3. Neighbours in the order that begin alike are compared: of the windows that reach left and right of the same 32 words the first
+   document that holds each is found, and a later one is marked.  Marks of a document that overlap are joined before they leave.
+   A passage may go on beyond a piece of the order.  As the words on the right are sorted, only windows whose words on the right are
+   those of the piece's first or last suffix can; these are sent, for the document that has them first there, through one more
+   step: the smallest document of each window.
 4. Marks of a document that overlap are joined into spans.
 
-So of documents that share a passage all but the smallest doc_id are marked, and each mark names an earlier document.  The
-32 words are compared by a 64-bit hash and the words around them by 16-bit codes, so a window may, once in 65,536 times, match
-with one word that differs.  Words are split at white space and compared exactly.
+So of documents that share a passage all but the smallest doc_id are marked, and each mark names an earlier document.  Windows
+are compared by 96 bits: a 64-bit hash of the 32 words and a 32-bit hash of all 50.  Words are split at white space and
+compared exactly.  Where one word is repeated over and over the 8 words tie: of those the window takes the one a multiple of 16
+before their end.
 
-Null texts and texts of under 50 words have no spans.  Repeats inside one document, and rows that repeat a doc_id, are not
-marked against each other; rows with a null doc_id take no part.
+Null texts and texts of under 50 words have no spans.  Repeats inside one document, and rows that repeat a doc_id, are not marked
+against each other; spans name their row by ``sig``, a hash of its text, so that rows of one id with other texts stay
+apart.  Rows with a null doc_id take no part.
 """
 
 from __future__ import annotations
@@ -28,207 +28,202 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .shared import cut, parts, table
-from .textops import Words, mix, not_blank, portions, window_hashes
+from .shared import cut, parts, table, unused
+from .textops import Words, expand, mix, not_blank, portions, window_hashes
 
-GRAM, SPREAD, PREFIX, SIDE, LEAST = 8, 16, 32, 18, 50
+GRAM, SPREAD, PREFIX, LEAST = 8, 16, 32, 50
+#: Words of a window that may follow the prefix.
+SIDE = LEAST - PREFIX
 #: Suffixes that are compared in one go.
 PIECE = 1 << 17
-_FACTOR = np.random.default_rng(50).integers(1 << 63, size=LEAST + 2 * SIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Bytes before the window hashes: codes of the words on the right, and how far left the first window reaches.
+_HEAD = 2 * SIDE + 1
 
 
-def _sliding(x: np.ndarray, width: int, step) -> np.ndarray:
-    """step over each width neighbours, by doubling; width is a power of two."""
-    at = 1
-    while at < width:
-        x = step(x[:-at], x[at:])
+def _named(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The first word of each window of LEAST words, and the word where the suffix begins that the window names."""
+    windows, _ = words.windows(LEAST)
+    if not len(windows):
+        return windows, windows
+    starts, _ = words.windows(GRAM)
+    gram = np.full(len(words.hash), _TOP)
+    gram[starts] = window_hashes(words.hash, starts, GRAM) >> np.uint64(1)
+    least, at = np.arange(len(gram)), 1  # the first smallest of SPREAD in a row, by doubling
+    while at < SPREAD:
+        left, right = least[:-at], least[at:]
+        least = np.where(gram[right] < gram[left], right, left)
         at *= 2
-    return x
+    least = least[windows]
+    ends = np.flatnonzero(np.append(gram[1:] != gram[:-1], True))  # of runs of equal grams
+    end = ends[np.searchsorted(ends, windows)]
+    return windows, np.where(least == windows, windows + (end - windows) % SPREAD, least)
 
 
 def selected(words: Words) -> np.ndarray:
     """Numbers of the words at which a suffix is kept."""
-    total = len(words.hash)
-    if total < PREFIX:
-        return np.zeros(0, np.int64)
-    starts, count = words.windows(GRAM)
-    gram = np.full(total, _TOP)
-    gram[starts] = window_hashes(words.hash, starts, GRAM) >> np.uint64(1)
-    # of a run of equal grams the first may be chosen, and the last and every 16th before it
-    ends = np.flatnonzero(np.append(gram[1:] != gram[:-1], True))
-    near = (np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(total)) % SPREAD
-    near[0] = 0
-    near[1:][gram[1:] != gram[:-1]] = 0
-    gram[near > 0] = _TOP
-    least = _sliding(np.concatenate((gram, np.full(SPREAD - 1, _TOP))), SPREAD, np.minimum)
-    doc = np.repeat(np.arange(len(words.n)), words.n)
-    last = words.first[1:][doc] - GRAM - SPREAD + 1  # where the last whole window of a document begins
-    short = np.maximum(words.first[:-1][doc], last)
-    least[np.arange(total) > short] = 0
-    most = _sliding(np.concatenate((np.zeros(SPREAD - 1, np.uint64), least)), SPREAD, np.maximum)
-    room = words.first[1:][doc] - np.arange(total) >= PREFIX
-    return np.flatnonzero((gram == most) & (gram != _TOP) & room)
-
-
-def _contexts(words: Words, at: np.ndarray) -> np.ndarray:
-    """For each position: codes of the words before it, nearest first, of those after the prefix, how many there are of each, and whether its number in the document is odd, with both neighbours close by."""
-    code = (words.hash >> np.uint64(48)).astype(np.uint16)
-    doc = np.searchsorted(words.first, at, side="right") - 1
-    before = np.minimum(SIDE, at - words.first[doc])
-    after = np.minimum(SIDE, words.first[doc + 1] - at - PREFIX)
-    reach = np.arange(SIDE)
-    left = code[np.maximum(at[:, None] - 1 - reach, 0)]
-    right = code[np.minimum(at[:, None] + PREFIX + reach, len(code) - 1)]
-    # a prefix of one word over and over may lie anywhere in a longer run, so that word counts as nothing beside it
-    ends = np.flatnonzero(np.append(words.hash[1:] != words.hash[:-1], True)) + 1
-    one = (ends[np.searchsorted(ends, at, side="right")] - at >= PREFIX)[:, None] * code[at][:, None]
-    left, right = left - one, right - one
-    odd = (np.arange(len(at)) - np.searchsorted(doc, doc)) % 2 == 1
-    close = (np.diff(at) <= SPREAD) & (doc[1:] == doc[:-1])
-    odd[:-1] &= close
-    odd[1:] &= close
-    odd[-1:] = False
-    return np.concatenate((left, right, *[x[:, None].astype(np.uint16) for x in (before, after, odd)]), axis=1)
-
-
-#: Numbers of 16 bits in a context: two sides, their lengths, and the parity.
-_WIDTH = 2 * SIDE + 3
-
-
-def _binary(rows: np.ndarray) -> pa.Array:
-    offsets = np.arange(len(rows) + 1, dtype=np.int32) * (2 * _WIDTH)
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    offset, data = column.offset, column.buffers()[2]
-    begin = np.frombuffer(column.buffers()[1], np.int32)[offset]
-    return np.frombuffer(data, np.uint16, len(column) * _WIDTH, begin).reshape(-1, _WIDTH)
+    return np.unique(_named(words)[1])
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in portions(batches, most=500_000):
         words = Words(texts, not_blank, fold=None)
-        at = selected(words)
-        doc = np.searchsorted(words.first, at, side="right") - 1
-        ids = batch.column(batch.schema.get_field_index("doc_id"))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(window_hashes(words.hash, at, PREFIX).view(np.int64)), ids.take(pa.array(doc)), pa.array((at - words.first[doc]).astype(np.int32)), _binary(_contexts(words, at))],
-            names=["h", "doc_id", "pos", "ctx"])
-
-
-def _windows(h: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix a hash of each window of LEAST words around its prefix, by the number of words to the left, then of all words it carries, and which of them there are."""
-    words = ctx[:, : 2 * SIDE].astype(np.uint64)
-    key = np.empty((len(ctx), SIDE + 2), np.uint64)
-    for a in range(SIDE + 1):
-        key[:, a] = words[:, :a] @ _FACTOR[:a][::-1] + words[:, SIDE : 2 * SIDE - a] @ _FACTOR[a + PREFIX : LEAST]
-    key[:, -1] = words @ _FACTOR[LEAST:]
-    a = np.arange(SIDE + 1)
-    there = np.empty(key.shape, bool)
-    there[:, :-1] = (a <= ctx[:, 2 * SIDE, None]) & (SIDE - a <= ctx[:, 2 * SIDE + 1, None])
-    there[:, -1] = (ctx[:, 2 * SIDE] == SIDE) & (ctx[:, 2 * SIDE + 1] == SIDE)
-    return mix(key + mix(h.view(np.uint64))[:, None]), there
-
-
-_FOUND = "kind int, h long, doc_id long, start int, stop int, other long"
-
-
-def _rows(kind, h, doc, start, stop, other) -> pa.RecordBatch:
+        windows, name = _named(words)
+        first = np.flatnonzero(np.append(True, name[1:] != name[:-1])) if len(name) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(name)))
+        at, begin = name[first], windows[first]
+        doc = np.searchsorted(words.first, begin, side="right") - 1
+        code = (words.hash >> np.uint64(48)).astype(">u2")
+        room = words.first[doc + 1] - at - PREFIX
+        right = np.where(np.arange(SIDE) < room[:, None], code[np.minimum(at[:, None] + PREFIX + np.arange(SIDE), max(0, len(code) - 1))], 0).astype(">u2")
+        width = _HEAD + 4 * count
+        offset = np.concatenate(([0], np.cumsum(width)))
+        data = np.empty(int(offset[-1]), np.uint8)
+        data[expand(offset[:-1], np.full(len(at), _HEAD))] = np.concatenate((right.view(np.uint8).reshape(len(at), -1), (at - begin)[:, None].astype(np.uint8)), axis=1).ravel()
+        data[expand(offset[:-1] + _HEAD, 4 * count)] = (window_hashes(words.hash, windows, LEAST) >> np.uint64(32)).astype("<u4").view(np.uint8)
+        take = pa.array(doc)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(window_hashes(words.hash, at, PREFIX).view(np.int64)), pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offset.astype(np.int32)), pa.py_buffer(data)]),
+            batch.column(batch.schema.get_field_index("doc_id")).take(take), batch.column(batch.schema.get_field_index("sig")).take(take), pa.array((begin - words.first[doc]).astype(np.int32))],
+            names=["h", "ctx", "doc_id", "sig", "pos"])
+
+
+_FOUND = "kind int, h long, doc_id long, sig int, start int, stop int, other long"
+
+
+def _rows(kind, h, doc, sig, start, stop, other) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
-        pa.array(np.full(len(doc), kind, np.int32)), pa.array(h, pa.int64()), pa.array(doc), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(other, pa.int64())],
-        names=["kind", "h", "doc_id", "start", "stop", "other"])
-
-
-def _piece(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, ctx: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Marks (kind 0) of sorted suffixes; the windows (1) of the first and the last hash in the documents that hold them first here."""
-    open_ = (h == h[0]) | (h == h[-1])
-    start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    size = np.diff(np.concatenate((start, [len(h)])))
-    ask = np.flatnonzero(open_ | np.repeat(doc[start + size - 1] != doc[start], size))
-    h, doc, pos, ctx, open_ = (x[ask] for x in (h, doc, pos, ctx, open_))
-    key, there = _windows(h, ctx)
-    row, a = np.nonzero(there)
-    key = key[row, a]
-    order = np.argsort(key, kind="stable")  # of equal windows that of the smallest document comes first
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = key[order[1:]] != key[order[:-1]]
+        pa.array(np.full(len(doc), kind, np.int32)), pa.array(h, pa.int64()), pa.array(doc), pa.array(sig), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(other, pa.int64())],
+        names=["kind", "h", "doc_id", "sig", "start", "stop", "other"])
+
+
+def _joined(doc, sig, start, stop, other) -> list[np.ndarray]:
+    """Marks, those that overlap in one row's text as one."""
+    order = np.lexsort((start, sig, doc))
+    doc, sig, start, stop, other = (x[order] for x in (doc, sig, start, stop, other))
+    text = np.cumsum(np.append(False, (doc[1:] != doc[:-1]) | (sig[1:] != sig[:-1])))
+    furthest = np.maximum.accumulate(stop + (text << 32)) - (text << 32)
+    fresh = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (start[1:] > furthest[:-1])))
+    return [doc[fresh], sig[fresh], start[fresh], furthest[np.append(fresh[1:], len(doc)) - 1], np.minimum.reduceat(other, fresh)]
+
+
+def _alike(right: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """How many words on the right each row has in common with one."""
+    return np.minimum.accumulate(right == one, axis=1).sum(axis=1)
+
+
+def _piece(h: np.ndarray, doc: np.ndarray, sig: np.ndarray, pos: np.ndarray, offset: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Marks (kind 0) of sorted suffixes; the windows (1) that may go on beyond them, in the documents that hold them first here."""
+    begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    size = np.diff(np.append(begin, len(h)))
+    shared = np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin)
+    shared[[0, -1]] = True
+    ask = np.flatnonzero(np.repeat(shared, size))
+    group = np.repeat(np.arange(len(begin)), size)[ask]
+    first, last = (data[o : o + 2 * SIDE].copy().view(np.uint16) for o in (int(offset[0]), int(offset[-2])))
+    h, doc, sig, pos = (x[ask] for x in (h, doc, sig, pos))
+    at, count = offset[ask], (offset[ask + 1] - offset[ask] - _HEAD) // 4
+    right = data[at[:, None] + np.arange(2 * SIDE)].view(np.uint16)
+    reach = data[at + 2 * SIDE].astype(np.int64)
+    alike = np.full(len(ask), -1)
+    for end, one in ((group == group[0], first), (group == group[-1], last)):
+        alike[end] = np.maximum(alike[end], _alike(right[end], one))
+    row = np.repeat(np.arange(len(ask)), count)
+    nth = expand(np.zeros(len(ask), np.int64), count)
+    key = (group[row].astype(np.uint64) << np.uint64(32)) | data[expand(at + _HEAD, 4 * count)].view("<u4")
+    order = np.lexsort((doc[row], key))  # of equal windows that of the smallest document comes first
+    fresh = np.append(True, key[order[1:]] != key[order[:-1]])
     holder = np.empty(len(key), np.int64)
     holder[order] = doc[row[order]][np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))]
-    hit = there.copy()
-    hit[row, a] = doc[row] > holder
-    other = np.full(there.shape, np.iinfo(np.int64).max)
-    other[row, a] = holder
-    found = hit[:, :-1]
-    good = np.flatnonzero(found.any(axis=1) & ~(hit[:, -1] & (ctx[:, -1] == 1)))
-    if len(good):
-        most = SIDE - np.argmax(found[good][:, ::-1], axis=1)
-        yield _rows(0, h[good], doc[good], pos[good] - most, pos[good] + LEAST - np.argmax(found[good], axis=1),
-                    np.where(found[good], other[good, :-1], np.iinfo(np.int64).max).min(axis=1))
-    first = np.flatnonzero(open_[row] & (doc[row] == holder) & (a <= SIDE))
-    if len(first):
-        key, doc, begin = key[first].view(np.int64), doc[row[first]], pos[row[first]] - a[first]
-        order = np.lexsort((begin, key))
-        key, doc, begin = key[order], doc[order], begin[order]
-        fresh = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (begin[1:] > begin[:-1] + LEAST))))  # equal windows that overlap are one stretch
-        yield _rows(1, key[fresh], doc[fresh], begin[fresh], begin[np.append(fresh[1:], len(key)) - 1] + LEAST, [None] * len(fresh))
+    start = pos[row] + nth
+    hit = np.flatnonzero(doc[row] > holder)
+    if len(hit):
+        marks = _joined(doc[row[hit]], sig[row[hit]], start[hit], start[hit] + LEAST, holder[hit])
+        yield _rows(0, [None] * len(marks[0]), *marks)
+    out = np.flatnonzero((doc[row] == holder) & (alike[row] >= SIDE - reach[row] + nth))
+    if len(out):
+        key, doc, sig, start = mix(mix(h[row[out]].view(np.uint64)) + (key[out] & np.uint64(0xFFFFFFFF))).view(np.int64), doc[row[out]], sig[row[out]], start[out]
+        order = np.lexsort((start, sig, doc, key))
+        key, doc, sig, start = (x[order] for x in (key, doc, sig, start))
+        apart = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (sig[1:] != sig[:-1]) | (start[1:] > start[:-1] + LEAST)
+        fresh = np.flatnonzero(np.append(True, apart))  # equal windows that overlap are one stretch
+        yield _rows(1, key[fresh], doc[fresh], sig[fresh], start[fresh], start[np.append(fresh[1:], len(key)) - 1] + LEAST, [None] * len(fresh))
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """_piece of about PIECE sorted suffixes at a time."""
+    def told(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        ctx = one.column(1)
+        offset = np.frombuffer(ctx.buffers()[1], np.int32)[ctx.offset : ctx.offset + len(ctx) + 1].astype(np.int64)
+        yield from _piece(*[np.asarray(one.column(k)) for k in (0, 2, 3, 4)], offset, np.frombuffer(ctx.buffers()[2], np.uint8))
+
     held, rows = [], 0
     for batch in batches:
         if batch.num_rows:
-            held.append([np.asarray(batch.column(k)) for k in range(3)] + [_matrix(batch.column(3))])
+            held.append(batch)
             rows += batch.num_rows
         if rows >= PIECE:
-            yield from _piece(*[np.concatenate(x) for x in zip(*held, strict=True)])
+            yield from told(held)
             held, rows = [], 0
     if rows:
-        yield from _piece(*[np.concatenate(x) for x in zip(*held, strict=True)])
+        yield from told(held)
+
+
+def row_sig(text: str) -> Column:
+    """What tells rows of one doc_id apart."""
+    return F.hash(text)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, start_word, end_word, n_words, other_doc_id): each span of words that an earlier document holds; the end is excluded."""
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(_suffixes, "h long, doc_id long, pos int, ctx binary")
-    found = cut(rows.repartitionByRange(parts(docs.sparkSession), "h", "doc_id").sortWithinPartitions("h", "doc_id", "pos").mapInArrow(_neighbours, _FOUND), "neighbours")
+    """(doc_id, sig, start_word, end_word, n_words, other_doc_id): each span of words that an earlier document holds; the end is excluded."""
+    rows = (docs.where("doc_id is not null and text is not null").select("doc_id", "text", row_sig("text").alias("sig"))
+            .mapInArrow(_suffixes, "h long, ctx binary, doc_id long, sig int, pos int"))
+    order = ["h", "ctx", "doc_id"]
+    found = cut(rows.repartitionByRange(parts(docs.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(_neighbours, _FOUND), "neighbours")
     ends = found.where("kind = 1").withColumn("other", F.min("doc_id").over(Window.partitionBy("h")))  # a row for each piece and stretch at most
     across = ends.where("doc_id > other")
-    marks = found.where("kind = 0").select("doc_id", "start", "stop", "other").union(across.select("doc_id", "start", "stop", "other"))
-    in_doc = Window.partitionBy("doc_id").orderBy("start", "stop", "other")
-    fresh = F.coalesce(F.col("start") > F.max("stop").over(in_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    island = F.sum(fresh.cast("int")).over(in_doc.rowsBetween(Window.unboundedPreceding, 0))
-    return (marks.withColumn("island", island).groupBy("doc_id", "island")
+    marks = found.where("kind = 0").select("doc_id", "sig", "start", "stop", "other").union(across.select("doc_id", "sig", "start", "stop", "other"))
+    in_text = Window.partitionBy("doc_id", "sig").orderBy("start", "stop", "other")
+    fresh = F.coalesce(F.col("start") > F.max("stop").over(in_text.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    island = F.sum(fresh.cast("int")).over(in_text.rowsBetween(Window.unboundedPreceding, 0))
+    return (marks.withColumn("island", island).groupBy("doc_id", "sig", "island")
             .agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"), F.min("other").alias("other_doc_id"))
-            .select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other_doc_id"))
+            .select("doc_id", "sig", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other_doc_id"))
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs, their texts without the spans' words; a text of which nothing but white space is left goes. n_chars, if there, follows the text."""
-    listed = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("__spans"))
+    key, mark, held = (unused(docs, name) for name in ("id_", "sig_", "spans_"))
+    listed = spans.groupBy("doc_id", "sig").agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias(held)).withColumnsRenamed({"doc_id": key, "sig": mark})
+    names = docs.columns
+    follows = {"text", "n_chars"} & set(names)
+
+    def rest(text: str, spans: list[dict]) -> str:
+        words = Words([text], not_blank, fold=None)
+        kept, to = [], 0
+        for s in spans:
+            kept.append(text[to : int(words.start[s["start_word"]])])
+            to = int(words.start[s["end_word"]]) if s["end_word"] < len(words.start) else len(text)
+        return "".join([*kept, text[to:]])
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in portions(batches):
-            words = Words(texts, not_blank, fold=None)
-            out = []
-            for d, spans in enumerate(batch.column(batch.schema.get_field_index("__spans")).to_pylist()):
-                first, base, text, at, kept = int(words.first[d]), int(words.text_start[d]), texts[d], 0, []
-                for s in spans:
-                    kept.append(text[at : int(words.start[first + s["start_word"]]) - base])
-                    stop = first + s["end_word"]
-                    at = int(words.start[stop]) - base if stop < words.first[d + 1] else len(text)
-                out.append("".join([*kept, text[at:]]))
-            left = pa.array([bool(t.strip(" \t\n\v\f\r")) for t in out])
-            columns = [pa.array(out, pa.string()) if name == "text" else batch.column(k) for k, name in enumerate(batch.schema.names)]
-            yield pa.RecordBatch.from_arrays(columns[:-1], names=batch.schema.names[:-1]).filter(left)
-
-    touched = docs.join(listed, "doc_id").select(*docs.columns, "__spans").mapInArrow(drop, docs.schema)
-    if "n_chars" in docs.columns:
-        touched = touched.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return docs.join(listed, "doc_id", "left_anti").unionByName(touched)
+        for batch in batches:
+            now = {name: batch.column(names.index(name)).to_pylist() for name in follows}
+            stay = np.ones(batch.num_rows, bool)
+            for k, spans in enumerate(batch.column(len(names)).to_pylist()):
+                if spans:
+                    text = now["text"][k] = rest(now["text"][k], spans)
+                    stay[k] = bool(text.strip(" \t\n\v\f\r"))
+                    if "n_chars" in now:
+                        now["n_chars"][k] = len(text)
+            columns = [pa.array(now[name], batch.schema.field(k).type) if name in now else batch.column(k) for k, name in enumerate(names)]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay))
+
+    met = docs.join(listed, (F.col("doc_id") == F.col(key)) & (row_sig("text") == F.col(mark)), "left")
+    return met.select(*names, held).mapInArrow(drop, docs.schema)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -237,7 +232,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(table(spark, sf_dir, "documents"))
+    return repeated_spans(table(spark, sf_dir, "documents")).drop("sig")
 
 
 QUERIES = {"op6_suffix_array_dedup": (query, None)}
