@@ -135,27 +135,40 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     return weights
 
 
+def _scores(weights: np.ndarray, texts: list[str]) -> np.ndarray:
+    buckets, n = features(texts)
+    running = np.concatenate(([0.0], np.cumsum(weights[buckets], dtype=np.float64)))
+    first = np.concatenate(([0], np.cumsum(n * 5)))
+    dot = (running[first[1:]] - running[first[:-1]]) * SCALE / np.maximum(1, n * 5) + float(weights[-1])
+    return 1 / (1 + np.exp(-np.clip(dot, -35, 35)))
+
+
 def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """(doc_id, score) of every row."""
     held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = held.value
         for batch, texts in portions(batches, most=PORTION):
-            buckets, n = features(texts)
-            running = np.concatenate(([0.0], np.cumsum(w[buckets], dtype=np.float64)))
-            first = np.concatenate(([0], np.cumsum(n * 5)))
-            dot = (running[first[1:]] - running[first[:-1]]) * SCALE / np.maximum(1, n * 5) + float(w[-1])
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(1 / (1 + np.exp(-np.clip(dot, -35, 35))))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(_scores(held.value, texts))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score at least the threshold, each judged by its own text, whatever its doc_id."""
+    held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in portions(batches, most=PORTION):
+            yield batch.filter(pa.array(_scores(held.value, texts) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier doesn't reject."""
-    low = scored(docs, fit(docs, table(spark, sf_dir, "labels"))).where(F.col("score") < THRESHOLD).select("doc_id").distinct()
-    return docs.join(low, "doc_id", "left_anti")
+    """The documents that the classifier doesn't reject; nothing is shuffled."""
+    return accepted(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
