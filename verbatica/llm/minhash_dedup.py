@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import components, cut, discard, parts, table, unused
+from .shared import components, cut, discard, parts, row_sig, table, unused
 from .textops import Words, list_array, mix, not_blank, portions, window_hashes
 
 SHINGLE = 5
@@ -319,11 +319,6 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     return both.where(100 * shared >= round(100 * similarity) * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
-def row_of(text: str) -> Column:
-    """What tells rows of one doc_id apart."""
-    return F.xxhash64(text)
-
-
 def _in_buckets(base: DataFrame, classes: DataFrame) -> DataFrame:
     """(bucket, node, centre) of each class in each bucket that holds more than one; written out."""
     rows = (base.where("doc_id is not null and n_shingles > 0").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "sig_a", "sig_b"], "left_semi")
@@ -365,9 +360,9 @@ def _across(at: DataFrame, sketch: DataFrame, texts: DataFrame, similarity: floa
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, row, n_shingles, component_id, kept) of every document, row being ``row_of`` its text; docs needs doc_id and text."""
+    """(doc_id, row, n_shingles, component_id, kept) of every document, row being ``row_sig`` of its text; docs needs doc_id and text."""
     n = parts(docs.sparkSession)
-    docs = docs.select("doc_id", "text", row_of("text").alias("row"))
+    docs = docs.select("doc_id", "text", row_sig("text").alias("row"))
     base = cut(docs.mapInArrow(_sketched, "doc_id long, n_shingles long, sig_a long, sig_b long, row long, bands array<long>, sketch array<long>"), "sketched")
     texts = docs.where("doc_id is not null and text is not null")
     named = base.where("doc_id is not null and n_shingles > 0").select("doc_id", "row", "n_shingles", "sig_a", "sig_b", F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("salt"))
@@ -407,7 +402,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without all but one of each group; rows with a null doc_id stay."""
     key, row = unused(docs, "id_"), unused(docs, "row_")
     lost = cut(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(key), F.col("row").alias(row)).distinct(), "lost")  # its size is known, so that texts move only if it is large
-    return docs.join(lost, (F.col("doc_id") == F.col(key)) & (row_of("text") == F.col(row)), "left_anti")
+    return docs.join(lost, (F.col("doc_id") == F.col(key)) & (row_sig("text") == F.col(row)), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

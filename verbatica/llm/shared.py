@@ -23,6 +23,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_sig(text: str) -> Column:
+    """What tells rows of one doc_id apart: a hash of the text."""
+    return F.xxhash64(text)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -172,14 +172,14 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from told(held)
 
 
-def row_sig(text: str) -> Column:
-    """What tells rows of one doc_id apart."""
+def short_sig(text: str) -> Column:
+    """What tells rows of one doc_id apart, in 32 bits, as every suffix carries it."""
     return F.hash(text)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, sig, start_word, end_word, n_words, other_doc_id): each span of words that an earlier document holds; the end is excluded."""
-    rows = (docs.where("doc_id is not null and text is not null").select("doc_id", "text", row_sig("text").alias("sig"))
+    rows = (docs.where("doc_id is not null and text is not null").select("doc_id", "text", short_sig("text").alias("sig"))
             .mapInArrow(_suffixes, "h long, ctx binary, doc_id long, sig int, pos int"))
     order = ["h", "ctx", "doc_id"]
     found = cut(rows.repartitionByRange(parts(docs.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(_neighbours, _FOUND), "neighbours")
@@ -222,7 +222,7 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             columns = [pa.array(now[name], batch.schema.field(k).type) if name in now else batch.column(k) for k, name in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay))
 
-    met = docs.join(listed, (F.col("doc_id") == F.col(key)) & (row_sig("text") == F.col(mark)), "left")
+    met = docs.join(listed, (F.col("doc_id") == F.col(key)) & (short_sig("text") == F.col(mark)), "left")
     return met.select(*names, held).mapInArrow(drop, docs.schema)
 
 
