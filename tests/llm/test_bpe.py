@@ -50,3 +50,13 @@ def test_table(both, docs_of, spark):
     assert bpe.encoded(docs.where("false"), PATH).collect() == []
     again = bpe.decoded(bpe.encoded(docs, PATH), PATH).collect()
     assert all(r.decoded == r.decoded_text for r in again)
+
+
+def test_every_kind_of_code_point(both):
+    """Each code point by itself and doubled; of long runs of one kind (unassigned, ideographs, private) every 97th."""
+    import unicodedata
+
+    wide = {"Cn", "Co", "Lo"}
+    for c in range(0x30000):
+        if not 0xD800 <= c < 0xE000 and (unicodedata.category(chr(c)) not in wide or c < 0x3000 or c % 97 == 0 or any(a <= c <= b for a, b in [*bpe.NEW_LETTERS[:-8], *bpe.NEW_DIGITS])):
+            same(both, f"a{chr(c)}b {chr(c)}{chr(c)}")

@@ -83,3 +83,18 @@ def test_one_kind_of_label_or_none(spark):
     assert {r.score for r in quality.scored(docs, quality.fit(docs, none)).collect()} == {0.5}
     ones = spark.createDataFrame([(i, 1, 0) for i in range(40)], none.schema)
     assert all(r.score > 0.9 for r in quality.scored(docs, quality.fit(docs, ones)).collect())
+
+
+def test_more_languages_than_a_byte_holds():
+    scores = np.full((6, 300), -12.0, np.float32)
+    scores[:, 280] = 0
+    assert set(language.viterbi(scores, np.array([0, 6]))) == {280}
+
+
+def test_the_quality_stage_judges_each_row(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, speech(rng, EN, 40) if i % 4 else " ".join(w + "***" for w in speech(rng, EN, 40).split())) for i in range(300)]
+    weights = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(300)], "doc_id long, quality int, toxic int"))
+    good, bad = rows[1][1], rows[0][1]
+    docs = spark.createDataFrame([(None, good, 1), (None, bad, 2), (7, good, 3), (7, bad, 4)], "doc_id long, text string, score int")
+    assert sorted(r.score for r in quality.accepted(docs, weights).collect()) == [1, 3]

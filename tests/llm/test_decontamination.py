@@ -59,3 +59,10 @@ def test_repeated_rows_and_empty_table(docs_of, spark):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert dc.contamination(docs_of(DOCS).where("false"), bench).collect() == []
     assert dc.contamination(docs_of(DOCS[:1] * 3), bench).count() == 1
+
+
+def test_the_stage_judges_each_row(spark, tmp_path, docs_of):
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = docs_of([(None, "a short item"), (None, "clean"), (3, "short item"), (3, "clean"), (4, None), (5, "word " * 200_000 + "short item")]).withColumnRenamed("score", "sig_")
+    kept = dc.stage(spark, docs, str(tmp_path))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.select("doc_id", "text").collect() if r.text) == [(0, "clean"), (3, "clean")] and kept.count() == 3 and kept.columns == docs.columns

@@ -92,3 +92,46 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {**{i: 1 for i in range(1, 31)}, **{i: 100 for i in range(100, 130)}}
     assert components(links.where(F.lit(False))).collect() == []
+
+
+def test_rows_that_repeat_an_id_have_their_own_links(spark, docs_of):
+    rng = np.random.default_rng(6)
+    a, b = ([f"{c}{k}" for k in rng.integers(400, size=120)] for c in "ab")
+    near = lambda w: " ".join(w[:-1] + ["x"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (5, near(a)), (5, "something else"), (None, near(a))]
+    for order in (rows, rows[::-1]):
+        got = sorted((r.doc_id or -1, r.component_id) for r in minhash_dedup.near_duplicates(docs_of(order)).collect())
+        assert got == [(-1, None), (1, 1), (1, 1), (2, 1), (3, 1), (5, 1), (5, 5)]
+    kept = minhash_dedup.stage(spark, docs_of(rows), "").collect()
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == sorted([(-1, near(a)), (1, rows[0][1]), (1, rows[1][1]), (5, "something else")])
+
+
+def test_recall_near_the_threshold(docs_of):
+    """Pairs of documents whose similarity is from 0.80 to 0.92: every link is found, and no other."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for k in range(300):
+        w = [f"v{k}_{i}" for i in range(int(rng.integers(60, 300)))]
+        x = list(w)
+        for i in rng.choice(len(w), size=max(1, int(len(w) * rng.uniform(0.008, 0.022))), replace=False):
+            x[i] = "other"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(x))]
+    want = {}
+    for (i, a), (j, b) in zip(rows[::2], rows[1::2]):
+        s, t = ({tuple(x.split()[n : n + 5]) for n in range(len(x.split()) - 4)} for x in (a, b))
+        want |= {i: i, j: i if 100 * len(s & t) >= 85 * len(s | t) else j}
+    assert 60 < sum(v != k for k, v in want.items()) < 290
+    assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs_of(rows)).collect()} == want
+
+
+def test_bucket_pieces_lose_nothing(docs_of, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "PIECE", 50)
+    rows = corpus()
+    assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs_of(rows)).collect()} == {i: v[1] for i, v in brute(rows).items()}
+
+
+def test_a_very_long_text_and_its_copy(docs_of):
+    rng = np.random.default_rng(8)
+    w = [f"v{k}" for k in rng.integers(5000, size=200_000)]
+    rows = [(1, " ".join(w)), (2, " ".join([*w, "more"])), (3, " ".join(w[:100_000]))]
+    assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs_of(rows)).collect()} == {1: 1, 2: 1, 3: 3}

@@ -117,3 +117,27 @@ def test_a_word_over_and_over_is_a_passage(docs_of, monkeypatch, ranges, piece):
     monkeypatch.setattr(sd, "parts", lambda s: ranges)
     monkeypatch.setattr(sd, "PIECE", piece)
     assert spans(sd.repeated_spans(docs_of([*rows, *corpus()[-3:-1]]))) == {d: hit for d, hit in brute([*rows, *corpus()[-3:-1]]).items() if hit}
+
+
+def test_rows_of_one_id_and_long_texts(spark, docs_of):
+    rng = np.random.default_rng(19)
+    say = lambda n: [f"v{k}" for k in rng.integers(100_000, size=n)]
+    passage, long = say(60), say(200_000)
+    docs = docs_of([(1, " ".join(passage)), (2, " ".join(say(9) + passage)), (2, "own " + " ".join(say(80))), (3, " ".join(long)), (4, " ".join(say(5) + long + say(5))), (None, " ".join(passage))])
+    out = sorted(((r.doc_id or 0, len(r.text.split())) for r in sd.stage(spark, docs.withColumnRenamed("score", "spans_"), "").collect()))
+    assert out == [(0, 60), (1, 60), (2, 9), (2, 81), (3, 200_000), (4, 10)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_against_brute_force_where_passages_share_prefixes(docs_of, monkeypatch, seed):
+    rng = np.random.default_rng(seed)
+    say = lambda n: [f"v{k}" for k in rng.integers(40, size=n)]
+    base = [say(120) for _ in range(3)]
+    rows = []
+    for i in range(80):
+        b = base[int(rng.integers(3))]
+        lo = int(rng.integers(0, 70))
+        rows.append((i, " ".join(say(int(rng.integers(0, 20))) + b[lo : lo + int(rng.integers(30, 90))] + say(int(rng.integers(0, 20))))))
+    monkeypatch.setattr(sd, "parts", lambda s: 11)
+    monkeypatch.setattr(sd, "PIECE", 60)
+    assert spans(sd.repeated_spans(docs_of(rows))) == {d: hit for d, hit in brute(rows).items() if hit}

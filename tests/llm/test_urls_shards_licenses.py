@@ -94,3 +94,46 @@ def test_alignment_equals_the_plain_subsequence():
             for j in range(15):
                 table[i + 1, j + 1] = max(table[i, j + 1], table[i + 1, j], table[i, j] + (a[i] == b[j]))
         assert licenses.aligned(a, b, 0, 40)[0] == table[12, 15]
+
+
+def test_short_templates_need_each_word(docs_of):
+    rows = [(1, "This is in the Public Domain. public-domain"), (2, "public. the domain"), (3, "wtfpl and WTFPL"), (4, "public"), (5, "domain")]
+    found = sorted((r.doc_id, r.license, rows[r.doc_id - 1][1][r.start : r.end]) for r in licenses.scanned(docs_of(rows), {"PD": "public domain", "W": "WTFPL"}).collect())
+    assert found == [(1, "PD", "Public Domain"), (1, "PD", "public-domain"), (3, "W", "WTFPL"), (3, "W", "wtfpl")]
+
+
+def test_matches_equal_a_search_of_every_place(docs_of):
+    """Planted templates with a few words changed, against alignment tried at every place."""
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    template = [f"t{i}" for i in range(30)]
+    rows = []
+    for d in range(40):
+        words = [f"w{k}" for k in rng.integers(500, size=int(rng.integers(0, 80)))]
+        copy = list(template)
+        for k in rng.choice(30, size=int(rng.integers(0, 10)), replace=False):
+            copy[k] = "other"
+        at = int(rng.integers(0, len(words) + 1))
+        rows.append((d, " ".join(words[:at] + (copy if d % 4 else []) + words[at:])))
+    index = licenses.Index({"T": " ".join(template)})
+    want = {}
+    for d, text in rows:
+        words = licenses._words([text])[0]
+        best = max((licenses.aligned(index.words[0], words[max(0, p - 8) : p + 38], p - max(0, p - 8))[0] for p in range(len(words))), default=0)
+        if best >= 0.8 * 30:
+            want[d] = best
+    assert {r.doc_id: r.matched_words for r in licenses.scanned(docs_of(rows), {"T": " ".join(template)}).collect()} == want
+
+
+def test_placement_replaces_columns_of_its_names(spark):
+    df = spark.createDataFrame([(1, "x", 7), (2, "y", 8)], "doc_id long, shard string, slot int")
+    out = sharding.place(df, "doc_id", ["a", "b"], 101)
+    assert out.columns == ["doc_id", "slot", "shard"] and {r.shard for r in out.collect()} <= {"a", "b"}
+    assert sharding.place(df.where("false"), "slot", ["a"], 101).collect() == []
+
+
+def test_pages_that_repeat_and_long_urls(spark):
+    rows = [(1, "http://h.com/a"), (1, "http://h.com/a"), (2, "http://h.com/" + "x/" * 20_000), (None, "http://h.com/a")]
+    out = url_filter.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(out) == 4 and len({(r.template, r.purity, r.verdict) for r in out if r.path == "/a"}) == 1

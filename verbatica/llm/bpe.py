@@ -5,7 +5,8 @@ by a scan, its boundary is deleted, and the neighbouring ranks are looked up ane
 take a heap instead, with the same merges in the same order, as scanning would cost the square of their length.
 
 The file has a vocabulary, ranked merges with a word end, and special tokens that are taken from the raw text; text is
-brought to NFC and lower case, and split into letters, single digits and other marks.  Its model is broadcast (about 2 MB,
+brought to NFC and lower case, and split into letters, single digits and other marks; what is a letter follows Unicode 16,
+whatever the tables of the `regex` module say.  Its model is broadcast (about 2 MB,
 whatever the data); each worker remembers at most ``REMEMBERED`` words.  Nothing is shuffled.
 
 A null or empty text has no tokens and decodes as the empty text.  Each row is encoded on its own, so repeated rows repeat.
@@ -17,6 +18,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -44,6 +46,34 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+#: Letters and digits that Unicode 16 added, as ranges; and capitals that Unicode 16 and 17 added, with how far on their small letters are.
+NEW_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEW_DIGITS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+NEW_CAPITALS = [
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1),
+    (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+]
+_SMALL = {c: chr(c + by) for a, b, by in NEW_CAPITALS for c in range(a, b + 1)}
+
+
+@lru_cache(maxsize=1)
+def _newer() -> dict[int, str]:
+    """Code points that `unicodedata` doesn't know, where `regex` or Unicode 16 takes them for letters, numbers or space; a stand-in of the right kind for each."""
+    unknown = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    known = {c: stand_in for ranges, stand_in in ((NEW_LETTERS, "a"), (NEW_DIGITS, "0")) for a, b in ranges for c in range(a, b + 1)}
+    taken = {ord(c) for c in regex.findall(r"[\p{L}\p{N}\s]", "".join(map(chr, unknown)))}
+    return {c: known.get(c, "\uffff") for c in unknown if c in known or c in taken}
+
+
+@lru_cache(maxsize=1)
+def _newer_letters() -> frozenset[str]:
+    return frozenset(map(chr, _newer().keys() | _SMALL.keys()))
+
+
 class Model:
     """What the file says, in the form that encoding needs."""
 
@@ -110,6 +140,14 @@ class Model:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # sigma by itself, whatever follows
         return text.lower()
 
+    def words(self, text: str) -> list[str]:
+        """The words of a text in normal form."""
+        text = self.normal(text)
+        if text.isascii() or _newer_letters().isdisjoint(text):
+            return self.word.findall(text)
+        text = text.translate(_SMALL)
+        return [text[m.start() : m.end()] for m in self.word.finditer(text.translate(_newer()))]
+
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.token[i] for i in ids if i in self.token)
 
@@ -140,14 +178,14 @@ class Encoder:
         """The ids as little-endian unsigned 32-bit integers, and what they decode to."""
         model, known = self.model, self.known
         if model.marks is None or not any(m in text for m in model.special):
-            got = [known[w] for w in model.word.findall(model.normal(text))]
+            got = [known[w] for w in model.words(text)]
         else:
             got = []
             for piece in model.marks.split(text):
                 if piece in model.special:
                     got.append((model.special[piece].to_bytes(4, "little"), piece))
                 else:
-                    got += [known[w] for w in model.word.findall(model.normal(piece))]
+                    got += [known[w] for w in model.words(piece)]
         return b"".join([x[0] for x in got]), " ".join([x[1] for x in got])
 
 

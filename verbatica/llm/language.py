@@ -123,9 +123,10 @@ def viterbi(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     active = len(n) - np.searchsorted(n[::-1], np.arange(steps), side="right")
     width = scores.shape[1]
-    back = np.empty((int(active.sum()), width), np.uint8)
+    small = np.min_scalar_type(width - 1)
+    back = np.empty((int(active.sum()), width), small)
     at = np.concatenate(([0], np.cumsum(active)))
-    own = np.arange(width, dtype=np.uint8)
+    own = np.arange(width, dtype=small)
     value = scores[begin[: active[0]]]
     final = np.empty((len(n), width), np.float32)
     for t in range(1, steps):
@@ -136,7 +137,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
         best = value.argmax(axis=1)
         switch = value[np.arange(a), best][:, None] - SWITCH
         stay = value >= switch
-        back[at[t] : at[t + 1]] = np.where(stay, own, best[:, None])
+        back[at[t] : at[t + 1]] = np.where(stay, own, best[:, None].astype(small))
         value = np.where(stay, value, switch) + scores[begin[:a] + t]
     final[: len(value)] = value
     out = np.empty(len(scores), np.int64)

@@ -7,7 +7,8 @@ match covers yet the template is aligned with the words there, within ``BAND`` o
 subsequence.  A candidate is reported if at least ``COVERAGE`` of the template's words match, with its span in the text.
 
 Every document is scanned whole, in the partition where it lies; nothing is shuffled.  A text may give several rows, one for
-each place; a null or empty text gives none.  Templates without words are refused; templates of fewer than 4 words need an exact hit.
+each place; a null or empty text gives none, and repeated rows give their rows each.  Templates without words are refused;
+templates of fewer than 3 words have no hash of 3 and are looked for word by word.
 """
 
 from __future__ import annotations
@@ -94,6 +95,7 @@ class Index:
             raise ValueError("a template has no words")
         found = [(int(h), t, int(p)) for t, w in enumerate(self.words) for p, h in zip(*winnowed(w, np.array([0, len(w)])), strict=True)]
         self.hash = np.array(sorted({h for h, _, _ in found}), dtype=np.uint64)
+        self.short = [t for t, w in enumerate(self.words) if len(w) < GRAM]
         self.at: dict[int, list[tuple[int, int]]] = {}
         for h, t, p in found:
             self.at.setdefault(h, []).append((t, p))
@@ -102,9 +104,19 @@ class Index:
 def matches(index: Index, texts: list[str]) -> list[tuple[int, str, float, int, int, int]]:
     """(number of the text, template, coverage, matched words, start, end) of every match, in code points of the text."""
     words, start, end, first, text_start = _words(texts)
+    out = []
+    for t in index.short:
+        n = len(index.words[t])
+        at = np.flatnonzero(np.logical_and.reduce([words[k : len(words) - n + 1 + k] == w for k, w in enumerate(index.words[t])])) if len(words) >= n else []
+        stop = 0
+        for p in at:
+            d = int(np.searchsorted(first, p, side="right")) - 1
+            if p >= stop and p + n <= first[d + 1]:
+                stop, base = p + n, int(text_start[d])
+                out.append((d, index.names[t], 1.0, n, int(start[p]) - base, int(end[p + n - 1]) - base))
     place, h = winnowed(words, first)
     if not len(index.hash) or not len(h):
-        return []
+        return sorted(out)
     near = np.minimum(np.searchsorted(index.hash, h), len(index.hash) - 1)
     hit = np.flatnonzero(index.hash[near] == h)
     doc = np.searchsorted(first, place[hit], side="right") - 1
@@ -112,7 +124,6 @@ def matches(index: Index, texts: list[str]) -> list[tuple[int, str, float, int,
     for d, p, key in zip(doc.tolist(), place[hit].tolist(), h[hit].tolist(), strict=True):
         for t, q in index.at[key]:
             seeds.setdefault((d, t), []).append((p - int(first[d]), q))
-    out = []
     for (d, t), places in sorted(seeds.items()):
         own, template, base = words[first[d] : first[d + 1]], index.words[t], int(text_start[d])
         stop, refused = 0, None  # the end of the last match; the diagonal that was last refused, and as far as it went
@@ -126,7 +137,7 @@ def matches(index: Index, texts: list[str]) -> list[tuple[int, str, float, int,
                 out.append((d, index.names[t], m / len(template), m, int(start[first[d] + lo + s]) - base, int(end[first[d] + lo + e - 1]) - base))
             else:
                 refused = (p - q, p - q + len(template))
-    return out
+    return sorted(out)
 
 
 def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:

@@ -147,41 +147,44 @@ def _full_sets(bits: Broadcast):
     return run
 
 
-def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _together(piece: int):
     """Of rows sorted by bucket those that aren't alone in it, with the first of the bucket.
 
     The rows of the first and the last bucket, which may go on in another partition, are all kept and marked as an edge; so are
-    those of a bucket of more than PIECE rows.
+    those of a bucket of more than ``piece`` rows.
     """
-    def told(t: pa.RecordBatch, start: np.ndarray, before: bool, after: bool) -> pa.RecordBatch:
-        size = np.diff(np.append(start, t.num_rows))
-        edge = np.zeros(len(start), bool)
-        edge[0], edge[-1] = before or (after and len(start) == 1), after or (before and len(start) == 1)
-        keep = np.flatnonzero(np.repeat((size > 1) | edge, size))
-        first, at = pa.array(np.repeat(start, size)[keep]), pa.array(keep)
-        return pa.RecordBatch.from_arrays([*[t.column(k).take(at) for k in range(3)], t.column(1).take(first), t.column(2).take(first), pa.array(np.repeat(edge, size)[keep])],
-                                          names=["bucket", "id", "sig", "centre", "centre_sig", "edge"])
-
-    held, rows, before = [], 0, True
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            rows += batch.num_rows
-        if rows < PIECE:
-            continue
-        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        bucket = np.asarray(t.column(0))
-        start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        if len(start) == 1:
-            yield told(t, start, True, True)
-            held, rows, before = [], 0, True
-        else:  # the last bucket waits for the rest of it
-            yield told(t.slice(0, int(start[-1])), start[:-1], before, False)
-            held, rows, before = [t.slice(int(start[-1]))], t.num_rows - int(start[-1]), False
-    if rows:
-        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        bucket = np.asarray(t.column(0))
-        yield told(t, np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), before, True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(t: pa.RecordBatch, start: np.ndarray, before: bool, after: bool) -> pa.RecordBatch:
+            size = np.diff(np.append(start, t.num_rows))
+            edge = np.zeros(len(start), bool)
+            edge[0], edge[-1] = before or (after and len(start) == 1), after or (before and len(start) == 1)
+            keep = np.flatnonzero(np.repeat((size > 1) | edge, size))
+            first, at = pa.array(np.repeat(start, size)[keep]), pa.array(keep)
+            return pa.RecordBatch.from_arrays([*[t.column(k).take(at) for k in range(3)], t.column(1).take(first), t.column(2).take(first), pa.array(np.repeat(edge, size)[keep])],
+                                              names=["bucket", "id", "sig", "centre", "centre_sig", "edge"])
+
+        held, rows, before = [], 0, True
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows < piece:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            bucket = np.asarray(t.column(0))
+            start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            if len(start) == 1:
+                yield told(t, start, True, True)
+                held, rows, before = [], 0, True
+            else:  # the last bucket waits for the rest of it
+                yield told(t.slice(0, int(start[-1])), start[:-1], before, False)
+                held, rows, before = [t.slice(int(start[-1]))], t.num_rows - int(start[-1]), False
+        if rows:
+            t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            bucket = np.asarray(t.column(0))
+            yield told(t, np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), before, True)
+
+    return run
 
 
 _MEMBER = "bucket long, i int, j int, block int, id long, sig long, comp long, n long, sketch array<long>"
@@ -325,7 +328,7 @@ def _in_buckets(base: DataFrame, classes: DataFrame) -> DataFrame:
             .select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"), F.col("sig_a").alias("sig")))
     order = ["bucket", "id", "sig"]
     met = cut(rows.repartitionByRange(parts(base.sparkSession), *order).sortWithinPartitions(*order)
-              .mapInArrow(_together, "bucket long, id long, sig long, centre long, centre_sig long, edge boolean"), "buckets")
+              .mapInArrow(_together(PIECE), "bucket long, id long, sig long, centre long, centre_sig long, edge boolean"), "buckets")
     met = met.select("bucket", _node("id", "sig").alias("node"), _node("centre", "centre_sig").alias("centre"), "edge")
     # of the buckets at the ends of partitions, two for each
     ends = met.where("edge").groupBy("bucket").agg(F.min("centre").alias("centre"), F.count("*").alias("size")).where("size > 1").drop("size")

@@ -7,7 +7,8 @@ shards hold the same number of slots, give or take one, and adding or removing a
 The table has ``TABLE`` rows whatever the data, so broadcasting it is bounded.  A row's slot is a hash of its key modulo
 the table size; one hash lookup gives its shard.  Nothing is shuffled.
 
-A null key hashes as the empty text, so it has a place; equal keys share a place.  No shards at all is an error.
+A null key hashes as the empty text, so it has a place; equal keys and repeated rows share a place.  An empty table stays empty;
+no shards at all is an error.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import table
+from .shared import table, unused
 
 #: Slots; a prime well over 100 times the number of shards.
 TABLE = 65_537
@@ -58,13 +59,16 @@ def slot_of(key: Column, size: int = TABLE) -> Column:
 
 
 def place(df: DataFrame, key: str, shards: list[str], size: int = TABLE) -> DataFrame:
-    """df with slot and shard (its name)."""
+    """df with slot and shard (its name); columns of df that have these names are replaced, the key's too once it is used."""
     held = lookup_table(shards, size)
     names = F.split(F.lit("\x1f".join(shards)), "\x1f")
+    own, shard = unused(df, "slot_"), unused(df, "shard_")
     slots = (df.sparkSession.range(1)
-             .select(F.posexplode(F.split(F.lit(",".join(map(str, held))), ",")).alias("slot", "at"))
-             .select("slot", F.element_at(names, F.col("at").cast("int") + 1).alias("shard")))
-    return df.withColumn("slot", slot_of(F.col(key), size)).join(F.broadcast(slots), "slot", "left")
+             .select(F.posexplode(F.split(F.lit(",".join(map(str, held))), ",")).alias(own, "at"))
+             .select(own, F.element_at(names, F.col("at").cast("int") + 1).alias(shard)))
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("slot", "shard")]
+    placed = df.withColumn(own, slot_of(F.col(f"`{key}`"), size)).join(F.broadcast(slots), own, "left")
+    return placed.select(*kept, F.col(own).alias("slot"), F.col(shard).alias("shard"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,24 +152,27 @@ def _piece(h: np.ndarray, doc: np.ndarray, sig: np.ndarray, pos: np.ndarray, off
         yield _rows(1, key[fresh], doc[fresh], sig[fresh], start[fresh], start[np.append(fresh[1:], len(key)) - 1] + LEAST, [None] * len(fresh))
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_piece of about PIECE sorted suffixes at a time."""
-    def told(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        ctx = one.column(1)
-        offset = np.frombuffer(ctx.buffers()[1], np.int32)[ctx.offset : ctx.offset + len(ctx) + 1].astype(np.int64)
-        yield from _piece(*[np.asarray(one.column(k)) for k in (0, 2, 3, 4)], offset, np.frombuffer(ctx.buffers()[2], np.uint8))
-
-    held, rows = [], 0
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            rows += batch.num_rows
-        if rows >= PIECE:
+def _neighbours(piece: int):
+    """_piece of about so many sorted suffixes at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            one = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            ctx = one.column(1)
+            offset = np.frombuffer(ctx.buffers()[1], np.int32)[ctx.offset : ctx.offset + len(ctx) + 1].astype(np.int64)
+            yield from _piece(*[np.asarray(one.column(k)) for k in (0, 2, 3, 4)], offset, np.frombuffer(ctx.buffers()[2], np.uint8))
+
+        held, rows = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= piece:
+                yield from told(held)
+                held, rows = [], 0
+        if rows:
             yield from told(held)
-            held, rows = [], 0
-    if rows:
-        yield from told(held)
+
+    return run
 
 
 def short_sig(text: str) -> Column:
@@ -182,7 +185,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = (docs.where("doc_id is not null and text is not null").select("doc_id", "text", short_sig("text").alias("sig"))
             .mapInArrow(_suffixes, "h long, ctx binary, doc_id long, sig int, pos int"))
     order = ["h", "ctx", "doc_id"]
-    found = cut(rows.repartitionByRange(parts(docs.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(_neighbours, _FOUND), "neighbours")
+    found = cut(rows.repartitionByRange(parts(docs.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(_neighbours(PIECE), _FOUND), "neighbours")
     ends = found.where("kind = 1").withColumn("other", F.min("doc_id").over(Window.partitionBy("h")))  # a row for each piece and stretch at most
     across = ends.where("doc_id > other")
     marks = found.where("kind = 0").select("doc_id", "sig", "start", "stop", "other").union(across.select("doc_id", "sig", "start", "stop", "other"))
