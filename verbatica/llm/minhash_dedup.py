@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import components, cut, discard, parts, row_sig, table, unused
+from .shared import bitmap, components, cut, discard, is_set, parts, place, row_sig, split, table, unused
 from .textops import Words, list_array, mix, not_blank, portions, window_hashes
 
 SHINGLE = 5
@@ -46,8 +46,6 @@ SLACK = 0.07
 CELL = 128
 #: Band keys that are looked at in one go.
 PIECE = 1 << 17
-#: Places of the bitmap that tells whose sets are asked for: 8 MB.
-BITS = 1 << 26
 
 _rng = np.random.default_rng(20_25)
 _A = (_rng.integers(1 << 32, size=HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -138,8 +136,7 @@ def _full_sets(bits: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = bits.value
         for every in batches:
-            at = np.asarray(every.column(2))
-            asked = every.filter(pa.array((wanted[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            asked = every.filter(pa.array(is_set(wanted, np.asarray(every.column(2)))))
             for batch, texts in portions([asked]):
                 sets, count = shingle_sets(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signatures(sets, count)[:, 0]), list_array(sets.view(np.int64), count, pa.int64())], names=["id", "sig", "set"])
@@ -301,16 +298,11 @@ def _node(id_: str, sig: str) -> Column:
 def _sets_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, set) of the rows that nodes (node) names, and of a few others.
 
-    The texts are read where they lie.  A bitmap of ``BITS`` places, whatever the data, tells which may be asked for; what it lets
+    The texts are read where they lie.  A bitmap of bounded size tells which may be asked for; what it lets
     through by mistake finds no partner in the joins that follow.
     """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
-    asked = nodes.select(F.col("node.id").alias("doc_id")).select(place.alias("at")).select((F.col("at") / 8).cast("int").alias("byte"), F.pow(F.lit(2), F.col("at") % 8).cast("int").alias("bit"))
-    bits = np.zeros(BITS // 8, np.uint8)
-    for part in asked.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():  # BITS / 8 rows at most
-        bits[np.asarray(part.column(0))] = np.asarray(part.column(1))
-    held = texts.sparkSession.sparkContext.broadcast(bits)
-    sets = texts.select("doc_id", "text", place.alias("at")).mapInArrow(_full_sets(held), "id long, sig long, set array<long>")
+    held = texts.sparkSession.sparkContext.broadcast(bitmap(nodes.select(place("node.id"))))
+    sets = texts.select("doc_id", "text", place("doc_id").alias("at")).mapInArrow(_full_sets(held), "id long, sig long, set array<long>")
     return sets.select(_node("id", "sig").alias("node"), "set").dropDuplicates(["node"])
 
 
@@ -404,8 +396,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without all but one of each group; rows with a null doc_id stay."""
     key, row = unused(docs, "id_"), unused(docs, "row_")
-    lost = cut(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(key), F.col("row").alias(row)).distinct(), "lost")  # its size is known, so that texts move only if it is large
-    return docs.join(lost, (F.col("doc_id") == F.col(key)) & (row_sig("text") == F.col(row)), "left_anti")
+    lost = cut(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(key), F.col("row").alias(row)).distinct(), "lost")
+    named, others = split(docs, place("doc_id", row_sig("text")), lost.select(place(key, row)))
+    return others.unionByName(named.join(lost, (F.col("doc_id") == F.col(key)) & (row_sig("text") == F.col(row)), "left_anti"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..plans.lineage import cut
@@ -37,6 +41,46 @@ def fold_of(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 4
 
 
+#: Places of a bitmap of keys: 8 MB, whatever the data.
+BITS = 1 << 26
+
+
+def place(*key: Column | str) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(BITS))
+
+
+def bitmap(places: DataFrame) -> np.ndarray:
+    """Which places the one column of places names; BITS / 8 rows at most reach the driver."""
+    at = places.toDF("at").select((F.col("at") / 8).cast("int").alias("byte"), F.pow(F.lit(2), F.col("at") % 8).cast("int").alias("bit"))
+    bits = np.zeros(BITS // 8, np.uint8)
+    for part in at.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
+        bits[np.asarray(part.column(0))] = np.asarray(part.column(1))
+    return bits
+
+
+def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def split(docs: DataFrame, at: Column, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose place is among places, and the others.
+
+    A join with few of the documents then moves the texts of these alone: the others can have no partner.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(places))
+    names, marked = docs.columns, docs.withColumn(unused(docs, "at_"), at)
+
+    def of(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = pa.array(is_set(held.value, np.asarray(batch.column(len(names)))) == wanted)
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).filter(keep)
+
+        return marked.mapInArrow(run, docs.schema)
+
+    return of(True), of(False)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

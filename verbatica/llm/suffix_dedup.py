@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .shared import cut, parts, table, unused
+from .shared import cut, parts, place, split, table, unused
 from .textops import Words, expand, mix, not_blank, portions, window_hashes
 
 GRAM, SPREAD, PREFIX, LEAST = 8, 16, 32, 50
@@ -225,8 +225,9 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             columns = [pa.array(now[name], batch.schema.field(k).type) if name in now else batch.column(k) for k, name in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay))
 
-    met = docs.join(listed, (F.col("doc_id") == F.col(key)) & (short_sig("text") == F.col(mark)), "left")
-    return met.select(*names, held).mapInArrow(drop, docs.schema)
+    named, others = split(docs, place("doc_id", short_sig("text")), spans.select(place("doc_id", "sig")))
+    met = named.join(listed, (F.col("doc_id") == F.col(key)) & (short_sig("text") == F.col(mark)), "left")
+    return others.unionByName(met.select(*names, held).mapInArrow(drop, docs.schema))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
