@@ -30,10 +30,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import bitmap, components, cut, discard, is_set, parts, place, row_sig, split, table, unused
+from .shared import among, components, cut, discard, parts, place, row_sig, split, table, unused
 from .textops import Words, list_array, mix, not_blank, portions, window_hashes
 
 SHINGLE = 5
@@ -131,17 +130,10 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], names=["doc_id", "n_shingles", "sig_a", "sig_b", "row", "bands", "sketch"])
 
 
-def _full_sets(bits: Broadcast):
-    """(id, sig, set) of the rows whose place in the bitmap is set."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = bits.value
-        for every in batches:
-            asked = every.filter(pa.array(is_set(wanted, np.asarray(every.column(2)))))
-            for batch, texts in portions([asked]):
-                sets, count = shingle_sets(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signatures(sets, count)[:, 0]), list_array(sets.view(np.int64), count, pa.int64())], names=["id", "sig", "set"])
-
-    return run
+def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in portions(batches):
+        sets, count = shingle_sets(texts)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signatures(sets, count)[:, 0]), list_array(sets.view(np.int64), count, pa.int64())], names=["id", "sig", "set"])
 
 
 def _together(piece: int):
@@ -301,8 +293,8 @@ def _sets_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     The texts are read where they lie.  A bitmap of bounded size tells which may be asked for; what it lets
     through by mistake finds no partner in the joins that follow.
     """
-    held = texts.sparkSession.sparkContext.broadcast(bitmap(nodes.select(place("node.id"))))
-    sets = texts.select("doc_id", "text", place("doc_id").alias("at")).mapInArrow(_full_sets(held), "id long, sig long, set array<long>")
+    has = among(nodes.select(place("node.id")))
+    sets = texts.select("doc_id", "text").where(has(place("doc_id"))).mapInArrow(_full_sets, "id long, sig long, set array<long>")
     return sets.select(_node("id", "sig").alias("node"), "set").dropDuplicates(["node"])
 
 

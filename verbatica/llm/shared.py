@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..plans.lineage import cut
@@ -58,8 +58,16 @@ def bitmap(places: DataFrame) -> np.ndarray:
     return bits
 
 
-def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+def among(places: DataFrame) -> Callable[[Column], Column]:
+    """A test whether a place is among places; only the place of a row goes to Python, its texts stay."""
+    held = places.sparkSession.sparkContext.broadcast(bitmap(places))
+
+    @F.pandas_udf("boolean")
+    def has(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return has
 
 
 def split(docs: DataFrame, at: Column, places: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -67,18 +75,8 @@ def split(docs: DataFrame, at: Column, places: DataFrame) -> tuple[DataFrame, Da
 
     A join with few of the documents then moves the texts of these alone: the others can have no partner.
     """
-    held = docs.sparkSession.sparkContext.broadcast(bitmap(places))
-    names, marked = docs.columns, docs.withColumn(unused(docs, "at_"), at)
-
-    def of(wanted: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = pa.array(is_set(held.value, np.asarray(batch.column(len(names)))) == wanted)
-                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).filter(keep)
-
-        return marked.mapInArrow(run, docs.schema)
-
-    return of(True), of(False)
+    has = among(places)
+    return docs.where(has(at)), docs.where(~has(at))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
