@@ -30,9 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import among, components, cut, discard, parts, place, row_sig, split, table, unused
+from .shared import bitmap, components, cut, discard, is_set, partners, parts, place, row_sig, table, unused
 from .textops import Words, list_array, mix, not_blank, portions, window_hashes
 
 SHINGLE = 5
@@ -116,7 +117,7 @@ def signatures(sets: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in portions(batches, most=500_000, rows=1_000):
+    for batch, texts in portions(batches, most=300_000, rows=400):
         sets, count = shingle_sets(texts)
         some = count > 0
         mins = minhashes(sets, count[some])
@@ -130,10 +131,16 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], names=["doc_id", "n_shingles", "sig_a", "sig_b", "row", "bands", "sketch"])
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in portions(batches):
-        sets, count = shingle_sets(texts)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signatures(sets, count)[:, 0]), list_array(sets.view(np.int64), count, pa.int64())], names=["id", "sig", "set"])
+def _full_sets(bits: Broadcast):
+    """(id, sig, set) of the rows whose place in the bitmap is set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for every in batches:
+            asked = every.filter(pa.array(is_set(bits.value, np.asarray(every.column(2)))))
+            for batch, texts in portions([asked]):
+                sets, count = shingle_sets(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signatures(sets, count)[:, 0]), list_array(sets.view(np.int64), count, pa.int64())], names=["id", "sig", "set"])
+
+    return run
 
 
 def _together(piece: int):
@@ -293,8 +300,8 @@ def _sets_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     The texts are read where they lie.  A bitmap of bounded size tells which may be asked for; what it lets
     through by mistake finds no partner in the joins that follow.
     """
-    has = among(nodes.select(place("node.id")))
-    sets = texts.select("doc_id", "text").where(has(place("doc_id"))).mapInArrow(_full_sets, "id long, sig long, set array<long>")
+    held = texts.sparkSession.sparkContext.broadcast(bitmap(nodes.select(place("node.id"))))
+    sets = texts.select("doc_id", "text", place("doc_id").alias("at")).mapInArrow(_full_sets(held), "id long, sig long, set array<long>")
     return sets.select(_node("id", "sig").alias("node"), "set").dropDuplicates(["node"])
 
 
@@ -389,8 +396,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without all but one of each group; rows with a null doc_id stay."""
     key, row = unused(docs, "id_"), unused(docs, "row_")
     lost = cut(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(key), F.col("row").alias(row)).distinct(), "lost")
-    named, others = split(docs, place("doc_id", row_sig("text")), lost.select(place(key, row)))
-    return others.unionByName(named.join(lost, (F.col("doc_id") == F.col(key)) & (row_sig("text") == F.col(row)), "left_anti"))
+    return partners(docs, lost, (F.col("doc_id") == F.col(key)) & (row_sig("text") == F.col(row)), place("doc_id", row_sig("text")), place(key, row))[1]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,25 +58,36 @@ def bitmap(places: DataFrame) -> np.ndarray:
     return bits
 
 
+def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def among(places: DataFrame) -> Callable[[Column], Column]:
     """A test whether a place is among places; only the place of a row goes to Python, its texts stay."""
     held = places.sparkSession.sparkContext.broadcast(bitmap(places))
 
     @F.pandas_udf("boolean")
     def has(at: pd.Series) -> pd.Series:
-        at = at.to_numpy()
-        return pd.Series((held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+        return pd.Series(is_set(held.value, at.to_numpy()))
 
     return has
 
 
-def split(docs: DataFrame, at: Column, places: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows whose place is among places, and the others.
+#: Most rows of a table that is broadcast.
+SMALL = 500_000
+
+
+def partners(docs: DataFrame, few: DataFrame, on: Column, at: Column, places: Column) -> tuple[DataFrame, DataFrame]:
+    """(docs joined with few, docs without a partner in few); few is written out, so it can be counted.
 
-    A join with few of the documents then moves the texts of these alone: the others can have no partner.
+    Up to SMALL rows of few are broadcast.  Beyond, a bitmap of their places tells the documents that may have a partner, and the
+    texts of these alone move.
     """
-    has = among(places)
-    return docs.where(has(at)), docs.where(~has(at))
+    if few.count() <= SMALL:
+        return docs.join(F.broadcast(few), on), docs.join(F.broadcast(few), on, "left_anti")
+    has = among(few.select(places))
+    named = docs.where(has(at))
+    return named.join(few, on), docs.where(~has(at)).unionByName(named.join(few, on, "left_anti"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .shared import cut, parts, place, split, table, unused
+from .shared import cut, partners, parts, place, table, unused
 from .textops import Words, expand, mix, not_blank, portions, window_hashes
 
 GRAM, SPREAD, PREFIX, LEAST = 8, 16, 32, 50
@@ -201,6 +201,7 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs, their texts without the spans' words; a text of which nothing but white space is left goes. n_chars, if there, follows the text."""
     key, mark, held = (unused(docs, name) for name in ("id_", "sig_", "spans_"))
     listed = spans.groupBy("doc_id", "sig").agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias(held)).withColumnsRenamed({"doc_id": key, "sig": mark})
+    listed = cut(listed, "listed")
     names = docs.columns
     follows = {"text", "n_chars"} & set(names)
 
@@ -225,9 +226,8 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             columns = [pa.array(now[name], batch.schema.field(k).type) if name in now else batch.column(k) for k, name in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay))
 
-    named, others = split(docs, place("doc_id", short_sig("text")), spans.select(place("doc_id", "sig")))
-    met = named.join(listed, (F.col("doc_id") == F.col(key)) & (short_sig("text") == F.col(mark)), "left")
-    return others.unionByName(met.select(*names, held).mapInArrow(drop, docs.schema))
+    named, others = partners(docs, listed, (F.col("doc_id") == F.col(key)) & (short_sig("text") == F.col(mark)), place("doc_id", short_sig("text")), place(key, mark))
+    return others.unionByName(named.select(*names, held).mapInArrow(drop, docs.schema))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
