@@ -62,6 +62,7 @@ def test_ranks_and_tests(spark):
     assert abs(info.spearman(line, "x", "y").first().rho - 1) < 1e-12
     shifted = spark.createDataFrame([("a", float(i)) for i in range(25)] + [("b", float(i + 100)) for i in range(25)] + [("c", 1.0)], "g string, v double")
     k = info.kruskal(shifted, "v", "g").first()
+    assert abs(k.p - info.chi_square_tail(k.h, k.k - 1)) < 1e-12
     assert k.k == 2 and abs(k.h - 36.7647) < 1e-3 and info.chi_square_tail(k.h, 1) < 1e-6
     assert abs(info.chi_square_tail(3.841458820694124, 1) - 0.05) < 1e-6 and abs(info.chi_square_tail(18.307038053275146, 10) - 0.05) < 1e-6
     p = spark.createDataFrame([("a", 0.001), ("b", 0.02), ("c", 0.03), ("d", 0.9)], "test string, p double")

@@ -137,3 +137,10 @@ def test_windows(spark):
     rows = spark.sql("select timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,x) as ts, 1L as user_id, 'a' as event_type, 1.0D as value from values (0), (10), (50), (70) t(x)")
     assert sorted((r.n, r.total) for r in capture.activity(rows).collect()) == [(1, 1.0), (3, 3.0)]
     assert sorted(r.n for r in capture.sessions(rows).collect()) == [2, 2]
+
+
+def test_a_chat_tree_of_many_nodes(spark):
+    tree = {"mapping": {f"n{k}": {"id": f"n{k}", "parent": f"n{k - 1}" if k else None, "children": [f"n{k + 1}", "gone"] if k < 399 else [],
+                                  "message": {"author": {"role": "user" if k % 2 else "assistant"}, "content": {"parts": [f"text {k}"]}} if k else None} for k in range(400)}}
+    rows = files.mapping_messages(spark.createDataFrame([("t", json.dumps(tree))], "path string, text string")).orderBy("depth").collect()
+    assert [r.content for r in rows] == [f"text {k}" for k in range(1, 400)] and files.mapping_messages(spark.createDataFrame([("t", "{}")], "path string, text string")).collect() == []

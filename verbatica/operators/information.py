@@ -130,8 +130,13 @@ def kruskal(df: DataFrame, value: str, by: str, least: int = 20) -> DataFrame:
     ties = ranks.agg(F.lit(1).alias("one"), F.sum(F.col("n").cast("double") * F.col("n") * F.col("n") - F.col("n")).alias("t"))
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
     h = F.try_divide(F.try_divide(F.lit(12.0), n * (n + 1)) * F.col("s") - 3 * (n + 1), 1 - F.try_divide(F.col("t"), n * n * n - n))
+    @F.pandas_udf("double")
+    def tail(h: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) or g < 2 else chi_square_tail(x, int(g) - 1) for x, g in zip(h, k, strict=True)], dtype="float64")
+
     return (total.join(ties, "one").select(h.alias("h"), F.col("n").alias("n"), F.col("k").alias("k"))
-            .withColumn("epsilon_squared", F.greatest(F.try_divide(F.col("h") - F.col("k") + 1, F.col("n") - F.col("k")), F.lit(0.0))))
+            .withColumn("epsilon_squared", F.greatest(F.try_divide(F.col("h") - F.col("k") + 1, F.col("n") - F.col("k")), F.lit(0.0)))
+            .withColumn("p", tail("h", "k")))
 
 
 def chi_square_tail(x: float, df: int) -> float:

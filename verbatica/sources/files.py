@@ -93,19 +93,21 @@ def export_messages(files: DataFrame) -> DataFrame:
 
 
 def mapping_messages(files: DataFrame) -> DataFrame:
-    """(path, depth, role, content) of exports whose `mapping` is a tree: from the root always to the first child, as a recursive query over node rows."""
+    """(path, depth, role, content) of exports whose `mapping` is a tree: from the root always to the first child, walked inside the row, as deep as the tree is."""
     node = "struct<id:string,parent:string,children:array<string>,message:struct<author:struct<role:string>,content:struct<parts:array<string>>>>"
-    nodes = files.select("path", F.explode(F.from_json(F.get_json_object("text", "$.mapping"), f"map<string,{node}>")).alias("id", "n"))
-    rows = nodes.select("path", "id", F.col("n.parent").alias("parent"), F.get("n.children", F.lit(0)).alias("next"), F.col("n.message.author.role").alias("role"), F.array_join("n.message.content.parts", "\n").alias("content"))
-    rows.createOrReplaceTempView("mapping_nodes")
-    walk = files.sparkSession.sql("""
-        with recursive first as (select path, min_by(id, struct(role is not null, id)) as id from mapping_nodes where parent is null group by path),
-        walk(path, id, next, role, content, depth) as (
-          select m.path, m.id, m.next, m.role, m.content, 0 from mapping_nodes m join first f on m.path = f.path and m.id = f.id
-          union all
-          select m.path, m.id, m.next, m.role, m.content, w.depth + 1 from walk w join mapping_nodes m on m.path = w.path and m.id = w.next)
-        select path, depth, role, content from walk""")
-    return walk.where(F.col("role").isin("user", "assistant") & (F.col("content") != ""))
+    trees = files.select("path", F.from_json(F.get_json_object("text", "$.mapping"), f"map<string,{node}>").alias("m"))
+    roots = F.filter(F.map_entries("m"), lambda e: e["value"]["parent"].isNull())
+    root = F.array_min(F.transform(roots, lambda e: F.struct(e["value"]["message"]["author"]["role"].isNotNull().alias("told"), e["key"].alias("id"))))["id"]
+
+    def step(walk: Column, _: Column) -> Column:
+        here = F.try_element_at("m", walk["id"])
+        return F.when(walk["id"].isNotNull() & here.isNotNull(), F.struct(F.get(here["children"], F.lit(0)).alias("id"), F.concat(walk["ids"], F.array(walk["id"])).alias("ids"))).otherwise(
+            F.struct(F.lit(None).cast("string").alias("id"), walk["ids"].alias("ids")))
+
+    start = F.struct(root.alias("id"), F.array().cast("array<string>").alias("ids"))
+    walked = trees.select("path", "m", F.posexplode(F.aggregate(F.map_keys("m"), start, step)["ids"]).alias("depth", "id")).withColumn("message", F.try_element_at("m", F.col("id"))["message"])
+    told = walked.select("path", "depth", F.col("message.author.role").alias("role"), F.array_join("message.content.parts", "\n").alias("content"))
+    return told.where(F.col("role").isin("user", "assistant") & (F.col("content") != ""))
 
 
 def channel_messages(files: DataFrame) -> DataFrame:
