@@ -46,10 +46,7 @@ def _dense(spark, sf_dir, k=10):
 
 
 def _fused(spark, sf_dir):
-    sparse = _bm25(spark, sf_dir, 100).select("query_id", "id", "rank").withColumn("signal", F.lit("sparse"))
-    loose = r.best(r.boolean_match(_ask(spark, sf_dir), drawers(spark, sf_dir), "any").withColumn("score", F.col("n_terms").cast("double")), 100)
-    both = sparse.unionByName(loose.select("query_id", "id", "rank").withColumn("signal", F.lit("any")))
-    return r.best(r.fused(both, {"sparse": 1.0, "any": 0.5}), 20)
+    return r.best(r.fused(r.lexical(_ask(spark, sf_dir), drawers(spark, sf_dir)), {"sparse": 1.0, "any": 0.5}), 20)
 
 
 _FUSED = WITH + "," + _BM25 + "," + _ANY + """,
