@@ -58,6 +58,19 @@ def band(value: Column) -> Column:
     return F.when(value < 0.10, "low").when(value < 0.50, "medium").otherwise("high")
 
 
+def backfilled(rows: DataFrame, tags: DataFrame) -> DataFrame:
+    """(id, novelty, tagged): the novelty a row is tagged with in tags (id, novelty), computed for rows without; tagged tells which are new."""
+    held = tags.where("novelty is not null").select("id", F.col("novelty").alias("old"))
+    return novelty(rows).join(held, "id", "left").select("id", F.coalesce("old", "novelty").alias("novelty"), F.col("old").isNull().alias("tagged"))
+
+
+def scored_novelty(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, novelty, band) of queries from their nearest rows (query_id, score): 1 less the best, 1.0 without any."""
+    near = hits.groupBy("query_id").agg(F.max("score").alias("score"))
+    found = queries.select("query_id").join(near, "query_id", "left").select("query_id", F.coalesce(1 - F.col("score"), F.lit(1.0)).alias("novelty"))
+    return found.withColumn("band", band(F.col("novelty")))
+
+
 def residuals(rows: DataFrame, k: int = 20, least: int = 5, ridge: float = 0.001) -> DataFrame:
     """(id, residual): how far a vector lies from its reconstruction by up to k earlier neighbours; null below `least`."""
     near = earlier_neighbours(rows, k).select("id", "prior")
@@ -99,6 +112,21 @@ def histogram(df: DataFrame, value: str, edges: list[float], by: str | None = No
     return df.where(F.col(value).isNotNull()).withColumn("bin", F.least(bin_, F.lit(last))).groupBy(*keys).agg(F.count("*").alias("n"))
 
 
+def pooled(histograms: DataFrame) -> DataFrame:
+    """(bin, n): the sum of the groups' histograms over the same edges."""
+    return histograms.groupBy("bin").agg(F.sum("n").alias("n"))
+
+
+def variance_per_bin(df: DataFrame, at: str, value: str, width: int = 10) -> DataFrame:
+    """(start, variance): the sample variance of value in bins of `at` from its smallest on; 1.0 where fewer than two rows are."""
+    kept = df.where(F.col(at).isNotNull() & F.col(value).isNotNull()).select(F.col(at).alias("at"), F.col(value).alias("v"))
+    ends = kept.agg(F.min("at").cast("long").alias("low"), F.max("at").cast("long").alias("high"))
+    starts = ends.where("low is not null").select(F.explode(F.sequence("low", "high", F.lit(width))).alias("start"))
+    low = ends.first()["low"] or 0
+    spread = kept.groupBy((low + F.floor((F.col("at") - low) / width) * width).cast("long").alias("start")).agg(F.var_samp("v").alias("variance"), F.count("*").alias("n"))
+    return starts.join(spread, "start", "left").select("start", F.when(F.col("n") > 1, F.col("variance")).otherwise(F.lit(1.0)).alias("variance"))
+
+
 def quantiles(df: DataFrame, value: str, by: str) -> DataFrame:
     return df.groupBy(by).agg(*[F.percentile(value, q).alias(name) for name, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9))], F.avg(value).alias("mean"), F.count(value).alias("n"))
 
@@ -111,12 +139,10 @@ def average_ranks(df: DataFrame, value: str) -> DataFrame:
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
     ranged = cut(counts.repartitionByRange(value).withColumn("part", F.spark_partition_id()), "ranks")
-    before, offset = 0, F.lit(0)
-    for row in sorted(ranged.groupBy("part").agg(F.sum("n").alias("n")).collect()):
-        offset = F.when(F.col("part") == row["part"], F.lit(before)).otherwise(offset)
-        before += row["n"]
+    # one row for each range
+    before = ranged.groupBy("part").agg(F.sum("n").alias("m")).select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("offset"))
     inside = F.sum("n").over(Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.select(value, (offset + inside - F.col("n") + (F.col("n") + 1) / 2).alias("rank"), "n")
+    return ranged.join(before, "part").select(value, (F.col("offset") + inside - F.col("n") + (F.col("n") + 1) / 2).alias("rank"), "n")
 
 
 def kruskal(df: DataFrame, value: str, by: str, least: int = 20) -> DataFrame:

@@ -5,10 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+#: Fixed value: the day since which seeded interests hold.
+INTERESTS_SINCE = "2025-01-01"
+
+
 def entity_id(name: Column) -> Column:
     return F.replace(F.replace(F.lower(name), F.lit(" "), F.lit("_")), F.lit("'"), F.lit(""))
 
 
+def with_entities(entities: DataFrame, new: DataFrame) -> DataFrame:
+    """entities (id, name, type, properties) with the new ones (name, type, properties); an id that is there is replaced.
+
+    Of several new rows with one id the greatest by name, type and properties stays.
+    """
+    kept = new.select(entity_id(F.col("name")).alias("id"), F.struct("name", "type", "properties").alias("row")).groupBy("id").agg(F.max("row").alias("row")).select("id", "row.*")
+    return entities.select("id", "name", "type", "properties").join(kept.select("id"), "id", "left_anti").unionByName(kept)
+
+
+def with_names(triples: DataFrame, entities: DataFrame, direction: str = "outgoing") -> DataFrame:
+    """Facts with the name and type of the entity at the other end: the object of outgoing, the subject of incoming facts."""
+    end = {"outgoing": "object", "incoming": "subject"}[direction]
+    return triples.join(entities.select(F.col("id").alias(end), F.col("name").alias("other_name"), F.col("type").alias("other_type")), end)
+
+
+def seeded(facts: DataFrame) -> DataFrame:
+    """(subject, predicate, object, valid_from) of fact rows: key, full_name, birthday, parent, partner and interests, any of them null.
+
+    The subject is the full name, or else the key; keys and the other ends are written with one capital in front.
+    """
+    def capital(name):
+        return F.concat(F.upper(F.substring(name, 1, 1)), F.lower(F.substring(name, 2, 2**31 - 1)))
+
+    def fact(predicate: str, obj, start):
+        return F.struct(F.lit(predicate).alias("predicate"), capital(obj).alias("object"), start.cast("string").alias("valid_from"))
+
+    loves = F.transform(F.coalesce("interests", F.array().cast("array<string>")), lambda x: fact("loves", x, F.lit(INTERESTS_SINCE)))
+    kin = F.array(fact("child_of", F.col("parent"), F.col("birthday")), fact("married_to", F.col("partner"), F.lit(None)))
+    every = facts.select(entity_id(F.coalesce("full_name", capital(F.col("key")))).alias("subject"), F.explode(F.concat(kin, loves)).alias("f"))
+    return every.select("subject", "f.predicate", entity_id(F.col("f.object")).alias("object"), "f.valid_from").where("object is not null and object <> ''").distinct()
+
+
 def valid_at(day: str | None) -> Column:
     """Both ends of the interval are included."""
     if day is None:
