@@ -1,3 +1,4 @@
+from verbatica.functions import article
 from verbatica.operators import history, information as info, knowledge as kg
 
 
@@ -58,3 +59,18 @@ def test_novelty_tools_and_bins(spark):
 def test_average_ranks_over_ranges(spark):
     df = spark.createDataFrame([(float(v),) for v in [3, 1, 1, 2, 2, 2, 9]] + [(None,)], "v double")
     assert sorted(tuple(r) for r in info.average_ranks(df, "v").collect()) == [(1.0, 1.5, 2), (2.0, 4.0, 3), (3.0, 6.0, 1), (9.0, 7.0, 1)]
+
+
+def test_article_profile_reads_whole_texts(spark):
+    words = 20_000
+    texts = spark.createDataFrame([(1, "word " * words + "end."), (2, "One word here."), (3, None)], "n int, text string")
+    got = {r.n: r for r in article.profile(texts).collect()}
+    assert (got[1].n_words, got[1].oversized) == (words + 1, True) and (got[2].n_words, got[2].oversized) == (3, False)
+    assert got[3].words_per_sentence is None
+
+
+def test_spearman_interval_holds_the_correlation(spark):
+    df = spark.createDataFrame([(i, float(i), float(i * i + (i % 7) * 40)) for i in range(200)] + [(900, None, 1.0)], "b long, x double, y double")
+    rho = info.spearman(df, "x", "y").first()["rho"]
+    got = info.spearman_bootstrap(df, "x", "y", "b", resamples=200)
+    assert abs(got["r"] - rho) < 1e-9 and got["low"] <= rho <= got["high"]

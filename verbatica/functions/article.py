@@ -1,4 +1,4 @@
-"""Article profile of bounded texts: counts and readability of prose, with what was set aside."""
+"""Article profile of texts: counts and readability of prose, with what was set aside."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .quality import syllables
 
-#: Bytes that a profile reads, sentences that SMOG needs, abbreviations that end no sentence.
+#: Bytes from which a text counts as oversized, sentences that SMOG needs, abbreviations that end no sentence.
 MOST_BYTES, SMOG_SENTENCES = 64 * 1024, 30
 ABBREVIATIONS = ["mr", "mrs", "ms", "dr", "prof", "st", "vs", "etc", "e.g", "i.e", "fig", "no", "inc", "ltd", "approx"]
 WORD = r"([\p{L}\p{N}]+(?:['’.][\p{L}\p{N}]+)*)"
@@ -30,12 +30,13 @@ def sentences(text: Column) -> Column:
 def profile(df: DataFrame, text: str = "text", language: Column | None = None) -> DataFrame:
     """df with n_words, n_sentences, words_per_sentence, and for English flesch_reading_ease, and smog from 30 sentences on.
 
-    The profile is defined on the first 64 KiB; truncated says where there was more.
+    Whole texts are profiled, whatever their length; oversized tells which have more than 64 KiB, so that a caller may refuse them.
+    A null text has no counts.
     """
     english = F.lit(True) if language is None else F.coalesce(language == "en", F.lit(False))
-    at = df.withColumn("__p", prose(F.substring(text, 1, MOST_BYTES)))
+    at = df.withColumn("__p", prose(F.col(text)))
     at = at.withColumn("__s", sentences(F.col("__p"))).withColumn("__y", F.transform(F.regexp_extract_all(F.lower("__p"), F.lit(WORD), F.lit(1)), syllables))
-    at = at.withColumns({"n_words": F.size("__y"), "n_sentences": F.size("__s"), "truncated": F.octet_length(text) > MOST_BYTES,
+    at = at.withColumns({"n_words": F.size("__y"), "n_sentences": F.size("__s"), "oversized": F.octet_length(text) > MOST_BYTES,
                          "__n": F.aggregate("__y", F.lit(0), lambda a, x: a + x), "__long": F.size(F.filter("__y", lambda x: x >= 3))})
     some = (F.col("n_words") > 0) & (F.col("n_sentences") > 0)
     per = F.col("n_words") / F.col("n_sentences")

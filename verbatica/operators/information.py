@@ -218,6 +218,14 @@ def bootstrap(df: DataFrame, x: str, y: str, block: str, resamples: int = 1000,
     return {"r": float(r(sums.sum(axis=0)[None])[0]), "low": float(np.quantile(r(drawn), tail)), "high": float(np.quantile(r(drawn), 1 - tail))}
 
 
+def spearman_bootstrap(df: DataFrame, x: str, y: str, block: str, **more: float) -> dict[str, float]:
+    """Rank correlation with a block bootstrap interval, as ``bootstrap``; blocks are resampled with the ranks they have among all rows."""
+    kept = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y, block)
+    rx = average_ranks(kept, x).select(x, F.col("rank").alias("rx"))
+    ry = average_ranks(kept, y).select(y, F.col("rank").alias("ry"))
+    return bootstrap(kept.join(rx, x).join(ry, y), "rx", "ry", block, **more)
+
+
 def benjamini_hochberg(p_values: DataFrame, q: float = 0.05) -> DataFrame:
     """(test, p, rejected): all up to the largest rank whose p lies below rank / m * q; one row a test, so few."""
     m = F.count("*").over(Window.partitionBy())
