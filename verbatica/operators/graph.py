@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.lineage import cut
+
 #: Fixed value: a room of this name is no node.
 GENERAL = "general"
 
@@ -102,3 +104,21 @@ def followed(known: DataFrame, drawers: DataFrame, wing: str, room: str, preview
     back = known.where((F.col("wing_b") == wing) & (F.col("room_b") == room)).select("id", F.col("wing_a").alias("wing"), F.col("room_a").alias("room"), "label")
     ends = out.union(back).withColumnRenamed("id", "tunnel_id")
     return ends.join(drawers.select("wing", "room", F.col("id").alias("drawer_id"), F.substring("text", 1, preview).alias("preview")), ["wing", "room"], "left")
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that each node of the links (a, b) reaches.
+
+    Each round takes the least label among neighbours and then the label of that label, so long chains shrink by halves; a
+    round is a partial minimum and two equality joins, written to the shared folder, and the last one changes nothing.
+    """
+    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct(), "both")
+    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    while True:
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
+        lower = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("low"))
+        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
+        after = cut(lower.join(jump, "low").select("node", F.least("low", "far").alias("label"), (F.least("low", "far") != F.col("label")).alias("moved")), "labels")
+        labels = after.select("node", "label")
+        if not after.where("moved").take(1):
+            return labels.withColumnRenamed("label", "component")
