@@ -95,7 +95,53 @@ def _weights(spark, sf_dir):
     return hits.select("query_id", "id", "rank", F.round(r.info_weight(F.col("novelty"), 0.5, 0.5), 6).alias("factor"))
 
 
+def _whole(mode, weigh=False):
+    """Benchmark items ask; item n has the vector of row 50 n, and its project is the n-th language in turn. The first two words of a document are a fact of it."""
+    def make(spark, sf_dir):
+        d, v = drawers(spark, sf_dir), vectors(spark, sf_dir)
+        filed = F.unix_timestamp(F.to_timestamp("filed_at")).cast("double")
+        marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.col("quality").cast("double")).alias("quality"))
+        rated = d.select("id", "doc_id", "wing", "text", filed.alias("filed"), ((F.col("doc_id") % 10) / 40).alias("novelty")).join(marks, "doc_id", "left")
+        held = v.where("vec_id % 50 = 0").select((F.col("vec_id") / 50).cast("long").alias("query_id"), "vector")
+        asked = _ask(spark, sf_dir).join(held, "query_id", "left").withColumn("wing", F.when(F.col("query_id") % 2 == 0, "en").otherwise("de"))
+        word = F.regexp_extract_all("text", F.lit(r.WORD), F.lit(1))
+        facts = d.select(F.lower(F.get(word, F.lit(0))).alias("subject"), F.lower(F.get(word, F.lit(1))).alias("object"), F.col("id").alias("drawer_id")).where("object is not null")
+        names = facts.select(F.col("subject").alias("entity")).distinct()
+        found = r.search_all(asked, rated, v.select(F.col("vec_id").alias("id"), "vector"), facts, names, mode, weigh=weigh)
+        return found.select("query_id", "rank", "id", "kg", F.round("score", 6).alias("score"))
+
+    return make
+
+
+def _whole_sql(symbolic, quality, weigh=False):
+    """The same search: three ranked lists, fused, raised."""
+    factor = """(case when now - filed <= 7 * 86400.0 then 1.25::double else 1 end) * (case when wing = project then 1.15::double else 1 end) * (case when kg then 1.30::double else 1 end)"""
+    return WITH + "," + _BM25 + r""",
+    vq as (select vec_id // 50 as query_id, embedding::double[] as a from embeddings where vec_id % 50 = 0 and vec_id // 50 in (select item_id from benchmark)),
+    vs as (select query_id, vec_id as doc_id, round(list_dot_product(a, embedding::double[]), 10) as score from vq, embeddings),
+    vr as (select query_id, doc_id, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from vs) where rank <= 100),
+    fw as (select id, regexp_extract_all(text, '[\p{L}\p{N}_]{2,}') as w from drawers), fa as (select lower(w[1]) as subject, lower(w[2]) as object, id from fw where len(w) >= 2),
+    fn as (select distinct subject as entity from fa), qe as (select distinct query_id, entity from q join fn on entity = term),
+    fh as (select query_id, id, count(distinct subject)::double as score from (select subject as entity, subject, id from fa union all select object, subject, id from fa) x join qe using (entity) group by all),
+    fr as (select query_id, id, rank from (select *, row_number() over (partition by query_id order by score desc, id) as rank from fh) where rank <= 50),
+    al as (select query_id, id, rank, 1.0::double as w, false as kg from bm where rank <= 100 union all select query_id, id, rank, 1.0, false from vr join drawers using (doc_id) union all select query_id, id, rank, 0.5, true from fr),
+    fu as (select query_id, id, sum(w / (60 + rank)) as score, bool_or(kg) as kg from al group by all),
+    mk as (select doc_id, max(quality)::double as quality from labels group by 1),
+    pl as (select fu.*, d.wing, epoch(d.filed_at::timestamp)::double as filed, mk.quality, (d.doc_id % 10) / 40.0::double as novelty, case when fu.query_id % 2 = 0 then 'en' else 'de' end as project
+        from fu join drawers d on d.id = fu.id left join mk on mk.doc_id = d.doc_id),
+    nw as (select *, max(filed) over (partition by query_id) as now from pl),
+    rc as (select *, score * (1 + 0.5 * exp(-(now - filed) / 86400 / 90))""" + (" * (case when novelty >= 0.1 then 1 else 0.5 + 0.5 * novelty / 0.1 end)" if weigh else "") + """ as s from nw),
+    so as (select *, round(s, 10) as s0, row_number() over (partition by query_id order by round(s, 10) desc, id) as r0 from rc),
+    sy as (select *, """ + (f"s0 * (case when r0 > 50 then 1 else {factor} end)" if symbolic else "s") + """ as s1 from so),
+    qu as (select *, round(s1""" + (" * (case when quality >= 0.60 then 1.25 when quality >= 0.53 then 1.15 else 1 end)" if quality else "") + """, 10) as s2 from sy),
+    ra as (select *, row_number() over (partition by query_id order by s2 desc, id)::int as rank from qu)
+    select query_id, rank, id, kg, round(s2, 6) as score from ra where rank <= 10"""
+
+
 QUERIES = {
+    "search_fast": (_whole("fast"), _whole_sql(False, False)),
+    "search_standard": (_whole("standard", True), _whole_sql(False, True, True)),
+    "search_boosted": (_whole("boosted"), _whole_sql(True, True)),
     "bm25_topk": (lambda s, d: _bm25(s, d).select("query_id", "id", "rank", F.round("score", 6).alias("score")), WITH + "," + _BM25 + " select query_id, id, rank, round(score, 6) as score from bm where rank <= 10"),
     "fts_all": (lambda s, d: r.boolean_match(_ask(s, d), drawers(s, d), "all"), WITH + "," + _ANY + " select query_id, id, n_terms from ma where n_terms = asked"),
     "fts_any": (lambda s, d: r.boolean_match(_ask(s, d), drawers(s, d), "any"), WITH + "," + _ANY + " select query_id, id, n_terms from ma"),
