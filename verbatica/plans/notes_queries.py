@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entities, quality, requirements as rq, segments as sg
 from ..operators import registry
+from ..sources import transcripts
 from ..sources.tables import table
 
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -184,7 +185,57 @@ t as (select person, arg_min('Ann C' || k, {'n': -n, 's': 'Ann C' || k}) as name
 select name, coalesce(address, '') as addresses, n from t"""
 
 
+# --- transcripts: conversations as JSON lines, documents as outputs of tools, events as calls
+_TOOLS = ["Bash", "Grep", "Read", "Other", "Glob"]
+
+
+def _outputs(spark, sf_dir):
+    tool = F.get(F.array(*[F.lit(x) for x in _TOOLS]), (F.col("doc_id") % 5).cast("int"))
+    text = F.when(F.col("doc_id") % 5 == 3, F.col("text")).otherwise(F.replace("text", F.lit(" "), F.lit("\n")))
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(transcripts.tool_result(text, tool), 256).alias("sha256"))
+
+
+_OUTPUTS = r"""
+with o as (select doc_id, (['""" + "', '".join(_TOOLS) + r"""'])[doc_id % 5 + 1] as tool, regexp_replace(case when doc_id % 5 = 3 then coalesce(text, '') else replace(coalesce(text, ''), ' ', chr(10)) end, '^\s+|\s+$', '', 'g') as body from documents),
+l as (select *, list_transform(string_split(body, chr(10)), lambda s: '→ ' || s) as l from o),
+r as (select doc_id, case when body = '' or tool = 'Read' then ''
+    when tool = 'Bash' then case when len(l) <= 40 then array_to_string(l, chr(10)) else array_to_string(l[1:20], chr(10)) || chr(10) || '→ ... [' || (len(l) - 40) || ' lines omitted] ...' || chr(10) || array_to_string(l[-20:], chr(10)) end
+    when tool in ('Grep', 'Glob') then case when len(l) <= 20 then array_to_string(l, chr(10)) else array_to_string(l[1:20], chr(10)) || chr(10) || '→ ... [' || (len(l) - 20) || ' more matches]' end
+    when length(body) > 2048 then '→ ' || body[1:2048] || '... [truncated, ' || length(body) || ' chars]' else '→ ' || body end as s from l)
+select doc_id, sha256(s) as sha256 from r"""
+
+
+def _calls(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    name = F.when(F.col("event_id") % 4 == 0, "Read").when(F.col("event_id") % 4 == 1, "Grep").when(F.col("event_id") % 4 == 2, "Bash").otherwise(F.col("event_type"))
+    given = F.to_json(F.struct(F.col("event_type").alias("file_path"), F.col("user_id").alias("offset"), F.when(F.col("event_id") % 3 > 0, F.col("user_id") % 9).alias("limit"), F.col("event_type").alias("pattern"),
+                               F.when(F.col("event_id") % 5 == 0, F.lit("src")).alias("path"), F.lit("*.py").alias("glob"), F.repeat(F.col("event_type"), (F.col("user_id") % 60).cast("int")).alias("command")))
+    return e.select(transcripts.tool_call(name, F.when(F.col("event_id") % 4 == 3, F.to_json(F.struct("user_id"))).otherwise(given)).alias("line")).groupBy("line").agg(F.count("*").alias("n"))
+
+
+_CALLS = """
+with c as (select event_id % 4 as k, event_type as e, user_id as u, event_id % 3 > 0 as ranged, case when event_id % 5 = 0 then 'src' else '*.py' end as p, repeat(event_type, (user_id % 60)::int) as cmd from events)
+select case k when 0 then '[Read ' || e || case when ranged then ':' || u || '-' || (u + u % 9) else '' end || ']' when 1 then '[Grep] ' || e || ' in ' || p
+  when 2 then '[Bash] ' || case when length(cmd) > 200 then cmd[1:200] || '...' else cmd end else '[' || e || '] {"user_id":' || u || '}' end as line, count(*) as n from c group by 1"""
+
+
+def _started(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    kind = F.when(F.col("role") == "assistant", "gemini").otherwise(F.col("role"))
+    said = c.select("conv_id", (F.col("turn") + 1).cast("long").alias("line"), F.to_json(F.struct(kind.alias("type"), F.array(F.struct("text")).alias("content"))).alias("value"))
+    begun = c.where("conv_id % 2 = 0").select("conv_id", F.lit(0).cast("long").alias("line"), F.lit('{"type":"session_metadata"}').alias("value")).distinct()
+    return transcripts.started_messages(said.unionByName(begun), "conv_id").select("conv_id", "ordinal", "role", F.sha2("content", 256).alias("sha256"))
+
+
+_STARTED = r"""
+with t as (select conv_id, (turn + 1)::bigint as ordinal, role, text from conversations where conv_id % 2 = 0 and turn >= 0 and role in ('user', 'assistant') and regexp_matches(text, '\S'))
+select conv_id, ordinal, role, sha256(text) as sha256 from t where conv_id in (select conv_id from t group by 1 having count(*) >= 2)"""
+
+
 QUERIES = {
+    "tool_results": (_outputs, _OUTPUTS),
+    "tool_calls": (_calls, _CALLS),
+    "started_messages": (_started, _STARTED),
     "requirements": (lambda s, d: _extracted(s, d).select("doc_id", F.size("requirements").alias("n"), F.sha2(F.array_join("requirements", "\x1f"), 256).alias("sha256")),
                      "with" + _SPECS + " select doc_id, len(r)::int as n, sha256(array_to_string(r, chr(31))) as sha256 from ex"),
     "requirement_refs": (lambda s, d: rq.references(_extracted(s, d), "doc_id").select("doc_id", "id", F.array_join("refs", ",").alias("refs")), "with" + _SPECS + r""",
