@@ -341,3 +341,35 @@ def allocation(sizes: dict[str, int], total: int, floor: int) -> dict[str, int]:
         k = max(free, key=lambda k: (total * sizes[k] / whole - out[k] if gap > 0 else room[k], k))
         out[k] += 1 if gap > 0 else -1
     return out
+
+
+def smoothed(series: DataFrame, by: str, at: str, value: str, share: float = 0.1) -> DataFrame:
+    """series with smooth: the mean of the last rows, a tenth of the series but three at least; rows before the first full mean take it.
+
+    A series is an aggregate, one row for each point, so its group is small; points are ordered by `at`, which no two share.
+    """
+    ordered = Window.partitionBy(by).orderBy(at)
+    whole = Window.partitionBy(by)
+    run = F.greatest(F.lit(3), F.floor(F.count("*").over(whole) * share)).cast("int")
+    place = F.row_number().over(ordered)
+    placed = series.withColumns({"__run": run, "__at": place, "__sum": F.sum(value).over(ordered.rowsBetween(Window.unboundedPreceding, 0))})
+    before = placed.select(F.col(by).alias("__by"), (F.col("__at") + F.col("__run")).alias("__to"), F.col("__sum").alias("__past"))
+    joined = placed.join(before, (F.col(by) == F.col("__by")) & (F.col("__at") == F.col("__to")), "left")
+    mean = F.when(F.col("__at") >= F.col("__run"), (F.col("__sum") - F.coalesce("__past", F.lit(0.0))) / F.col("__run"))
+    first = F.max(F.when(F.col("__at") == F.col("__run"), mean)).over(whole)
+    return joined.select(*series.columns, F.coalesce(mean, first, F.lit(0.0)).alias("smooth"))
+
+
+def saturation(series: DataFrame, null: DataFrame, by: str, at: str, value: str, factor: float = 1.0, lasting: float = 0.1) -> DataFrame:
+    """(by, n_star): the first point from which the smoothed values stay below the interquartile range of the null (by, value) for a tenth of the series, ten points at least; null if none.
+
+    Points below the threshold in a row are one island; the first island that lasts begins at the answer.
+    """
+    range_ = null.groupBy(F.col(by).alias("__null")).agg((F.percentile("value", 0.75) - F.percentile("value", 0.25)).alias("__iqr"))
+    ordered = Window.partitionBy(by).orderBy(at)
+    marked = smoothed(series, by, at, value).join(range_, F.col(by) == F.col("__null"), "left").withColumns(
+        {"__place": F.row_number().over(ordered), "__n": F.count("*").over(Window.partitionBy(by)), "__below": F.coalesce(F.col("smooth") < factor * F.col("__iqr"), F.lit(False))})
+    island = F.col("__place") - F.row_number().over(Window.partitionBy(by, "__below").orderBy(at))
+    runs = marked.withColumn("__island", island).where("__below").groupBy(by, "__island").agg(F.count("*").alias("n"), F.max("__n").alias("whole"), F.min(at).alias("start"))
+    found = runs.where(F.col("n") >= F.greatest(F.lit(10), F.floor(F.col("whole") * lasting))).groupBy(by).agg(F.min("start").alias("n_star"))
+    return series.select(by).distinct().join(found, by, "left")
