@@ -72,7 +72,7 @@ def people(df: DataFrame, key: str, known: DataFrame, text: str = "text") -> Dat
     beside = lambda k: F.slice("w", F.lit(k), F.greatest(F.size("w"), F.lit(1)))
     each = split.select(key, F.explode(F.arrays_zip("w", beside(2).alias("second"), beside(3).alias("third"))).alias("x")).select(key, "x.*").where("w is not null")
     runs = F.array("w", F.concat_ws(" ", "w", "second"), F.concat_ws(" ", "w", "second", "third"))
-    said = each.select(key, F.explode(F.array_distinct(runs)).alias("term")).distinct().join(known.select("name", F.lower("name").alias("term")), "term").select(key, "name")
+    said = each.select(key, F.explode(runs).alias("term")).join(known.select("name", F.lower("name").alias("term")), "term").select(key, "name")
     if "username" not in known.columns:
         return said.distinct()
     home = head.select(key, F.regexp_extract("h", r"/Users/(\w+)/", 1).alias("username")).where("username <> ''")
