@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, fingerprints, language, licenses, minhash_dedup, quality, sharding, suffix_dedup, url_filter
+from . import bpe, centroids, decontamination, fill_in_middle, fingerprints, language, licenses, minhash_dedup, quality, sharding, suffix_dedup, url_filter
 
 QUERIES = {
     **language.QUERIES,
@@ -15,4 +15,6 @@ QUERIES = {
     **bpe.QUERIES,
     **decontamination.QUERIES,
     **minhash_dedup.QUERIES,
+    **centroids.QUERIES,
+    **fill_in_middle.QUERIES,
 }
