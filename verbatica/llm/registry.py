@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, centroids, decontamination, fill_in_middle, fingerprints, language, licenses, minhash_dedup, quality, sharding, suffix_dedup, url_filter
+from . import bpe, centroids, decontamination, fill_in_middle, fingerprints, html_extraction, language, licenses, minhash_dedup, quality, sharding, suffix_dedup, url_filter
 
 QUERIES = {
     **language.QUERIES,
@@ -17,4 +17,5 @@ QUERIES = {
     **minhash_dedup.QUERIES,
     **centroids.QUERIES,
     **fill_in_middle.QUERIES,
+    **html_extraction.QUERIES,
 }
