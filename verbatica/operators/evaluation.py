@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .distributions import numbered
+
 
 def at_k(ranked: DataFrame, evidence: DataFrame, k: int) -> DataFrame:
     """(query_id, recall_any, recall_all, recall, ndcg) of every query with evidence; the ideal order is that of the retrieved k."""
@@ -34,6 +36,6 @@ def session_scores(rows: DataFrame, value: str, by: str = "session_id") -> DataF
 
 
 def dropped_sessions(scores: DataFrame, percent: float, by: str = "session_id") -> DataFrame:
-    """The sessions below the quantile of the scores."""
-    edge = scores.agg(F.percentile("score", percent / 100).alias("edge")).first()["edge"]
-    return scores.where(F.col("score") < edge).select(by)
+    """So many percent of the sessions (rounded down), those of the lowest score; of equal scores the smaller session goes first."""
+    n = scores.count()
+    return numbered(scores.select(by, "score"), ["score", by]).where(F.col("place") <= int(n * percent / 100)).select(by)

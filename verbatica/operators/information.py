@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.lineage import cut
+from .distributions import exact_quantiles, numbered
 
 #: Rows of a group that meet in one block, on either side.
 BLOCK = 2048
@@ -128,7 +129,8 @@ def variance_per_bin(df: DataFrame, at: str, value: str, width: int = 10) -> Dat
 
 
 def quantiles(df: DataFrame, value: str, by: str) -> DataFrame:
-    return df.groupBy(by).agg(*[F.percentile(value, q).alias(name) for name, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9))], F.avg(value).alias("mean"), F.count(value).alias("n"))
+    """p25, median, p75, p90, mean and n of each group, exactly; no task holds a group."""
+    return exact_quantiles(df, value, [by])
 
 
 def average_ranks(df: DataFrame, value: str) -> DataFrame:
@@ -248,9 +250,8 @@ def jensen_shannon(counts: DataFrame) -> DataFrame:
 
 
 def decay_points(df: DataFrame, value: str, order: str, by: str, width: int = 10) -> DataFrame:
-    """(by, bin, at, mean, n): the mean of each `width` rows of a group in their order, the input of the decay fits."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    return df.withColumn("place", place).groupBy(by, F.floor((F.col("place") - 1) / width).alias("bin")).agg(
+    """(by, bin, at, mean, n): the mean of each `width` rows of a group in their order (which no two share), the input of the decay fits."""
+    return numbered(df.select(by, order, value), [order], [by]).groupBy(by, F.floor((F.col("place") - 1) / width).alias("bin")).agg(
         F.avg("place").alias("at"), F.avg(value).alias("mean"), F.count("*").alias("n"))
 
 
@@ -265,25 +266,36 @@ def _decay_sums(name: str, p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.nd
         return np.concatenate(((jac.T @ jac).ravel(), jac.T @ (y - base), [((y - base) ** 2).sum()]))
 
 
-def _decay_models(n: int, first: tuple, last: tuple, sums) -> list[tuple]:
-    """(model, a, b, c, aic, weight) by Gauss-Newton steps over sums(model, parameters); first and last are points."""
-    out = []
-    for name, start in {"powerlaw": [max(first[1], 1e-6), 0.1], "exponential": [first[1], max(last[0] - first[0], 1.0) / 2, last[1]]}.items():
-        p, step = np.array(start, float), 1e-2
-        k, now = len(p), sums(name, p)
-        for _ in range(200):
-            new = p + np.linalg.lstsq(now[: k * k].reshape(k, k) + step * np.eye(k), now[k * k : -1], rcond=None)[0]
-            then = sums(name, new)
-            if np.isfinite(then).all() and then[-1] < now[-1]:
-                done = now[-1] - then[-1] < 1e-14
-                p, now, step = new, then, step / 3
-                if done:
-                    break
-            else:
-                step *= 4
-                if step > 1e12:
-                    break
-        out.append((name, *[float(v) for v in p], *[None] * (3 - k), float(n * math.log(max(now[-1], 1e-300) / n) + 2 * (k + 1))))
+class _Fit:
+    """One model on one group: parameters, and the damped Gauss-Newton step that is tried next."""
+
+    def __init__(self, name: str, first: tuple, last: tuple):
+        start = {"powerlaw": [max(first[1], 1e-6), 0.1], "exponential": [first[1], max(last[0] - first[0], 1.0) / 2, last[1]]}[name]
+        self.name, self.best, self.now, self.damping, self.steps, self.done = name, np.array(start, float), None, 1e-2, 0, False
+        self.tried = self.best
+
+    def take(self, sums: np.ndarray) -> None:
+        """Sums over the group's points at what was tried; the next try follows."""
+        k = len(self.best)
+        if self.now is None:
+            self.now = sums
+        elif np.isfinite(sums).all() and sums[-1] < self.now[-1]:
+            self.done = self.now[-1] - sums[-1] < 1e-14
+            self.best, self.now, self.damping = self.tried, sums, self.damping / 3
+        else:
+            self.damping *= 4
+            self.done = self.damping > 1e12
+        self.steps += 1
+        self.done |= self.steps > 200
+        self.tried = self.best + np.linalg.lstsq(self.now[: k * k].reshape(k, k) + self.damping * np.eye(k), self.now[k * k : -1], rcond=None)[0]
+
+
+MODELS = ("powerlaw", "exponential")
+
+
+def _told(fits: list[_Fit], n: int) -> list[tuple]:
+    """(model, a, b, c, aic, weight) of the finished fits of one group."""
+    out = [(f.name, *[float(v) for v in f.best], *[None] * (3 - len(f.best)), float(n * math.log(max(f.now[-1], 1e-300) / n) + 2 * (len(f.best) + 1))) for f in fits]
     rel = [math.exp(-(row[-1] - min(r[-1] for r in out)) / 2) for row in out]
     return [(*row, r / sum(rel)) for row, r in zip(out, rel, strict=True)]
 
@@ -291,7 +303,8 @@ def _decay_models(n: int, first: tuple, last: tuple, sums) -> list[tuple]:
 def decay_fits(points: DataFrame, by: str, least: int = 3, block: int = BLOCK) -> DataFrame:
     """(by, model, a, b, c, aic, weight) of a power law and an exponential, fitted to each group's points by Gauss-Newton steps.
 
-    A group of at most `block` points is fitted in one task; for a larger one Spark adds up the sums of each step.
+    A group of at most `block` points is fitted in one task.  Larger ones take their steps together: each step is one job that adds up J'J, J'r and the
+    loss of every such group and model, and only these sums and the parameters (a few numbers for each large group) reach the driver.
     """
     points = cut(points.select(by, "at", "mean"), "decay")
     schema = f"{by} string, model string, a double, b double, c double, aic double, weight double"
@@ -301,24 +314,38 @@ def decay_fits(points: DataFrame, by: str, least: int = 3, block: int = BLOCK) -
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         f = frame.sort_values("at")
         x, y = f["at"].to_numpy(float), f["mean"].to_numpy(float)
-        rows = _decay_models(len(x), (x[0], y[0]), (x[-1], y[-1]), lambda name, p: _decay_sums(name, p, x, y)) if len(x) >= least else []
+        rows = []
+        if len(x) >= least:
+            fits = [_Fit(name, (x[0], y[0]), (x[-1], y[-1])) for name in MODELS]
+            for one in fits:
+                while not one.done:
+                    one.take(_decay_sums(one.name, one.tried, x, y))
+            rows = _told(fits, len(x))
         return pd.DataFrame([(frame[by].iloc[0], *r) for r in rows], columns=[by, "model", "a", "b", "c", "aic", "weight"])
 
-    def spread(group: DataFrame):
-        def sums(name: str, p: np.ndarray) -> np.ndarray:
-            def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for f in frames:
-                    if len(f):
-                        yield pd.DataFrame([_decay_sums(name, p, f["at"].to_numpy(float), f["mean"].to_numpy(float))], columns=names)
-
-            names = [f"s{i}" for i in range(len(p) * (len(p) + 1) + 1)]
-            return np.array(group.mapInPandas(part, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c) for c in names]).first(), float)
-
-        return sums
-
     small = points.join(sizes.where(F.col("n") <= block).select(F.col(by).alias("__by")), F.col(by).eqNullSafe(F.col("__by")), "left_semi").groupBy(by).applyInPandas(fit, schema)
-    rows = [(g[by], *r) for g in large for r in _decay_models(g["n"], g["first"], g["last"], spread(points.where(F.col(by).eqNullSafe(g[by]))))]
-    return small.union(points.sparkSession.createDataFrame(rows, schema)) if rows else small
+    if not large:
+        return small
+    fits = {g[by]: [_Fit(name, g["first"], g["last"]) for name in MODELS] for g in large}
+    width = 3 * 3 + 3 + 1
+    names = [f"s{i}" for i in range(width)]
+    while active := {(group, f.name): f.tried for group, of in fits.items() for f in of if not f.done}:
+        def part(frames: Iterator[pd.DataFrame], active: dict = active) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for group, f in frame.groupby(by, dropna=False):
+                    group = None if pd.isna(group) else group
+                    x, y = f["at"].to_numpy(float), f["mean"].to_numpy(float)
+                    rows = [(group, name, *np.pad(s, (0, width - len(s)))) for name in MODELS if (group, name) in active for s in [_decay_sums(name, active[group, name], x, y)]]
+                    if rows:
+                        yield pd.DataFrame(rows, columns=[by, "model", *names])
+
+        summed = points.mapInPandas(part, f"{by} string, model string, " + ", ".join(f"{c} double" for c in names)).groupBy(by, "model").agg(*[F.sum(c).alias(c) for c in names]).collect()
+        for r in summed:
+            one = fits[r[by]][MODELS.index(r["model"])]
+            k = len(one.best)
+            one.take(np.array([r[c] for c in names[: k * k + k + 1]], float))
+    rows = [(g[by], *r) for g in large for r in _told(fits[g[by]], g["n"])]
+    return small.union(points.sparkSession.createDataFrame(rows, schema))
 
 
 def reservoir(df: DataFrame, by: str, key: str, n: int, seed: int = 42) -> DataFrame:

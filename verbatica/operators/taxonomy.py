@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .distributions import QUARTERS, exact_quantiles
 from .filters import scope
 
 
@@ -44,9 +45,9 @@ def listing(drawers: DataFrame, wing: str | None = None, room: str | None = None
 def text_sizes(drawers: DataFrame) -> DataFrame:
     """Per wing: drawers, rooms, and the distribution of text lengths."""
     n = F.char_length("text")
-    return drawers.groupBy("wing").agg(
-        F.count("*").alias("n"), F.countDistinct("room").alias("n_rooms"), F.sum(n).alias("chars"),
-        *[F.round(F.percentile(n, q), 6).alias(name) for name, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9))])
+    counts = drawers.groupBy("wing").agg(F.count("*").alias("n"), F.countDistinct("room").alias("n_rooms"), F.sum(n).alias("chars"))
+    shares = exact_quantiles(drawers.select("wing", n.alias("size")), "size", ["wing"])
+    return counts.join(shares.select("wing", *[F.round(c, 6).alias(c) for c in QUARTERS]), "wing")
 
 
 def source_groups(drawers: DataFrame, least: int = 5, pattern: str | None = None) -> DataFrame:

@@ -137,7 +137,8 @@ QUERIES = {
     "session_scores": (lambda s, d: evaluation.session_scores(table(s, d, "conversations").select(F.col("conv_id").alias("session_id"), F.char_length("text").alias("value")), "value").select("session_id", F.round("score", 6).alias("score")), """
         select conv_id as session_id, round(avg(length(text)), 6) as score from conversations group by 1 having avg(length(text)) is not null"""),
     "drop_sessions": (lambda s, d: evaluation.dropped_sessions(evaluation.session_scores(table(s, d, "conversations").select(F.col("conv_id").alias("session_id"), F.char_length("text").alias("value")), "value"), 25), """
-        with s as (select conv_id as session_id, avg(length(text)) as score from conversations group by 1) select session_id from s where score < (select quantile_cont(score, 0.25) from s)"""),
+        with s as (select conv_id as session_id, avg(length(text)) as score from conversations group by 1 having avg(length(text)) is not null)
+        select session_id from (select *, row_number() over (order by score, session_id) as k, count(*) over () as n from s) where k <= n * 25 // 100"""),
     "session_cursor": (lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.max("ts").alias("mark"), F.count("*").alias("n")), "select user_id, max(ts) as mark, count(*) as n from events group by 1"),
     "stratum_sizes": (lambda s, d: drawers(s, d).groupBy("wing").agg(F.count("*").alias("n")).where("n >= 200"), "with" + DRAWERS_SQL + " select wing, count(*) as n from drawers group by 1 having count(*) >= 200"),
     "novelty_ranks": (lambda s, d: info.average_ranks(_sizes(s, d), "size"), "with" + DRAWERS_SQL + """,
