@@ -85,9 +85,9 @@ def estimated(sketches: DataFrame, shares: dict[str, float] | None = None) -> Da
 def report(drawers: DataFrame, novelty: DataFrame, text_edges: list[float], novelty_edges: list[float], exact: bool = True) -> DataFrame:
     """A row for each wing: drawers, rooms, with_filed_at, and bins and quantiles of the length of texts and of the novelty; first_in_wing rows have none before them.
 
-    drawers has id, wing, room, filed_at and text; novelty has id, novelty and is_first.  With exact the quantiles are exact, otherwise one pass of sketches.
+    drawers has id, wing, room, filed_at and size (characters of the text); novelty has id, novelty and is_first.  With exact the quantiles are exact, otherwise one pass of sketches.
     """
-    size = drawers.select("wing", F.char_length("text").alias("size"))
+    size = drawers.select("wing", "size")
     new = drawers.select("id", "wing").join(novelty, "id").select("wing", F.when(~F.col("is_first"), F.col("novelty")).alias("novelty"), "is_first")
     counts = drawers.groupBy("wing").agg(F.count("*").alias("drawers"), F.countDistinct("room").alias("rooms"), F.count_if(F.coalesce(F.col("filed_at"), F.lit("")) != "").alias("with_filed_at"))
     first = new.groupBy("wing").agg(F.count_if("is_first").alias("first_in_wing"))

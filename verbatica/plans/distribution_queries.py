@@ -16,8 +16,8 @@ BY_WING = ["p25", "median", "p75", "p90"]
 def _reported(spark, sf_dir):
     """A row for each label: drawers are documents by the label of the vector with their number."""
     v = vectors(spark, sf_dir)
-    d = drawers(spark, sf_dir).select("doc_id", "room", "filed_at", "text").join(v.select(F.col("vec_id").alias("doc_id"), F.col("wing").alias("label")), "doc_id")
-    d = d.select(F.col("doc_id").alias("id"), F.col("label").alias("wing"), "room", "filed_at", "text")
+    d = drawers(spark, sf_dir).select("doc_id", "room", "filed_at", F.char_length("text").alias("size")).join(v.select(F.col("vec_id").alias("doc_id"), F.col("wing").alias("label")), "doc_id")
+    d = d.select(F.col("doc_id").alias("id"), F.col("label").alias("wing"), "room", "filed_at", "size")
     rows = v.select(F.col("vec_id").alias("id"), F.col("wing").alias("grp"), "filed", "vector")
     return dist.report(d, info.novelty(rows).select("id", "novelty", "is_first"), TEXT_EDGES, EDGES)
 
@@ -40,12 +40,12 @@ def _sketches(spark, sf_dir):
 
 
 def _blocks(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("size"))
+    d = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("size"))
     return dist.blocks_of(d, ["doc_id", "size"], {"total": F.col("size"), "squares": F.col("size") * F.col("size")})[0].select("block", "n", "total", "squares")
 
 
 def _interval(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("size"))
+    d = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("size"))
     told = dist.bootstrap_ci(d, ["doc_id", "size"], {"total": F.col("size")}, lambda s: s["total"] / np.maximum(s["n"], 1))
     return spark.createDataFrame([(told["value"], told["low"], told["high"])], "value double, low double, high double")
 
