@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from verbatica.operators import retrieval as r
+from verbatica.plans.archive import Archive
 
 
 def test_signals_fuse_and_modes_raise(spark):
@@ -24,3 +26,32 @@ def test_signals_fuse_and_modes_raise(spark):
     assert r.search_all(asked, drawers.limit(0), rows, facts, names).count() == 0
     with pytest.raises(ValueError):
         r.search_all(asked, drawers, rows, facts, names, "best")
+
+
+def test_types_of_rooms_and_a_scorer(spark):
+    drawers = spark.createDataFrame([("a", 1, "w", "apple pie", 0.0, None, None, "decisions"), ("b", 2, "w", "apple tart", 0.0, None, None, "notes")],
+                                    "id string, doc_id long, wing string, text string, filed double, quality double, novelty double, room string")
+    none = spark.createDataFrame([], "id long, vector array<double>"), spark.createDataFrame([], "subject string, object string, drawer_id string"), spark.createDataFrame([], "entity string")
+    asked = spark.createDataFrame([(1, "what did we decide about apple", None, "x")], "query_id long, text string, vector array<double>, wing string")
+    score = {x.id: x.score for x in r.search_all(asked, drawers, *none).collect()}
+    plain = {x.id: x.score for x in r.search_all(asked.withColumn("intent", F.lit("problem")), drawers, *none).collect()}
+    assert score["a"] == pytest.approx(1.25 * plain["a"]) and score["b"] == plain["b"]
+
+    def tarts():
+        return lambda queries, texts: [float("tart" in t) for t in texts]
+
+    found = r.search_all(asked, drawers, *none, scorer=tarts).orderBy("rank").collect()
+    assert [(x.id, x.score) for x in found] == [("b", 1.25), ("a", 0.0)]
+
+
+def test_archive_searches_in_modes(spark, tmp_path):
+    archive = Archive(spark, str(tmp_path))
+    archive.add_drawer("w", "notes", "alpha beta gamma", filed_at="2024-01-01T00:00:00")
+    archive.add_drawer("w", "problems", "the crash of alpha", filed_at="2024-01-01T00:00:00")
+    archive.add_fact("Alpha", "made_by", "Ann", drawer_id=archive.drawers.where("room = 'notes'").first().id)
+    for mode in ("lexical", "fast", "standard", "boosted"):
+        assert {x.room for x in archive.search("alpha crash", mode=mode).collect()} == {"notes", "problems"}
+    assert archive.search("which bug made the crash gamma", mode="boosted").first().room == "problems"
+    assert [x.room for x in archive.search("nobody", mode="boosted").collect()] == []
+    near = spark.createDataFrame([(x.id, [1.0, 0.0] if x.room == "notes" else [0.0, 1.0]) for x in archive.drawers.collect()], "id string, vector array<double>")
+    assert archive.search("zzz", mode="fast", vector=[1.0, 0.0], vectors=near, k=1, around=1).first().context == "alpha beta gamma"

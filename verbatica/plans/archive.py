@@ -5,6 +5,8 @@ Every method gives a DataFrame or writes the next snapshot of a table; nothing i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as t
@@ -108,11 +110,30 @@ class Archive:
 
     # retrieval
 
-    def search(self, query: str, k: int = 5, wing: str | None = None, room: str | None = None) -> DataFrame:
-        """Cleaned query, hybrid lexical recall inside the scope, best first."""
+    def search(self, query: str, k: int = 5, wing: str | None = None, room: str | None = None, mode: str = "lexical", vector: list[float] | None = None, vectors: DataFrame | None = None,
+               project: str | None = None, scorer: Callable | None = None, around: int = 0) -> DataFrame:
+        """Cleaned query inside the scope, best first: words alone (lexical), or words, vectors and facts in one of the modes fast, standard and boosted.
+
+        vectors (id, vector) belong to drawers, vector to the query; without them there is no dense signal.  project is the wing of who asks.  around adds a context of so many
+        slices before and after each hit.
+        """
         asked = self.spark.range(1).select(F.lit(0).cast("long").alias("query_id"), t.sanitized_query(F.lit(query))["clean"].alias("text"))
         inside = self.select_drawers({k_: v for k_, v in (("wing", wing), ("room", room)) if v})
-        return retrieval.search(asked, inside, k=k).join(inside.select("id", "text"), "id").orderBy("rank")
+        if mode == "lexical":
+            hits = retrieval.search(asked, inside, k=k)
+        else:
+            asked = asked.select("*", F.lit(vector).cast("array<double>").alias("vector") if vector is None else F.array(*map(F.lit, vector)).cast("array<double>").alias("vector"), F.lit(project).cast("string").alias("wing"))
+            filed = F.coalesce(F.unix_timestamp(F.to_timestamp(F.nullif("filed_at", F.lit("")))).cast("double"), F.lit(0.0))
+            numbered = inside.select("id", "wing", "room", "text", F.xxhash64("id").alias("doc_id"), filed.alias("filed"), F.lit(None).cast("double").alias("quality"), F.lit(None).cast("double").alias("novelty"))
+            rows = self.spark.createDataFrame([], "id long, vector array<double>") if vectors is None else vectors.select(F.xxhash64("id").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+            names = self.facts.select(F.col("subject").alias("entity")).union(self.facts.select("object")).distinct()
+            hits = retrieval.search_all(asked, numbered, rows, self.facts, names, mode, k, scorer=scorer)
+            hits = hits.join(inside.select("id", "wing", "room"), "id").select("query_id", "rank", "id", "wing", "room", "score")
+        out = hits.join(inside.select("id", "text"), "id")
+        if around:
+            placed = hits.join(inside.select("id", "source_file", "chunk_index"), "id").select("id", "source_file", "chunk_index")
+            out = out.join(taxonomy.neighbours(self.drawers, placed, around), "id", "left")
+        return out.orderBy("rank")
 
     def recall(self, query: str, match: str = "all", k: int = 8, budget: int = 8192) -> DataFrame:
         """Exact recall: drawers with all (or any) words, by BM25, as far as the byte budget goes."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.classify import intent
 from ..operators import evaluation, retrieval as r
 from ..sources.tables import DRAWERS_SQL, drawers, table, vectors
 
@@ -95,6 +96,9 @@ def _weights(spark, sf_dir):
     return hits.select("query_id", "id", "rank", F.round(r.info_weight(F.col("novelty"), 0.5, 0.5), 6).alias("factor"))
 
 
+QUESTIONS, ROOMS = ["what did we decide", "which bug is it", "nothing of these"], ["decisions", "problem", "notes", "milestones", "problems"]
+
+
 def _whole(mode, weigh=False):
     """Benchmark items ask; item n has the vector of row 50 n, and its project is the n-th language in turn. The first two words of a document are a fact of it."""
     def make(spark, sf_dir):
@@ -104,6 +108,9 @@ def _whole(mode, weigh=False):
         rated = d.select("id", "doc_id", "wing", "text", filed.alias("filed"), ((F.col("doc_id") % 10) / 40).alias("novelty")).join(marks, "doc_id", "left")
         held = v.where("vec_id % 50 = 0").select((F.col("vec_id") / 50).cast("long").alias("query_id"), "vector")
         asked = _ask(spark, sf_dir).join(held, "query_id", "left").withColumn("wing", F.when(F.col("query_id") % 2 == 0, "en").otherwise("de"))
+        # a question of each kind in turn, and rooms that hold such memories
+        asked = asked.withColumn("intent", intent(F.element_at(F.array(*map(F.lit, QUESTIONS)), (F.col("query_id") % len(QUESTIONS)).cast("int") + 1)))
+        rated = rated.withColumn("room", F.element_at(F.array(*map(F.lit, ROOMS)), (F.col("doc_id") % len(ROOMS)).cast("int") + 1))
         word = F.regexp_extract_all("text", F.lit(r.WORD), F.lit(1))
         facts = d.select(F.lower(F.get(word, F.lit(0))).alias("subject"), F.lower(F.get(word, F.lit(1))).alias("object"), F.col("id").alias("drawer_id")).where("object is not null")
         names = facts.select(F.col("subject").alias("entity")).distinct()
@@ -115,7 +122,8 @@ def _whole(mode, weigh=False):
 
 def _whole_sql(symbolic, quality, weigh=False):
     """The same search: three ranked lists, fused, raised."""
-    factor = """(case when now - filed <= 7 * 86400.0 then 1.25::double else 1 end) * (case when wing = project then 1.15::double else 1 end) * (case when kg then 1.30::double else 1 end)"""
+    factor = """(case when now - filed <= 7 * 86400.0 then 1.25::double else 1 end) * (case when wing = project then 1.15::double else 1 end) * (case when kg then 1.30::double else 1 end)
+        * (case when (query_id % 3 = 0 and doc_id % 5 = 0) or (query_id % 3 = 1 and doc_id % 5 in (1, 4)) then 1.25::double else 1 end)"""
     return WITH + "," + _BM25 + r""",
     vq as (select vec_id // 50 as query_id, embedding::double[] as a from embeddings where vec_id % 50 = 0 and vec_id // 50 in (select item_id from benchmark)),
     vs as (select query_id, vec_id as doc_id, round(list_dot_product(a, embedding::double[]), 10) as score from vq, embeddings),
@@ -127,7 +135,7 @@ def _whole_sql(symbolic, quality, weigh=False):
     al as (select query_id, id, rank, 1.0::double as w, false as kg from bm where rank <= 100 union all select query_id, id, rank, 1.0, false from vr join drawers using (doc_id) union all select query_id, id, rank, 0.5, true from fr),
     fu as (select query_id, id, sum(w / (60 + rank)) as score, bool_or(kg) as kg from al group by all),
     mk as (select doc_id, max(quality)::double as quality from labels group by 1),
-    pl as (select fu.*, d.wing, epoch(d.filed_at::timestamp)::double as filed, mk.quality, (d.doc_id % 10) / 40.0::double as novelty, case when fu.query_id % 2 = 0 then 'en' else 'de' end as project
+    pl as (select fu.*, d.wing, d.doc_id, epoch(d.filed_at::timestamp)::double as filed, mk.quality, (d.doc_id % 10) / 40.0::double as novelty, case when fu.query_id % 2 = 0 then 'en' else 'de' end as project
         from fu join drawers d on d.id = fu.id left join mk on mk.doc_id = d.doc_id),
     nw as (select *, max(filed) over (partition by query_id) as now from pl),
     rc as (select *, score * (1 + 0.5 * exp(-(now - filed) / 86400 / 90))""" + (" * (case when novelty >= 0.1 then 1 else 0.5 + 0.5 * novelty / 0.1 end)" if weigh else "") + """ as s from nw),
