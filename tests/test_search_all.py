@@ -46,8 +46,8 @@ def test_types_of_rooms_and_a_scorer(spark):
 
 def test_archive_searches_in_modes(spark, tmp_path):
     archive = Archive(spark, str(tmp_path))
-    archive.add_drawer("w", "notes", "alpha beta gamma", filed_at="2024-01-01T00:00:00")
-    archive.add_drawer("w", "problems", "the crash of alpha", filed_at="2024-01-01T00:00:00")
+    archive.add_drawer("w", "notes", "alpha beta gamma", "a.md", filed_at="2024-01-01T00:00:00")
+    archive.add_drawer("w", "problems", "the crash of alpha", "b.md", filed_at="2024-01-01T00:00:00")
     archive.add_fact("Alpha", "made_by", "Ann", drawer_id=archive.drawers.where("room = 'notes'").first().id)
     for mode in ("lexical", "fast", "standard", "boosted"):
         assert {x.room for x in archive.search("alpha crash", mode=mode).collect()} == {"notes", "problems"}
