@@ -16,16 +16,20 @@ ALL = nm.merged([EN, DE, HI])
 NAMES = ["Anna", "anna", "Ann", "Anna Lee", "Lee", "Öl", "Core", "राम", "a.b", "İx"]
 
 
-def plainly(name, text):
+#: Patterns before which one word tells whether any can fit.
+SIMPLE = nm.merged([{**EN, "dialogue_patterns": [r"^{name}:\s"]}, DE])
+
+
+def plainly(name, text, patterns=ALL):
     """Every pattern by itself."""
     out = Counter()
-    listed = [(k, p) for k in ("dialogue", "action", "addressed", "built") for p in ALL[k]] + [("versioned", nm.VERSIONED), ("code", nm.CODE)]
+    listed = [(k, p) for k in ("dialogue", "action", "addressed", "built") for p in patterns[k]] + [("versioned", nm.VERSIONED), ("code", nm.CODE)]
     for i, (kind, p) in enumerate(listed):
         n = len(list(re.finditer(p.replace("{name}", re.escape(name)), text, re.I | re.M)))
         if n:
             out[f"{kind}:{i}"] = n
     lines = text.splitlines()
-    near = sum(1 for i, line in enumerate(lines) if name.lower() in line.lower() and re.search("|".join(ALL["pronoun"]), " ".join(lines[max(0, i - 2) : i + 3]), re.I))
+    near = sum(1 for i, line in enumerate(lines) if name.lower() in line.lower() and re.search("|".join(patterns["pronoun"]), " ".join(lines[max(0, i - 2) : i + 3]), re.I))
     if near:
         out["pronoun:0"] = near
     return out
@@ -38,12 +42,14 @@ def _texts():
     return ["".join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 120))) for _ in range(400)] + ["", "hey" + " " * 500 + "Anna", "> Anna: hey Anna"]
 
 
-def test_signs_equal_each_pattern_by_itself():
-    one = nm.Signs([n for n in NAMES if n != "İx"], ALL)
+@pytest.mark.parametrize("patterns", [ALL, SIMPLE])
+def test_signs_equal_each_pattern_by_itself(patterns):
+    one = nm.Signs([n for n in NAMES if n != "İx"], patterns)
+    assert one.simple == (patterns is SIMPLE)
     for text in _texts():
         got: Counter = Counter()
         one.count(text, got)
-        want = {(name, sign): n for name in NAMES if name != "İx" for sign, n in plainly(name, text).items()}
+        want = {(name, sign): n for name in NAMES if name != "İx" for sign, n in plainly(name, text, patterns).items()}
         assert dict(got) == want, text
 
 

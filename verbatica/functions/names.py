@@ -110,13 +110,14 @@ class Template:
     """One pattern around a name: tried where the name stands."""
 
     def __init__(self, pattern: str):
-        self.parts = []
+        self.parts, self.before = [], []
         for one in _alternatives(pattern):
             before, name, after = one.partition("{name}")
             if not name or "{name}" in after:
                 raise ValueError(f"a pattern must hold {{name}} once in each alternative: {pattern}")
             border = before.endswith(r"\b")  # a border before the name can't be seen from before it alone
             before = before.removesuffix(r"\b")
+            self.before += [before] if before else []
             self.parts.append((re.compile(f"(?:{before})\\Z", re.I | re.M) if before else None, border, re.compile(after, re.I | re.M)))
 
     def match(self, text: str, start: int, end: int, low: int) -> tuple[int, int] | None:
@@ -162,6 +163,18 @@ class Signs:
         self.automaton = _automaton(names) if names else None
         listed = [(kind, p) for kind in ("dialogue", "action", "addressed", "built") for p in patterns[kind]] + [("versioned", VERSIONED), ("code", CODE)]
         self.kinds = [(f"{kind}:{i}", Template(p)) for i, (kind, p) in enumerate(listed)]
+        # one look tells whether any pattern can fit: what may follow a name at the begin of a word, and what may stand before it
+        parts = [part for _, template in self.kinds for part in template.parts]
+        together = lambda ps: re.compile("|".join(f"(?:{p})" for p in dict.fromkeys(ps)) or "(?!)", re.I | re.M)
+        self.follows = together(after.pattern for before, border, after in parts if not before and border)
+        self.other = any(not before and not border for before, border, _ in parts)
+        before = [p for _, template in self.kinds for p in template.before]
+        words = [p.removesuffix(r"\s+") for p in before if p.endswith(r"\s+")]
+        last = [w.rsplit(r"\s+", 1)[-1] for w in words]
+        self.simple = all(p == "^" or p.endswith(r"\s+") for p in before) and all(w.count("(") == w.count(")") for w in last)
+        self.last = re.compile("(?:" + "|".join(f"(?:{w})" for w in dict.fromkeys(last)) + r")\Z", re.I) if last else None
+        self.stands = together(before.pattern for before, _, _ in parts if before)
+        self.starts = "^" in before
         self.pronoun = re.compile("|".join(patterns["pronoun"]), re.I) if patterns["pronoun"] else None
 
     def count(self, text: str, into: Counter) -> None:
@@ -182,11 +195,16 @@ class Signs:
                     seen.add((name, line))
                     if any(told[max(0, line - 2) : line + 3]):
                         into[name, "pronoun:0"] += 1
+            follows = self.follows.match(text, end) and (not start or not _is_word(text[start - 1]) or not _is_word(text[start]))
+            if not follows and not self.other and self.simple and not self._may_stand(text, start):
+                continue
             back = max(0, start - REACH)
             while back and text[back].isspace():  # a run of white space does not shorten the reach
                 while back and text[back].isspace():
                     back -= 1
                 back = max(0, back - REACH)
+            if not follows and not self.other and not self.simple and not self.stands.search(text, back, start):
+                continue
             for kind, template in self.kinds:
                 found = template.match(text, start, end, back)
                 if found:
@@ -195,6 +213,18 @@ class Signs:
                             done[name, kind] = found[1]
                             into[name, kind] += 1
 
+    def _may_stand(self, text: str, start: int) -> bool:
+        """Whether the word before a name, or the begin of a line, is one that any pattern asks for."""
+        if not start or text[start - 1] == "\n":
+            if self.starts:
+                return True
+        if self.last is None or not start or not text[start - 1].isspace():
+            return False
+        end = start - 1
+        while end and text[end - 1].isspace():
+            end -= 1
+        return bool(self.last.search(text, max(0, end - 40), end))
+
 
 def _line_of(ends: list[int], place: int, near: int) -> int:
     while near and place < ends[near - 1]:
