@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from verbatica.sources import transcripts as t
+from verbatica.sources.transcripts import normalized
 
 
 def test_form(spark):
@@ -42,3 +43,24 @@ def test_block_messages(spark):
              {"type": "user", "message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "9", "content": "lost"}]}}, {"type": "summary", "message": {"content": "x"}}]
     df = spark.createDataFrame([("p", i, json.dumps(x)) for i, x in enumerate(lines)] + [("p", 9, "broken"), ("p", 10, None)], "path string, line int, value string")
     assert sorted(tuple(r)[1:] for r in t.block_messages(df).collect()) == [(0, "user", "go"), (1, "assistant", "ok\n[Bash] ls\n[Read f]"), (2, "user", "→ a\n→ b"), (3, "user", "→ lost")]
+
+
+def test_files_of_any_form_become_messages(spark):
+
+    turn = lambda role, text: json.dumps({"type": role, "message": {"role": role, "content": text}})
+    item = lambda role, text: json.dumps({"type": "response_item", "payload": {"type": "message", "role": role, "content": [{"type": "text", "text": text}]}})
+    node = lambda i, parent, child, role, text: {"id": i, "parent": parent, "children": child, "message": {"author": {"role": role}, "content": {"parts": [text]}}}
+    files = {
+        "turns.jsonl": turn("user", "a") + "\n" + turn("assistant", "b"), "items.jsonl": item("user", "c") + "\n\n" + item("assistant", "d"),
+        "started.jsonl": "\n".join(json.dumps(r) for r in ({"type": "session_metadata"}, {"type": "user", "content": [{"text": "e"}]}, {"type": "gemini", "content": [{"text": "f"}]})),
+        "export.json": json.dumps([{"role": "user", "content": "g"}, {"role": "assistant", "content": "h"}]),
+        "mapping.json": json.dumps({"mapping": {"1": node("1", None, ["2"], "user", "i"), "2": node("2", "1", [], "assistant", "j")}}),
+        "channel.json": json.dumps([{"type": "message", "user": "U1", "text": "k"}, {"type": "message", "user": "U2", "text": "l"}]),
+        "quoted.txt": "> x\n> y\n> z", "plain.txt": "words", "one.jsonl": turn("user", "alone"), "broken.json": "{", "empty.txt": None,
+    }
+    out = normalized(spark.createDataFrame(list(files.items()), "path string, text string")).orderBy("path", "ordinal").collect()
+    got = {p: [(r.reader, r.role, r.content) for r in out if r.path == p] for p in files}
+    two = lambda reader, a, b: [(reader, "user", a), (reader, "assistant", b)]
+    assert got == {
+        "turns.jsonl": two("turns", "a", "b"), "items.jsonl": two("items", "c", "d"), "started.jsonl": two("started", "e", "f"), "export.json": two("export", "g", "h"), "mapping.json": two("mapping", "i", "j"),
+        "channel.json": two("channel", "[U1] k", "[U2] l"), **{p: [("plain", None, files[p] or "")] for p in ("quoted.txt", "plain.txt", "one.jsonl", "broken.json", "empty.txt")}}

@@ -73,10 +73,10 @@ def session_messages(lines: DataFrame) -> DataFrame:
 
 
 def rollout_messages(lines: DataFrame) -> DataFrame:
-    """(ordinal, role, content) of JSON lines {type: response_item, payload: {type: message, role, content, channel}}; analysis is left out."""
+    """(path if there, ordinal, role, content) of JSON lines {type: response_item, payload: {type: message, role, content, channel}}; analysis is left out."""
     get = lambda path: F.get_json_object("value", path)
     read = lines.where((get("$.type") == "response_item") & (get("$.payload.type") == "message")).select(
-        F.col("line").alias("ordinal"), get("$.payload.role").alias("role"), get("$.payload.channel").alias("channel"), content_text(get("$.payload.content")).alias("content"))
+        *(["path"] if "path" in lines.columns else []), F.col("line").alias("ordinal"), get("$.payload.role").alias("role"), get("$.payload.channel").alias("channel"), content_text(get("$.payload.content")).alias("content"))
     return read.where(F.col("role").isin("user", "assistant") & (F.col("content") != "") & ~((F.col("role") == "assistant") & (F.coalesce("channel", F.lit("")) == "analysis"))).drop("channel")
 
 

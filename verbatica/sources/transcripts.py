@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.lineage import cut
+from .files import channel_messages, export_messages, mapping_messages, rollout_messages
+
 #: How many quoted lines make a text a transcript already, and how much of a tool's input and output is shown.
 QUOTED, INPUT_CHARS, HEAD_LINES, MATCHES, RESULT_CHARS = 3, 200, 20, 20, 2048
 #: Tools whose output stands elsewhere, that are cut in the middle, or that give matches.
@@ -98,3 +101,24 @@ def block_messages(lines: DataFrame, key: str = "path") -> DataFrame:
     # the blocks of one line are one message: a bounded group
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "said"))), lambda x: x["said"])
     return told.groupBy(key, "line", "role").agg(F.array_join(ordered, "\n").alias("content")).select(key, F.col("line").alias("ordinal"), "role", "content")
+
+
+def normalized(files: DataFrame) -> DataFrame:
+    """(path, reader, ordinal, role, content) of files (path, text) of any form: the messages of the first reader that finds two at least, else the text as it is (reader plain, no role).
+
+    Readers are tried in the order turns, items, started (JSON lines), export, mapping, channel (one JSON value); a file that is a transcript already, or plain, or broken, stays a text.
+    """
+    told = files.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("form", form(F.col("path"), F.col("text")))
+    lines = told.where("form = 'lines'").select("path", F.posexplode(F.split("text", "\n")).alias("line", "value")).where(F.trim("value") != "")
+    whole = told.where("form = 'json' or form = 'lines'").where(F.try_parse_json("text").isNotNull()).select("path", "text")  # a JSON value may stand on one line
+    at = F.col("ordinal").cast("long")
+    found = [("turns", block_messages(lines), at), ("items", rollout_messages(lines), at), ("started", started_messages(lines), at), ("export", export_messages(whole), F.col("conversation").cast("long") * (1 << 32) + at),
+             ("mapping", mapping_messages(whole), F.col("depth").cast("long")), ("channel", channel_messages(whole), at)]
+    parts = [df.select("path", F.lit(n).alias("place"), F.lit(name).alias("reader"), order.alias("ordinal"), "role", "content") for n, (name, df, order) in enumerate(found)]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    every = cut(every, "messages")
+    first = every.groupBy("path", "place").agg(F.count("*").alias("n")).where("n >= 2").groupBy("path").agg(F.min("place").alias("place"))
+    plain = told.join(first, "path", "left_anti").select("path", F.lit("plain").alias("reader"), F.lit(0).cast("long").alias("ordinal"), F.lit(None).cast("string").alias("role"), F.col("text").alias("content"))
+    return every.join(first, ["path", "place"]).drop("place").unionByName(plain)
