@@ -46,7 +46,6 @@ def test_block_messages(spark):
 
 
 def test_files_of_any_form_become_messages(spark):
-
     turn = lambda role, text: json.dumps({"type": role, "message": {"role": role, "content": text}})
     item = lambda role, text: json.dumps({"type": "response_item", "payload": {"type": "message", "role": role, "content": [{"type": "text", "text": text}]}})
     node = lambda i, parent, child, role, text: {"id": i, "parent": parent, "children": child, "message": {"author": {"role": role}, "content": {"parts": [text]}}}

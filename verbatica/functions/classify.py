@@ -92,18 +92,18 @@ def _best(scores: dict[str, Column], fallback: str) -> Column:
     return F.when(top > 0, out).otherwise(F.lit(fallback))
 
 
-def by_keywords(text: Column, keywords: dict[str, list[str]], fallback: str = "general", chars: int = 3000) -> Column:
-    """The class with most of its keywords in the beginning of the text, as the classes are defined on that beginning."""
-    low = F.lower(F.substring(text, 1, chars))
+def by_keywords(text: Column, keywords: dict[str, list[str]], fallback: str = "general", chars: int | None = None) -> Column:
+    """The class with most of its keywords in the text, or in so many characters of its beginning."""
+    low = F.lower(text if chars is None else F.substring(text, 1, chars))
     return _best({name: present(low, words) for name, words in keywords.items()}, fallback)
 
 
-def hall(text: Column) -> Column:
-    return by_keywords(text, HALLS)
+def hall(text: Column, chars: int | None = None) -> Column:
+    return by_keywords(text, HALLS, chars=chars)
 
 
-def conversation_room(text: Column) -> Column:
-    return by_keywords(text, CONVERSATION_ROOMS)
+def conversation_room(text: Column, chars: int | None = None) -> Column:
+    return by_keywords(text, CONVERSATION_ROOMS, chars=chars)
 
 
 def _near(names: list[str]):
@@ -111,12 +111,12 @@ def _near(names: list[str]):
     return lambda p: reduce(lambda a, b: a | b, [p.contains(c.lower()) | ((p != "") & F.lit(c.lower()).contains(p)) for c in names])
 
 
-def room(path: Column, text: Column, rooms: dict[str, list[str]]) -> Column:
-    """A folder's name, then the file's, then keyword counts in the first 2,000 characters, else `general`."""
+def room(path: Column, text: Column, rooms: dict[str, list[str]], chars: int | None = None) -> Column:
+    """A folder's name, then the file's, then keyword counts in the text (or so many characters of it), else `general`."""
     parts = F.split(F.lower(path), "/")
     folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
     stem = F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")
-    low = F.lower(F.substring(text, 1, 2000))
+    low = F.lower(text if chars is None else F.substring(text, 1, chars))
     count = lambda w: F.regexp_count(low, F.lit(r"\Q" + w.lower() + r"\E"))
     found = _best({name: _sum(count(w) for w in [*words, name]) for name, words in rooms.items()}, "general")
     for name in reversed(rooms):

@@ -22,9 +22,9 @@ def candidates(df: DataFrame, key: str, text: str = "text", least: int = 3, char
             .groupBy(key, "name").agg(F.count("*").alias("n")).where(F.col("n") >= least))
 
 
-def entity_list(df: DataFrame, key: str, text: str = "text", most: int = 25) -> DataFrame:
-    """(key, entities): names seen twice in the first 5,000 characters, in order, joined by `;`."""
-    found = candidates(df, key, text, 2, 5000)
+def entity_list(df: DataFrame, key: str, text: str = "text", most: int = 25, chars: int | None = None) -> DataFrame:
+    """(key, entities): names seen twice in the text, or in so many characters of it, in order, joined by `;`."""
+    found = candidates(df, key, text, 2, chars)
     return found.groupBy(key).agg(F.array_join(F.slice(F.sort_array(F.collect_set("name")), 1, most), ";").alias("entities"))
 
 
@@ -104,12 +104,12 @@ def claims(text: Column) -> Column:
                     F.transform(second, lambda s: F.struct(take(s, b, 3).alias("subject"), take(s, b, 2).alias("predicate"), take(s, b, 1).alias("object"))))
 
 
-def pointer_lines(df: DataFrame, key: str, text: str = "text", window: int = 5000) -> DataFrame:
+def pointer_lines(df: DataFrame, key: str, text: str = "text", window: int | None = None) -> DataFrame:
     """(key, ordinal, line) of index lines `topic|entities|->ids`: deeds and headers (12 at most), then quotes (3), else the file's name.
 
-    df has drawer_ids, wing, room and source_file besides.
+    df has drawer_ids, wing, room and source_file besides; with a window only so many characters of the text count.
     """
-    head = F.substring(text, 1, window)
+    head = F.substring(text, 1, window) if window else F.col(text)
     deeds = F.regexp_extract_all(head, F.lit(r"(?i)((?:built|fixed|wrote|added|pushed|tested|created|decided|migrated|reviewed|deployed|configured|removed|updated)\s+[\w\s]{3,40})"), F.lit(1))
     headers = F.regexp_extract_all(head, F.lit(r"(?m)^#{1,3}\s+(.{5,60})$"), F.lit(1))
     topics = F.slice(F.array_distinct(F.transform(F.concat(deeds, headers), lambda x: F.lower(F.trim(x)))), 1, 12)

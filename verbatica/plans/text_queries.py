@@ -116,8 +116,8 @@ QUERIES = {
         h as (select session_id, max(turn % 60) as mark from m where turn <= 2 group by 1)
         select session_id, count(*) as n from (select session_id, uuid from m where turn <= 2 union select m.session_id, uuid from m left join h using (session_id) where mark is null or turn % 60 >= mark) group by 1"""),
     "human_messages": (lambda s, d: messages(s, d).where("role = 'user'").groupBy("session_id").agg(F.count("*").alias("n"), F.floor(F.count("*") / 3).alias("saves")), "select conv_id as session_id, count(*) as n, count(*) // 3 as saves from conversations where role = 'user' group by 1"),
-    "hall_classifier": (lambda s, d: _words(s, d).select("id", classify.hall(F.col("text")).alias("hall")), f"with {_TEXTS}, l as (select id, lower(substring(text, 1, 3000)) as low from x) select id, {_HALL} as hall from l"),
-    "room_classifier": (lambda s, d: _words(s, d).select("id", classify.conversation_room(F.col("text")).alias("room")), f"with {_TEXTS}, l as (select id, lower(substring(text, 1, 3000)) as low from x) select id, {_ROOM} as room from l"),
+    "hall_classifier": (lambda s, d: _words(s, d).select("id", classify.hall(F.col("text")).alias("hall")), f"with {_TEXTS}, l as (select id, lower(text) as low from x) select id, {_HALL} as hall from l"),
+    "room_classifier": (lambda s, d: _words(s, d).select("id", classify.conversation_room(F.col("text")).alias("room")), f"with {_TEXTS}, l as (select id, lower(text) as low from x) select id, {_ROOM} as room from l"),
     "intent": (lambda s, d: _words(s, d).select("id", classify.intent(F.col("text")).alias("intent")), None),
     "memory_type": (lambda s, d: classify.memory_types(_words(s, d)).select("id", "memory_type", F.round("confidence", 6).alias("confidence")), None),
     "ears_pattern": (lambda s, d: _words(s, d).select("id", classify.requirement_form(F.col("text")).alias("form")), f"""
@@ -181,9 +181,13 @@ def _entity_queries():
     from ..functions import article, entities, summary
 
     docs = lambda s, d: _docs(s, d).select("doc_id", "text")
+    stop = ", ".join(f"'{w}'" for w in entities.STOP)
+    named = rf"""w as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '(?:^|[^\p{{L}}\p{{N}}_])(\p{{Lu}}\p{{L}}+(?:-\p{{L}}+)*)', 1)) as name from documents),
+        c as (select doc_id, name, count(*) as n from w where name not in ({stop}) group by all)"""
     return {
-        "entity_candidates": (lambda s, d: entities.candidates(docs(s, d), "doc_id"), None),
-        "entity_lists": (lambda s, d: entities.entity_list(docs(s, d), "doc_id"), None),
+        "entity_candidates": (lambda s, d: entities.candidates(docs(s, d), "doc_id"), f"with {named} select doc_id, name, n from c where n >= 3"),
+        "entity_lists": (lambda s, d: entities.entity_list(docs(s, d), "doc_id"), f"""with {named},
+            k as (select *, row_number() over (partition by doc_id order by name) as nth from c where n >= 2) select doc_id, string_agg(name, ';' order by name) as entities from k where nth <= 25 group by doc_id"""),
         "entity_kinds": (lambda s, d: entities.kinds(docs(s, d), "doc_id"), None),
         "entity_fuzzy_match": (lambda s, d: entities.fuzzy_mentions(_words(s, d), "id", _names(s, d)), None),
         "summaries": (lambda s, d: summary.compressed(docs(s, d), "doc_id", entities=entities.entity_list(docs(s, d), "doc_id")), None),
