@@ -1,23 +1,28 @@
 """A stored index of words, in segments: what is added is split once, what is deleted drops out, and no text is read again.
 
-A segment holds postings (term, id, tf) in ``BUCKETS`` folders by a hash of the term, sorted by term, so that a search reads the folders and row groups
-of its own terms.  Which segment speaks for a text stands in a snapshot table of documents (id, segment, size, digest), one small row each: postings of
+A segment holds posting lists (term, numbers, counts) in ``BUCKETS`` folders by a hash of the term, sorted by term, so that a search reads the folders and row groups
+of its own terms.  Inside a segment a text goes by a number of 64 bits, so no id is repeated for each word; a list has ``LIST`` numbers at most, so a word that very many
+texts hold is many rows.  Which segment speaks for a text stands in a snapshot table of documents (id, segment, number, size, digest), one small row each: postings of
 another segment do not count.  A change writes its segment first and then the next snapshot; a writer that is lost in between leaves a segment that nothing names.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .retrieval import best, bm25, boolean_match, query_terms, tokens
 from .store import Table
 
-BUCKETS = 32
-#: Folders of one bucket are written by so many tasks, for terms that very many texts hold.
+BUCKETS, LIST = 32, 4096
+#: Folders of one bucket are written by so many tasks.
 SALT = 4
-DOCS = "id string, segment string, size long, digest long"
+DOCS = "id string, segment string, number long, size long, digest long"
+LISTS = "term string, numbers array<long>, counts array<int>"
 
 
 def digest(text: Column) -> Column:
@@ -28,6 +33,45 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _rows(lists: dict[str, tuple[list[int], list[int]]]) -> Iterator[pa.RecordBatch]:
+    rows = [(t, n[at : at + LIST], c[at : at + LIST]) for t, (n, c) in lists.items() for at in range(0, len(n), LIST)]
+    if rows:
+        terms, numbers, counts = zip(*rows)
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(numbers, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], names=["term", "numbers", "counts"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting lists of a batch of texts (number, words); the term "" counts all words of a text."""
+    for batch in batches:
+        lists: dict[str, tuple[list[int], list[int]]] = {}
+        for number, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for term, n in [("", len(words)), *Counter(words).items()]:
+                held = lists.setdefault(term, ([], []))
+                held[0].append(number)
+                held[1].append(n)
+        yield from _rows(lists)
+
+
+def _relisted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting lists of single postings (term, number, n)."""
+    for batch in batches:
+        lists: dict[str, tuple[list[int], list[int]]] = {}
+        for term, number, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            held = lists.setdefault(term, ([], []))
+            held[0].append(number)
+            held[1].append(n)
+        yield from _rows(lists)
+
+
+def _once(drawers: DataFrame) -> DataFrame:
+    """(id, text) with one row for an id: the largest text of those that differ. Only texts of ids that repeat move."""
+    rows = drawers.where("id is not null").select("id", "text")
+    twice = rows.groupBy("id").count().where("count > 1").select("id")
+    if twice.isEmpty():
+        return rows
+    return rows.join(twice, "id", "left_anti").unionByName(rows.join(twice, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")))
+
+
 class Index:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -37,31 +81,43 @@ class Index:
         """(id, segment, size, digest) of every indexed text."""
         return self.docs.read() if self.docs.snapshots() else self.spark.createDataFrame([], DOCS)
 
+    def _put(self, lists: DataFrame, name: str) -> None:
+        dealt = lists.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64(F.get("numbers", F.lit(0))), F.lit(SALT)))
+        dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/segments/{name}")
+
+    def _numbers(self, ids: DataFrame) -> int:
+        """A seed by which no two ids have the same number."""
+        seed = 0
+        while not ids.groupBy(F.xxhash64("id", F.lit(seed))).count().where("count > 1").isEmpty():
+            seed += 1
+        return seed
+
     def _segment(self, drawers: DataFrame) -> DataFrame:
         """Writes a segment of (id, text); the rows of its documents."""
-        name = uuid.uuid4().hex
-        split = drawers.select("id", tokens(F.coalesce("text", F.lit(""))).alias("w"), digest(F.col("text")).alias("digest"))
-        rows = split.select("id", F.size("w").alias("size"), "digest", F.explode(F.array_append("w", F.lit(""))).alias("term"))
-        held = rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("size").cast("long").alias("size"), F.max("digest").alias("digest"))
-        dealt = held.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SALT)))
-        dealt.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{self.path}/segments/{name}")
-        texts = self._postings([name]).where((F.col("bucket") == _bucket(F.lit(""))) & (F.col("term") == ""))
-        return texts.select("id", F.lit(name).alias("segment"), "size", "digest")
-
-    def _postings(self, segments: list[str]) -> DataFrame:
-        schema = "term string, id string, tf long, size long, digest long, bucket int"
-        out = self.spark.createDataFrame([], schema + ", segment string")
+        name, text = uuid.uuid4().hex, F.coalesce("text", F.lit(""))
+        number = F.xxhash64("id", F.lit(self._numbers(drawers.select("id"))))
+        self._put(drawers.select(number.alias("number"), tokens(text).alias("w")).mapInArrow(_counted, LISTS), name)
+        sizes = self._single(self._lists([name]).where((F.col("bucket") == _bucket(F.lit(""))) & (F.col("term") == "")))
+        return drawers.select("id", number.alias("number"), digest(text).alias("digest")).join(sizes, "number").select("id", "segment", "number", F.col("n").cast("long").alias("size"), "digest")
+
+    def _lists(self, segments: list[str]) -> DataFrame:
+        out = self.spark.createDataFrame([], f"{LISTS}, bucket int, segment string")
         for name in segments:
-            out = out.unionByName(self.spark.read.schema(schema).parquet(f"{self.path}/segments/{name}").withColumn("segment", F.lit(name)))
+            out = out.unionByName(self.spark.read.schema(f"{LISTS}, bucket int").parquet(f"{self.path}/segments/{name}").withColumn("segment", F.lit(name)))
         return out
 
+    @staticmethod
+    def _single(lists: DataFrame) -> DataFrame:
+        """(segment, term, number, n) of posting lists."""
+        return lists.select("segment", "term", F.explode(F.arrays_zip("numbers", "counts")).alias("p")).select("segment", "term", F.col("p.numbers").alias("number"), F.col("p.counts").alias("n"))
+
     def segments(self) -> list[str]:
         """Names of the segments that speak for any text; there is one for each change since the last merge."""
         return sorted(r["segment"] for r in self.documents().select("segment").distinct().collect())
 
     def add(self, drawers: DataFrame) -> None:
         """Texts (id, text) come in; those of ids that are there already take their places. Of rows with one id the largest text counts."""
-        new = self._segment(drawers.where("id is not null").groupBy("id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text")))
+        new = self._segment(_once(drawers))
         self.docs.write(self.documents().join(new.select("id"), "id", "left_anti").unionByName(new))
 
     def delete(self, ids: DataFrame) -> None:
@@ -80,18 +136,19 @@ class Index:
 
     def merge(self) -> None:
         """One segment of what counts now, from postings alone."""
-        name = uuid.uuid4().hex
-        docs = self.documents()
-        held = self._postings(self.segments()).join(docs.select("id", "segment"), ["id", "segment"], "left_semi").drop("segment")
-        held.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SALT))).sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{self.path}/segments/{name}")
-        self.docs.write(docs.withColumn("segment", F.lit(name)))
+        name, docs = uuid.uuid4().hex, self.documents()
+        number = F.xxhash64("id", F.lit(self._numbers(docs.select("id"))))
+        live = self._single(self._lists(self.segments())).join(docs.select("segment", "number", number.alias("now")), ["segment", "number"])
+        held = live.select("term", F.col("now").alias("number"), "n").repartition(_bucket(F.col("term")), F.pmod("number", F.lit(SALT))).sortWithinPartitions("term")
+        self._put(held.mapInArrow(_relisted, LISTS), name)
+        self.docs.write(docs.withColumns({"segment": F.lit(name), "number": number}))
 
     def rebuild(self, drawers: DataFrame, truncation_ok: bool = False) -> int:
         """The whole index anew from drawers (id, text). Refused where they are fewer than the index knows, unless the caller says that this is right."""
         known, given = self.documents().count(), drawers.where("id is not null").select("id").distinct().count()
         if given < known and not truncation_ok:
             raise ValueError(f"{given} drawers were given, the index knows {known}: the source may be cut short")
-        self.docs.write(self._segment(drawers.where("id is not null").groupBy("id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))))
+        self.docs.write(self._segment(_once(drawers)))
         return given
 
     def clean(self) -> int:
@@ -109,8 +166,9 @@ class Index:
         """(id, term, tf, total) of the asked terms (term), as ``retrieval.postings`` gives them; the term "" stands once for each text."""
         docs = self.documents()
         asked = terms.select("term").distinct().withColumn("bucket", _bucket(F.col("term")))
-        held = self._postings(self.segments()).join(asked, ["bucket", "term"]).join(docs.select("id", "segment"), ["id", "segment"], "left_semi")
-        return held.select("id", "term", "tf", (F.col("tf") * F.col("size")).alias("total")).unionByName(docs.select("id", F.lit("").alias("term"), F.lit(1).cast("long").alias("tf"), F.col("size").alias("total")))
+        held = self._single(self._lists(self.segments()).join(asked, ["bucket", "term"])).join(docs.select("id", "segment", "number", "size"), ["segment", "number"])
+        rows = held.select("id", "term", F.col("n").cast("long").alias("tf"), (F.col("n") * F.col("size")).alias("total"))
+        return rows.unionByName(docs.select("id", F.lit("").alias("term"), F.lit(1).cast("long").alias("tf"), F.col("size").alias("total")))
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """BM25 of queries (query_id, text), without reading a text."""
