@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..plans.lineage import cut
+
 #: Bits of the hash that name a leaf, bits that each level adds, and those that name a folder.
 BITS, STEP, FOLDER_BITS = 20, 4, 6
 NODE = "level int, node int, n long, digest decimal(38,0)"
@@ -51,13 +53,13 @@ def _unlike(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
 def unlike_leaves(ours: Inventory, theirs: Inventory) -> DataFrame:
     """(node): leaves that differ, from the top down; each level looks at the children of differing nodes only, and stops where none differ."""
-    found = _unlike(ours.level(0), theirs.level(0))
+    found = cut(_unlike(ours.level(0), theirs.level(0)), "unlike")  # each level is written, since the next one asks for it twice
     for level in range(STEP, BITS + 1, STEP):
         if found.isEmpty():
             break
         # children of what differs: a node names its parent by its own first bits
         under = lambda inv: inv.level(level).join(found.withColumnRenamed("node", "parent"), F.shiftright("node", STEP) == F.col("parent"), "left_semi")  # noqa: B023, E731
-        found = _unlike(under(ours), under(theirs))
+        found = cut(_unlike(under(ours), under(theirs)), "unlike")
     return found
 
 
