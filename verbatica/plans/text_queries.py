@@ -54,6 +54,17 @@ def _words(spark, sf_dir):
 _TEXTS = "x as (select page_id as id, coalesce(html, '') as text from pages union all select -1 - conv_id * 1000 - turn, coalesce(text, '') from conversations)"
 
 
+_INTENT = " ".join("when regexp_matches(text, '(?i)" + "|".join(patterns).replace("'", "''") + f"') then '{name}'" for name, patterns in classify.INTENTS.items())
+_F1 = r"""
+with m as (select conv_id, turn, coalesce(text, '') as text, lag(coalesce(text, '')) over (partition by conv_id order by turn) as before from conversations),
+p as (select * from m where before is not null),
+b as (select conv_id, turn, unnest([text, before]) as body, unnest([1, 2]) as side from p),
+w as (select conv_id, turn, side, unnest(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(lower(body), '(^|[^\p{L}\p{N}_])(a|an|the)($|[^\p{L}\p{N}_])', '\1 \3', 'g'), '(^|[^\p{L}\p{N}_])(a|an|the)($|[^\p{L}\p{N}_])', '\1 \3', 'g'), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+')) as word from b),
+c as (select conv_id, turn, word, count(*) filter (side = 1) as a, count(*) filter (side = 2) as t from w where word <> '' group by all),
+s as (select conv_id, turn, sum(least(a, t)) as same, sum(a) as a, sum(t) as t from c group by all)
+select p.conv_id as session_id, p.turn as ordinal, round(coalesce(2 * same / (a + t), 1)::double, 6) as f1 from p left join s on s.conv_id = p.conv_id and s.turn = p.turn"""
+
+
 def _transcripts(spark, sf_dir):
     return t.transcript(messages(spark, sf_dir))
 
@@ -118,7 +129,7 @@ QUERIES = {
     "human_messages": (lambda s, d: messages(s, d).where("role = 'user'").groupBy("session_id").agg(F.count("*").alias("n"), F.floor(F.count("*") / 3).alias("saves")), "select conv_id as session_id, count(*) as n, count(*) // 3 as saves from conversations where role = 'user' group by 1"),
     "hall_classifier": (lambda s, d: _words(s, d).select("id", classify.hall(F.col("text")).alias("hall")), f"with {_TEXTS}, l as (select id, lower(text) as low from x) select id, {_HALL} as hall from l"),
     "room_classifier": (lambda s, d: _words(s, d).select("id", classify.conversation_room(F.col("text")).alias("room")), f"with {_TEXTS}, l as (select id, lower(text) as low from x) select id, {_ROOM} as room from l"),
-    "intent": (lambda s, d: _words(s, d).select("id", classify.intent(F.col("text")).alias("intent")), None),
+    "intent": (lambda s, d: _words(s, d).select("id", classify.intent(F.col("text")).alias("intent")), f"with {_TEXTS} select id, case {_INTENT} end as intent from x"),
     "memory_type": (lambda s, d: classify.memory_types(_words(s, d)).select("id", "memory_type", F.round("confidence", 6).alias("confidence")), None),
     "ears_pattern": (lambda s, d: _words(s, d).select("id", classify.requirement_form(F.col("text")).alias("form")), f"""
         with {_TEXTS}, l as (select id, lower(text) as low from x) select id, case when {_present("low", ["shall not", "must not", "will not", "should not"])} > 0 then 'unwanted'
@@ -137,7 +148,7 @@ QUERIES = {
     "quality_metrics": (_quality, None),
     "quality_tier": (lambda s, d: quality.metrics(_docs(s, d).select("doc_id", "text"), "doc_id").select("doc_id", retrieval.quality_tier(F.col("overall_weighted_average"), F.lit(True)).alias("factor"), quality.level(F.col("overall_weighted_average")).alias("level")), None),
     "entity_mentions": (lambda s, d: _mentions(s, d), None),
-    "token_f1": (lambda s, d: _f1(s, d), None),
+    "token_f1": (lambda s, d: _f1(s, d), _F1),
     "events_hourly": (lambda s, d: capture.activity(table(s, d, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total")), "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all"),
     "user_sessions": (lambda s, d: capture.sessions(table(s, d, "events")).select("user_id", "start", "n"), """
         with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 30 minutes then 0 else 1 end as fresh from events), k as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as island from g)
