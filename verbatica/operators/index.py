@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..plans.lineage import cut
 from .retrieval import best, bm25, boolean_match, query_terms, tokens
 from .store import Table
 
@@ -172,7 +173,7 @@ class Index:
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """BM25 of queries (query_id, text), without reading a text."""
-        return bm25(queries, queries, k, self.postings(query_terms(queries)))
+        return bm25(queries, queries, k, cut(self.postings(query_terms(queries)), "asked"))  # ranking asks for them three times
 
     def match(self, queries: DataFrame, match: str = "all", k: int | None = None) -> DataFrame:
         """(query_id, id, n_terms) of texts with all, or any, of the terms; the k with most terms, if k is given."""
