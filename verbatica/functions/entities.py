@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.lineage import cut
+
 #: Capitalised words, also joined by inner capitals or hyphens.
 NAME = r"(?<![\p{L}\p{N}_])(\p{Lu}[\p{L}]+(?:-\p{L}+)*)"
 #: Words after and before a person's or a project's name, and words that are no names.
@@ -62,21 +64,33 @@ def _deletions(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(word), F.lit(1))), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1, F.char_length(word))))))
 
 
+#: Spellings of names (less a letter each) that are broadcast at a time.
+SPELLINGS = 500_000
+
+
 def fuzzy_mentions(df: DataFrame, key: str, names: DataFrame, text: str = "text", distance: int = 1) -> DataFrame:
     """(key, name, matched, distance): names that one to three words of a text come within the distance (0 or 1) of; the nearest, then the first by spelling.
 
-    An equality join on words less a letter; candidates are then measured.
+    An equality join on words less a letter; candidates are then measured.  The names' spellings are written once and broadcast
+    in blocks of bounded size, so neither texts nor their words are shuffled; words of a length that no name comes near are not spelt.
     """
+    keys = _deletions if distance else F.array
+    low = names.select("name", F.lower("name").alias("low")).distinct()
+    spelt = cut(low.select("name", "low", F.explode(keys(F.col("low"))).alias("k")), "spellings")
+    told = spelt.agg(F.count("*").alias("n"), F.min(F.char_length("low")).alias("low"), F.max(F.char_length("low")).alias("high")).first()
+    blocks = max(1, -(-told["n"] // SPELLINGS))
     split = F.filter(F.split(F.lower(text), r"[\s,.;:!?()\[\]{}\"']+"), lambda w: w != "")
     rows = df.select(key, split.alias("w"))
-    windows = rows.select(key, F.explode(F.array_distinct(F.concat(*[_grams(k) for k in (1, 2, 3)]))).alias("matched"))
-    keys = _deletions if distance else F.array
+    near = lambda w: F.char_length(w).between((told["low"] or 0) - distance, (told["high"] or 0) + distance)
+    windows = rows.select(key, F.explode(F.array_distinct(F.concat(*[F.filter(_grams(k), near) for k in (1, 2, 3)]))).alias("matched"))
     left = windows.select(key, "matched", F.explode(keys(F.col("matched"))).alias("k"))
-    low = names.select("name", F.lower("name").alias("low")).distinct()
-    right = low.select("name", "low", F.explode(keys(F.col("low"))).alias("k"))
     far = F.levenshtein("matched", "low")
-    hits = left.join(right, "k").select(key, "name", "matched", far.alias("distance")).where(F.col("distance") <= distance)
-    return hits.groupBy(key, "name").agg(F.min(F.struct("distance", "matched")).alias("m")).select(key, "name", "m.matched", "m.distance")
+    out = None
+    for b in range(blocks):
+        right = spelt if blocks == 1 else spelt.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b)
+        hits = left.join(F.broadcast(right), "k").select(key, "name", "matched", far.alias("distance")).where(F.col("distance") <= distance)
+        out = hits if out is None else out.unionByName(hits)
+    return out.groupBy(key, "name").agg(F.min(F.struct("distance", "matched")).alias("m")).select(key, "name", "m.matched", "m.distance")
 
 
 def _grams(k: int) -> Column:
