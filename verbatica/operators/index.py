@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..plans.lineage import cut
-from .retrieval import best, bm25, boolean_match, query_terms, tokens
+from .retrieval import Words, _asked, best, bm25, boolean_match, query_terms, tokens
 from .store import Table
 
 BUCKETS, LIST = 32, 4096
@@ -163,19 +163,28 @@ class Index:
             fs.delete(path, True)
         return len(dead)
 
-    def postings(self, terms: DataFrame) -> DataFrame:
-        """(id, term, tf, total) of the asked terms (term), as ``retrieval.postings`` gives them; the term "" stands once for each text."""
-        docs = self.documents()
-        asked = terms.select("term").distinct().withColumn("bucket", _bucket(F.col("term")))
-        held = self._single(self._lists(self.segments()).join(asked, ["bucket", "term"])).join(docs.select("id", "segment", "number", "size"), ["segment", "number"])
-        rows = held.select("id", "term", F.col("n").cast("long").alias("tf"), (F.col("n") * F.col("size")).alias("total"))
-        return rows.unionByName(docs.select("id", F.lit("").alias("term"), F.lit(1).cast("long").alias("tf"), F.col("size").alias("total")))
+    def asked(self, terms: DataFrame) -> Words:
+        """The live texts by the asked terms (term), as ``retrieval.words_of`` gives them, without reading a text.
+
+        Terms are numbers before postings move, and postings move once, by their text's number; ids do not.
+        """
+        docs, words = self.documents(), _asked(terms)
+        numbered = self.spark.createDataFrame(pa.table({"term": words, "place": pa.array(range(len(words)), pa.int32())}))
+        segments = self.segments()
+        at = F.array_position(F.array(*map(F.lit, segments)).cast("array<string>"), F.col("segment")).cast("int").alias("at")
+        lists = self._lists(segments).join(F.broadcast(numbered.withColumn("bucket", _bucket(F.col("term")))), ["bucket", "term"])
+        single = lists.select(at, "place", F.explode(F.arrays_zip("numbers", "counts")).alias("p"))
+        held = single.groupBy("at", F.col("p.numbers").alias("number")).agg(F.collect_list(F.struct("place", F.col("p.counts").alias("n"))).alias("w"))
+        size = F.col("size")
+        got = lambda f, kind: F.coalesce(F.transform("w", f), F.array()).cast(f"array<{kind}>")
+        rows = docs.select("id", at, "number", "size").join(held, ["at", "number"], "left").select(
+            "id", F.lit(1).cast("long").alias("texts"), "size", got(lambda p: p["place"], "int").alias("term"), got(lambda p: p["n"], "bigint").alias("tf"), got(lambda p: p["n"] * size, "bigint").alias("total"))
+        return Words(cut(rows, "asked"), words)
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """BM25 of queries (query_id, text), without reading a text."""
-        return bm25(queries, queries, k, cut(self.postings(query_terms(queries)), "asked"))  # ranking asks for them three times
+        return bm25(queries, queries, k, self.asked(query_terms(queries)))
 
     def match(self, queries: DataFrame, match: str = "all", k: int | None = None) -> DataFrame:
         """(query_id, id, n_terms) of texts with all, or any, of the terms; the k with most terms, if k is given."""
-        found = boolean_match(queries, queries, match, index=self.postings(query_terms(queries)))
-        return found if k is None else best(found.withColumn("score", F.col("n_terms").cast("double")), k).select("query_id", "id", "n_terms")
+        return boolean_match(queries, queries, match, index=self.asked(query_terms(queries)), k=k)

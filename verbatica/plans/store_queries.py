@@ -11,7 +11,7 @@ from ..operators.index import Index
 from ..operators.reconcile import Inventory, audit, differences
 from ..operators.rerank import WordOverlap, reranked
 from ..sources.tables import drawers, table
-from .lineage import shared_dir
+from .lineage import cut, shared_dir
 from .retrieval_queries import WITH, _ask, _BM25
 
 
@@ -36,7 +36,7 @@ def _search(spark, sf_dir):
 
 def _reranked(spark, sf_dir):
     d, asked = drawers(spark, sf_dir).select("id", "text"), _ask(spark, sf_dir)
-    return reranked(r.bm25(asked, d, 20), asked, d, WordOverlap, 5).select("query_id", "id", "rank", "was", F.round("score", 6).alias("score"))
+    return reranked(cut(r.bm25(asked, d, 20), "hits"), asked, d, WordOverlap, 5).select("query_id", "id", "rank", "was", F.round("score", 6).alias("score"))
 
 
 def _inventories(spark, sf_dir):
