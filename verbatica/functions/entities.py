@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, parted
+from .text import once
 
 #: Capitalised words, also joined by inner capitals or hyphens.
 NAME = r"(?<![\p{L}\p{N}_])(\p{Lu}[\p{L}]+(?:-\p{L}+)*)"
@@ -24,10 +25,20 @@ def candidates(df: DataFrame, key: str, text: str = "text", least: int = 3, char
             .groupBy(key, "name").agg(F.count("*").alias("n")).where(F.col("n") >= least))
 
 
+def listed(text: Column, most: int = 25) -> Column:
+    """The names that a text has twice, in order, joined by `;`, in its row."""
+    names = F.sort_array(F.filter(F.regexp_extract_all(text, F.lit(NAME), F.lit(1)), lambda n: ~n.isin(STOP)))
+    return once(names, lambda s: F.array_join(F.slice(F.array_distinct(F.filter(s, lambda n, i: n == F.get(s, i - 1))), 1, most), ";"))
+
+
 def entity_list(df: DataFrame, key: str, text: str = "text", most: int = 25, chars: int | None = None) -> DataFrame:
-    """(key, entities): names seen twice in the text, or in so many characters of it, in order, joined by `;`."""
-    found = candidates(df, key, text, 2, chars)
-    return found.groupBy(key).agg(F.array_join(F.slice(F.sort_array(F.collect_set("name")), 1, most), ";").alias("entities"))
+    """(key, entities): names seen twice in the text, or in so many characters of it, in order, joined by `;`; only the names of texts whose key repeats move."""
+    single, several = parted(df, key)
+    rows = single.select(key, listed(F.substring(text, 1, chars) if chars else F.col(text), most).alias("entities")).where("entities <> ''")
+    if several is None:
+        return rows
+    found = candidates(several, key, text, 2, chars)
+    return rows.unionByName(found.groupBy(key).agg(F.array_join(F.slice(F.sort_array(F.collect_set("name")), 1, most), ";").alias("entities")))
 
 
 def kinds(df: DataFrame, key: str, text: str = "text", least: int = 3) -> DataFrame:

@@ -201,7 +201,7 @@ def _entity_queries():
             k as (select *, row_number() over (partition by doc_id order by name) as nth from c where n >= 2) select doc_id, string_agg(name, ';' order by name) as entities from k where nth <= 25 group by doc_id"""),
         "entity_kinds": (lambda s, d: entities.kinds(docs(s, d), "doc_id"), None),
         "entity_fuzzy_match": (lambda s, d: entities.fuzzy_mentions(_words(s, d), "id", _names(s, d)), None),
-        "summaries": (lambda s, d: summary.compressed(docs(s, d), "doc_id", entities=entities.entity_list(docs(s, d), "doc_id")), None),
+        "summaries": (lambda s, d: summary.compressed(docs(s, d), "doc_id", own=True), None),
         "article_profile": (lambda s, d: article.profile(_docs(s, d), language=F.col("lang")).select("doc_id", "n_words", "n_sentences", "oversized", "words_per_sentence", "flesch_reading_ease", "smog"), None),
         "pointer_lines": (lambda s, d: entities.pointer_lines(drawers(s, d).withColumn("drawer_ids", F.array("id")), "id"), None),
         "key_sentences": (lambda s, d: docs(s, d).select("doc_id", summary.key_sentence(F.col("text")).alias("sentence"), summary.codes(F.col("text"), summary.FLAGS).alias("flags"), summary.token_count(F.col("text")).alias("n_tokens")), None),
