@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.lineage import cut
+
 
 #: Fixed value: the day since which seeded interests hold.
 INTERESTS_SINCE = "2025-01-01"
@@ -122,10 +124,24 @@ def conflicts(claims: DataFrame, triples: DataFrame, today: str) -> DataFrame:
         .where("conflict is not null"))
 
 
+#: Names that are broadcast at a time.
+NAMES = 500_000
+
+
 def mentions(drawers: DataFrame, names: DataFrame) -> DataFrame:
-    """(name, drawer_id, n): how often each name (one word) stands in each drawer; names are few next to words and are joined by equality."""
+    """(name, drawer_id, n): how often each name (one word) stands in each drawer.
+
+    Names are written once and broadcast in blocks of bounded size; only words that are names are counted and shuffled.
+    """
+    known = cut(names.select("name").where("name is not null").distinct(), "names")
+    blocks = max(1, -(-known.count() // NAMES))
     words = drawers.select(F.col("id").alias("drawer_id"), F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))).alias("name"))
-    return words.groupBy("name", "drawer_id").agg(F.count("*").alias("n")).join(names.select("name").distinct(), "name", "left_semi")
+    out = None
+    for b in range(blocks):
+        few = known if blocks == 1 else known.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b)
+        met = words.join(F.broadcast(few), "name", "left_semi").groupBy("name", "drawer_id").agg(F.count("*").alias("n"))
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def pending(ids: DataFrame, done: DataFrame, scanned: DataFrame) -> DataFrame:
