@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .quality import COORDINATING, HARD, NEGATIONS, REQUIREMENT_ID, SOFT, SUBORDINATING, WORD, _count, _of, readability, words
+from .text import once
 
 #: Actors, verbs and objects of requirements, first words of a scenario's steps, endings of nouns, the shortest requirement.
 ACTORS = ["user", "admin", "system", "customer", "client", "operator", "manager", "developer", "tester", "application", "service", "module", "component", "interface", "database", "server"]
@@ -24,7 +25,7 @@ SHORTEST = 11
 LOADS = {"sentence": 30, "word": 2.5, "concepts": 0.3, "coordination": 10, "subordination": 10, "negation": 5}
 OVERALL = {"readability": 0.3, "structure": 0.4, "cognitive": 0.3}
 
-IDENTIFIED = r"(?:[A-Z]+-)?(?:FR|REQ|NFR)-\d+"
+IDENTIFIED = r"(?:FR|REQ|NFR)-\d"
 BULLET = r"(?s)^\s*[-*+]\s+(.+)$"
 STEP = r"(?s)^\s*(?:" + "|".join(STEPS) + r")\s+(.+)$"
 SENTENCE_END = r"(?<!\d)[.!?]+(?=\s|$)"
@@ -36,10 +37,10 @@ def extracted(text: Column) -> Column:
     Code blocks and comments don't count; what has ten characters or fewer is left out; a null text has none.
     """
     bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)```.*?```", ""), r"(?s)<!--.*?-->", "")
-    lines = F.split(bare, "\n")  # a line feed ends a line, and nothing else does
-    held = lambda pattern: F.transform(F.filter(lines, lambda s: s.rlike(pattern)), lambda s: F.regexp_extract(s, pattern, 1))
-    marked = F.concat(held(rf"(?s)^(.*{IDENTIFIED}.*)$"), held(BULLET), held(STEP))
-    return _told(F.when(F.size(marked) > 0, marked).otherwise(F.split(bare, SENTENCE_END)))
+    held = lambda lines, pattern: F.filter(F.transform(lines, lambda s: F.regexp_extract(s, pattern, 1)), lambda s: s != "")
+    marked = lambda lines: F.concat(F.filter(lines, lambda s: s.rlike(IDENTIFIED)), held(lines, BULLET), held(lines, STEP))
+    items = lambda b: once(once(F.split(b, "\n"), marked), lambda m: F.when(F.size(m) > 0, m).otherwise(F.split(b, SENTENCE_END)))  # noqa: E731  # a line feed ends a line, and nothing else does
+    return _told(once(bare, items))
 
 
 def _told(items: Column) -> Column:
@@ -62,7 +63,7 @@ def diagnosis(requirement: Column) -> Column:
     return F.struct(hard.alias("hard"), F.size(held).alias("soft"), held.alias("soft_words"), F.when(hard == 0, "no numeric thresholds").alias("diagnosis"))
 
 
-def references(df: DataFrame, key: str, items: str = "requirements") -> DataFrame:
+def references(df: DataFrame, key: str, items: str | Column = "requirements") -> DataFrame:
     """(key, id, refs): each requirement with an id of its own (the first in it) and the other ids that it names, in order; the last of equal ids wins."""
     told = df.select(key, F.posexplode(items).alias("pos", "r")).select(key, "pos", F.regexp_extract_all("r", F.lit(f"({REQUIREMENT_ID})"), F.lit(1)).alias("ids")).where(F.size("ids") > 0)
     own = told.select(key, "pos", F.get("ids", F.lit(0)).alias("id"), "ids")
@@ -72,11 +73,10 @@ def references(df: DataFrame, key: str, items: str = "requirements") -> DataFram
 
 def named(requirement: Column) -> Column:
     """(actors, actions, objects) of a requirement: different words of the three lists in order, verbs in any form; an actor is no object."""
-    told = F.array_distinct(words(requirement))
-    of = lambda held: F.array_sort(F.array_intersect(told, F.array(*[F.lit(w) for w in held])))
+    of = lambda told, held: F.sort_array(F.array_intersect(told, F.array(*[F.lit(w) for w in held])))
     verb = "^(" + "|".join(VERBS) + ")[seding]*$"
-    acted = F.transform(F.filter(told, lambda w: w.rlike(verb)), lambda w: F.regexp_extract(w, verb, 1))
-    return F.struct(of(ACTORS).alias("actors"), F.array_sort(F.array_distinct(acted)).alias("actions"), of([w for w in OBJECTS if w not in ACTORS]).alias("objects"))
+    acted = lambda told: F.filter(F.transform(told, lambda w: F.regexp_extract(w, verb, 1)), lambda w: w != "")
+    return once(F.array_distinct(words(requirement)), lambda told: F.struct(of(told, ACTORS).alias("actors"), F.sort_array(F.array_distinct(acted(told))).alias("actions"), of(told, [w for w in OBJECTS if w not in ACTORS]).alias("objects")))
 
 
 def relations(df: DataFrame, key: str, column: str = "named") -> DataFrame:
@@ -84,10 +84,10 @@ def relations(df: DataFrame, key: str, column: str = "named") -> DataFrame:
 
     The three lists are words of fixed vocabularies, so a row gives at most a fixed number of relations.
     """
-    acted = df.where(F.size(f"{column}.actors") > 0).select(key, F.col(column).alias("e"), F.explode(f"{column}.actions").alias("action"))
-    performs = acted.select(key, F.explode("e.actors").alias("source"), F.lit("performs").alias("relation"), F.col("action").alias("target"))
-    on = acted.select(key, F.col("action").alias("source"), F.lit("on").alias("relation"), F.explode("e.objects").alias("target"))
-    return performs.unionByName(on)
+    row = lambda source, relation, target: F.struct(source.alias("source"), F.lit(relation).alias("relation"), target.alias("target"))
+    each = lambda e: F.flatten(F.transform(e["actions"], lambda a: F.concat(F.transform(e["actors"], lambda s: row(s, "performs", a)), F.transform(e["objects"], lambda o: row(a, "on", o)))))
+    found = df.select(key, F.explode(once(F.col(column), lambda e: F.when(F.size(e["actors"]) > 0, each(e)))).alias("r"))
+    return found.select(key, "r.source", "r.relation", "r.target")
 
 
 def cognitive_load(df: DataFrame, text: str = "text") -> DataFrame:

@@ -43,13 +43,18 @@ def _extracted(spark, sf_dir):
     return _specs(spark, sf_dir).select("doc_id", rq.extracted(F.col("text")).alias("requirements"))
 
 
+def _each(spark, sf_dir):
+    """A row for each requirement; they are exploded as they are found, since Spark adds a filter to a column that is exploded, which would find them again."""
+    return _specs(spark, sf_dir).select("doc_id", F.explode(rq.extracted(F.col("text"))).alias("r"))
+
+
 def _diagnoses(spark, sf_dir):
-    rows = _extracted(spark, sf_dir).select(F.explode("requirements").alias("r")).select(rq.diagnosis(F.col("r")).alias("d"))
+    rows = _each(spark, sf_dir).select(rq.diagnosis(F.col("r")).alias("d"))
     return rows.groupBy(F.col("d.hard").alias("hard"), F.col("d.soft").alias("soft"), F.array_join("d.soft_words", ",").alias("soft_words"), F.col("d.diagnosis").alias("diagnosis")).agg(F.count("*").alias("n"))
 
 
 def _relations(spark, sf_dir):
-    rows = _extracted(spark, sf_dir).select("doc_id", F.explode("requirements").alias("r")).select("doc_id", rq.named(F.col("r")).alias("named"))
+    rows = _each(spark, sf_dir).select("doc_id", rq.named(F.col("r")).alias("named"))
     return rq.relations(rows, "doc_id").groupBy("source", "relation", "target").agg(F.count("*").alias("n"))
 
 
@@ -238,7 +243,7 @@ QUERIES = {
     "started_messages": (_started, _STARTED),
     "requirements": (lambda s, d: _extracted(s, d).select("doc_id", F.size("requirements").alias("n"), F.sha2(F.array_join("requirements", "\x1f"), 256).alias("sha256")),
                      "with" + _SPECS + " select doc_id, len(r)::int as n, sha256(array_to_string(r, chr(31))) as sha256 from ex"),
-    "requirement_refs": (lambda s, d: rq.references(_extracted(s, d), "doc_id").select("doc_id", "id", F.array_join("refs", ",").alias("refs")), "with" + _SPECS + r""",
+    "requirement_refs": (lambda s, d: rq.references(_specs(s, d), "doc_id", rq.extracted(F.col("text"))).select("doc_id", "id", F.array_join("refs", ",").alias("refs")), "with" + _SPECS + r""",
         i as (select doc_id, pos, regexp_extract_all(r[pos], '(?:[A-Z]+-)?(?:FR|REQ|NFR|AC|SC)-\d+') as ids from (select doc_id, r, unnest(range(1, len(r) + 1)) as pos from ex)),
         o as (select doc_id, ids[1] as id, arg_max(ids, pos) as ids from i where len(ids) > 0 group by 1, 2)
         select doc_id, id, array_to_string(list_filter(ids, lambda x: x <> id), ',') as refs from o"""),
