@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.lineage import cut, parted
@@ -75,38 +80,105 @@ def _deletions(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(word), F.lit(1))), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1, F.char_length(word))))))
 
 
-#: Spellings of names (less a letter each) that are broadcast at a time.
-SPELLINGS = 500_000
+#: Spellings of names that are broadcast at a time.
+SPELLINGS = 1_000_000
+#: What parts the words of a text, and the most words of it that may be one name.
+BORDER, GRAM = r"[\s,.;:!?()\[\]{}\"']+", 3
 
 
 def fuzzy_mentions(df: DataFrame, key: str, names: DataFrame, text: str = "text", distance: int = 1) -> DataFrame:
     """(key, name, matched, distance): names that one to three words of a text come within the distance (0 or 1) of; the nearest, then the first by spelling.
 
-    An equality join on words less a letter; candidates are then measured.  The names' spellings are written once and broadcast
-    in blocks of bounded size, so neither texts nor their words are shuffled; words of a length that no name comes near are not spelt.
+    The names are spelt as the texts' words may spell them, so a text is held against them by plain equality and none of its words loses
+    a letter. Spellings are written once and broadcast in blocks of bounded size, and the nearest of a name is taken in the task that reads
+    the text: neither texts nor what they mention are shuffled, only their different words are (and what is found in texts whose key repeats).
     """
-    keys = _deletions if distance else F.array
-    low = names.select("name", F.lower("name").alias("low")).distinct()
-    spelt = cut(low.select("name", "low", F.explode(keys(F.col("low"))).alias("k")), "spellings")
-    told = spelt.agg(F.count("*").alias("n"), F.min(F.char_length("low")).alias("low"), F.max(F.char_length("low")).alias("high")).first()
+    rows = _worded(df, key, text)
+    low = cut(names.select("name", F.lower("name").alias("low")).distinct().withColumn("who", F.monotonically_increasing_id()), "names")
+    spelt = low.select(F.col("low").alias("matched"), "who", "name", F.lit(0).alias("distance")) if distance == 0 else _spelt(low, rows)
+    spelt = spelt.withColumn("n", F.regexp_count("matched", F.lit(" ")) + 1).where(F.col("n") <= GRAM)
+    spelt = cut(spelt.orderBy("who", "distance", "matched").withColumn("place", F.monotonically_increasing_id()), "spellings")  # a name's best spelling has its smallest place
+    told = spelt.agg(F.count("*").alias("n"), F.collect_set("n").alias("grams"), F.min(F.char_length("matched")).alias("low"), F.max(F.char_length("matched")).alias("high")).first()
     blocks = max(1, -(-told["n"] // SPELLINGS))
-    split = F.filter(F.split(F.lower(text), r"[\s,.;:!?()\[\]{}\"']+"), lambda w: w != "")
-    rows = df.select(key, split.alias("w"))
-    near = lambda w: F.char_length(w).between((told["low"] or 0) - distance, (told["high"] or 0) + distance)
-    windows = rows.select(key, F.explode(F.array_distinct(F.concat(*[F.filter(_grams(k), near) for k in (1, 2, 3)]))).alias("matched"))
-    left = windows.select(key, "matched", F.explode(keys(F.col("matched"))).alias("k"))
-    far = F.levenshtein("matched", "low")
+    near = lambda w: F.char_length(w).between(told["low"] or 0, told["high"] or 0)
+    grams = F.array_distinct(F.concat(*[F.filter(_grams(k), near) for k in sorted(told["grams"]) or [1]]))
+    single, several = parted(df, key)
+    row = F.monotonically_increasing_id().alias("row")
+    windows = _worded(single, key, text).select(key, row, "w").select(key, "row", F.explode_outer(grams).alias("matched"))
+    kind = df.schema[key].dataType.simpleString()
     out = None
     for b in range(blocks):
-        right = spelt if blocks == 1 else spelt.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b)
-        hits = left.join(F.broadcast(right), "k").select(key, "name", "matched", far.alias("distance")).where(F.col("distance") <= distance)
+        block = spelt if blocks == 1 else spelt.where(F.pmod(F.xxhash64("who"), F.lit(blocks)) == b)
+        met = F.broadcast(block.groupBy("matched").agg(F.collect_list(F.struct("who", "place")).alias("hits")))
+        best = windows.join(met, "matched").select(key, "row", "hits").mapInArrow(_nearest, f"`{key}` {kind}, place long")
+        if several is not None:
+            again = _worded(several, key, text).select(key, F.explode_outer(grams).alias("matched")).join(met, "matched").select(key, F.explode("hits").alias("hit"))
+            best = best.unionByName(again.groupBy(key, "hit.who").agg(F.min("hit.place").alias("place")).select(key, "place"))
+        hits = best.join(F.broadcast(block.select("place", "name", "matched", "distance")), "place").select(key, "name", "matched", "distance")
         out = hits if out is None else out.unionByName(hits)
-    return out.groupBy(key, "name").agg(F.min(F.struct("distance", "matched")).alias("m")).select(key, "name", "m.matched", "m.distance")
+    return out
+
+
+def _worded(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(key, F.filter(F.split(F.lower(text), BORDER), lambda w: w != "").alias("w"))
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, row, hits), where those of one row follow one another, the smallest place of each name in each row."""
+    held = None
+    for batch in batches:
+        hits = batch.column(2)
+        of, flat = pc.list_parent_indices(hits), hits.flatten()
+        found = pa.table([batch.column(0).take(of), batch.column(1).take(of), flat.field("who"), flat.field("place")], names=[batch.schema.names[0], "row", "who", "place"])
+        found = found if held is None else pa.concat_tables([held, found])
+        row, who, place = (found.column(i).to_numpy() for i in (1, 2, 3))
+        order = np.lexsort((place, row))
+        row, who = row[order], who[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (row[1:] != row[:-1]) | (who[1:] != who[:-1])  # places are in the order of names
+        found = found.take(order[first])
+        done = int(np.searchsorted(row[first], row[-1])) if len(row) else 0
+        yield from found.slice(0, done).select([0, 3]).to_batches()
+        held = found.slice(done)
+    if held is not None:
+        yield from held.select([0, 3]).to_batches()
+
+
+def _spelt(low: DataFrame, rows: DataFrame) -> DataFrame:
+    """(matched, who, name, distance): what the rows' words w may write that is at distance 1 or less of low.
+
+    One edit changes one word, makes two words one, or parts a word by a blank. In the first two cases the word, and the name's word or
+    its two words as one, share a spelling less a letter; the rest of the name stays. In the third the name tells both words.
+    """
+    told = low.agg(F.max(F.char_length("low")).alias("n")).first()["n"] or 0
+    held = cut(rows.select(F.explode_outer("w").alias("u")).where(F.char_length("u") <= told + 1).distinct(), "words")
+    parts, size = F.split("low", " "), F.size(F.split("low", " "))
+    join = lambda a, at, n: F.array_join(F.slice(a, at, n), " ")
+    piece = lambda n: lambda x, i: F.struct(
+        F.when(i > 0, F.concat(join(parts, F.lit(1), i), F.lit(" "))).otherwise("").alias("before"), (x if n == 1 else F.concat(x, F.get(parts, i + 1))).alias("k"),
+        F.when(i + n < size, F.concat(F.lit(" "), join(parts, i + n + 1, size))).otherwise("").alias("after"), F.lit(n).alias("n"))
+    pieces = low.select("who", "name", "low", F.explode_outer(F.concat(F.transform(parts, piece(1)), F.transform(parts, piece(2)))).alias("p")).select("who", "name", "low", "p.*").where("k is not null")
+    keys = cut(pieces.select("who", "name", "low", "before", "after", F.explode_outer(F.when(F.col("n") == 1, _deletions(F.col("k"))).otherwise(F.array("k"))).alias("k")), "keys")
+    left = held.select("u", F.explode_outer(_deletions(F.col("u"))).alias("k"))
+    blocks = max(1, -(-keys.count() // SPELLINGS))
+    found = None
+    for b in range(blocks):
+        near = left.join(F.broadcast(keys if blocks == 1 else keys.where(F.pmod(F.xxhash64("who"), F.lit(blocks)) == b)), "k")
+        near = near.select(F.concat("before", "u", "after").alias("matched"), "who", "name", "low")
+        found = near if found is None else found.unionByName(near)
+    found = found.select("matched", "who", "name", F.levenshtein("matched", "low").alias("distance")).where("distance <= 1")
+    at = lambda x, i, j: F.struct(F.substr(x, F.lit(1), i).alias("a"), F.substr(x, j, F.char_length(x)).alias("b"))
+    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("k"), F.lit(1))), lambda i: F.array(at(F.col("k"), i, i + 1), at(F.col("k"), i, i + 2)))
+    halves = pieces.where("n = 1").select("who", "name", "before", "after", F.explode_outer(F.flatten(cuts)).alias("h")).select("who", "name", "before", "after", "h.*").where("a <> '' and b <> ''")
+    for half in ("a", "b"):
+        halves = halves.join(held, F.col(half) == F.col("u"), "left_semi")
+    parted_ = halves.select(F.concat("before", "a", F.lit(" "), "b", "after").alias("matched"), "who", "name", F.lit(1).alias("distance"))
+    return found.unionByName(parted_).distinct()
 
 
 def _grams(k: int) -> Column:
-    joined = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.array_join(F.slice("w", i + 1, F.lit(k)), " "))
-    return F.when(F.size("w") >= k, joined).otherwise(F.array().cast("array<string>"))
+    """Each k words in a row as one, joined by blanks; null past the end."""
+    return F.col("w") if k == 1 else F.transform("w", lambda x, i: F.concat(x, *[c for j in range(1, k) for c in (F.lit(" "), F.get("w", i + j))]))
 
 
 def confusions(mentioned: DataFrame, names: DataFrame) -> DataFrame:
