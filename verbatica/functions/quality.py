@@ -6,9 +6,17 @@ its row, so nothing is shuffled.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StructType
+
+from .text import once
 
 #: Word lists and patterns of the metrics.
 COORDINATING = ["and", "or", "but", "nor", "yet", "so"]
@@ -55,11 +63,19 @@ WORD = r"([\p{L}\p{N}_]+)"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(1))
+    return F.array_remove(F.split(F.lower(text), r"[^a-z\p{L}\p{N}_]+"), "")  # runs of WORD; most letters are of the first range, which is the fastest to tell
+
 
+@F.arrow_udf(IntegerType())
+def sentence_count(text: pa.Array) -> pa.Array:
+    """Pieces between marks that hold more than white space."""
+    return pc.count_substring_regex(text, r"[^.!?\s\x0B][^.!?]*")
 
-def sentence_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"[.!?]+"), lambda s: F.regexp_replace(s, r"\s+", "") != ""))
+
+@F.arrow_udf(IntegerType())
+def solid(text: pa.Array) -> pa.Array:
+    """Characters but white space."""
+    return reduce(pc.subtract, [pc.count_substring(text, c) for c in " \t\n\v\f\r"], pc.utf8_length(text))
 
 
 def syllables(word: Column) -> Column:
@@ -67,17 +83,42 @@ def syllables(word: Column) -> Column:
     return F.greatest(F.lit(1), F.regexp_count(word, F.lit("[aeiouy]+")) - word.endswith("e").cast("int"))
 
 
-def counted(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the counts that readability needs: n_words, n_sentences, n_syllables, n_complex, n_solid (characters but white space)."""
-    w = df.withColumn("__w", words(F.col(text))).withColumn("__s", F.transform("__w", syllables))
-    return (w.withColumn("n_words", F.size("__w")).withColumn("n_sentences", sentence_count(F.col(text)))
-            .withColumn("n_syllables", F.aggregate("__s", F.lit(0), lambda a, x: a + x)).withColumn("n_complex", F.size(F.filter("__s", lambda x: x >= 3)))
-            .withColumn("n_solid", F.char_length(F.regexp_replace(text, r"\s", ""))).drop("__w", "__s"))
+#: What is counted of a text's words: those of four lists, and different ones of over four characters besides.
+LISTS = {"coordinations": COORDINATING, "subordinations": SUBORDINATING, "negations": NEGATIONS, "conditionals": CONDITIONALS}
+COUNTS = ["n_words", "n_syllables", "n_complex", *LISTS, "concepts"]
+#: Texts whose words are counted at a time.
+TEXTS = 256
+
+
+@F.arrow_udf(reduce(lambda schema, name: schema.add(name, IntegerType()), COUNTS, StructType()))
+def word_counts(words_: pa.Array) -> pa.Array:
+    """COUNTS of lists of words in lower case: each different word is looked at once for a run of texts."""
+    parts = []
+    for low in range(0, len(words_), TEXTS):
+        lists = words_.slice(low, TEXTS)
+        size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+        end, coded = np.cumsum(size), lists.flatten().dictionary_encode()
+        unique, code = coded.dictionary, np.asarray(coded.indices)
+        syllables_ = np.maximum(1, np.asarray(pc.count_substring_regex(unique, "[aeiouy]+")) - np.asarray(pc.ends_with(unique, "e")).astype(int))
+        of = [np.ones(len(unique), int), syllables_, syllables_ >= 3, *[np.asarray(pc.is_in(unique, value_set=pa.array(held, unique.type))) for held in LISTS.values()]]
+        total = [np.concatenate([[0], np.cumsum(f[code], dtype=np.int64)]) for f in of]
+        long_ = (np.asarray(pc.utf8_length(unique)) > 4)[code]
+        pairs = np.unique(np.repeat(np.arange(len(lists)), size)[long_] * len(unique) + code[long_])
+        concepts = np.bincount(pairs // max(1, len(unique)), minlength=len(lists))
+        numbers = [*[t[end] - t[end - size] for t in total], concepts]
+        parts.append(pa.StructArray.from_arrays([pa.array(n.astype(np.int32), mask=np.asarray(pc.is_null(lists))) for n in numbers], names=COUNTS))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([(name, pa.int32()) for name in COUNTS]))
+
+
+def counted(df: DataFrame, text: str = "text", *, held: bool = False) -> DataFrame:
+    """df with the counts that readability needs: n_words, n_sentences, n_syllables, n_complex, n_solid (characters but white space); and with all COUNTS as `__m`, if they are held."""
+    c = df.withColumn("__w", words(F.col(text))).withColumn("__m", word_counts("__w")).withColumns({"n_sentences": sentence_count(text), "n_solid": solid(text)})
+    return c.withColumns({name: F.col("__m")[name] for name in ("n_words", "n_syllables", "n_complex")}).drop("__w", *[] if held else ["__m"])
 
 
-def readability(df: DataFrame, text: str = "text") -> DataFrame:
+def readability(df: DataFrame, text: str = "text", *, held: bool = False) -> DataFrame:
     """df with six readability scores and their mean grade; 0 for a text without words or sentences."""
-    c = counted(df, text)
+    c = counted(df, text, held=held)
     w, s, y, x, n = (F.col(k).cast("double") for k in ("n_words", "n_sentences", "n_syllables", "n_complex", "n_solid"))
     some = (F.col("n_words") > 0) & (F.col("n_sentences") > 0)
     scores = {
@@ -94,17 +135,36 @@ def readability(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def requirements(text: Column) -> Column:
-    """Bodies after requirement ids, else sentences with shall or must, else sentences of over 20 characters."""
+    """Bodies after requirement ids, else sentences with shall or must, else sentences of over 20 characters; each way is tried only where the text holds its words."""
     ident = r"(?:[A-Z]+-)?(?:FR|REQ|NFR)-\d+"
+    none = F.array().cast("array<string>")
     some = lambda a: F.filter(F.transform(a, F.trim), lambda s: s != "")
     marked = some(F.regexp_extract_all(text, F.lit(rf"(?s)(?:^|\n)\s*{ident}\s*[:\-]?\s*(.+?)(?=\n\s*{ident}|\z)"), F.lit(1)))
-    binding = F.filter(some(F.regexp_extract_all(text, F.lit(r"([^.!?\n]++[.!?])"), F.lit(1))), lambda s: (F.char_length(s) > 10) & s.rlike(r"(?i)\b(shall|must)\b"))
+    # a sentence begins after a mark or a line's end: a run without a mark is read once
+    binding = F.filter(some(F.regexp_extract_all(text, F.lit(r"((?<![^.!?\n])[^.!?\n]++[.!?])"), F.lit(1))), lambda s: (F.char_length(s) > 10) & s.rlike(r"(?i)\b(shall|must)\b"))
     plain = F.filter(some(F.split(text, r"[.!?]+\s+")), lambda s: F.char_length(s) > 20)
-    return F.when(F.size(marked) > 0, marked).when(F.size(binding) > 0, binding).otherwise(plain)
+    first = lambda found, otherwise: once(found, lambda a: F.when(F.size(a) > 0, a).otherwise(otherwise))
+    return first(F.when(_any(text, ["FR-", "REQ-"]), marked).otherwise(none), first(F.when(_any(F.lower(text), ["shall", "must"]), binding).otherwise(none), plain))
+
+
+def _any(text: Column, words_: list[str]) -> Column:
+    """Whether the text holds one of the words, also within others; as fast as a text is read, which a pattern of many words is not."""
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words_ if not any(v in w for v in words_ if v != w)])
+
+
+def _literals(pattern: str) -> list[str]:
+    """What every match of the pattern holds; nothing is told of a pattern with alternatives."""
+    bare = re.sub(r"\(\?!.*?\)", "", pattern)
+    return [] if re.search(r"[(|]", bare) else re.sub(r"\\[bsdw][+*]?|\w\?", " ", bare).split()
+
+
+def _lacks(text: Column, pattern: str) -> Column:
+    """Whether the text lacks what every match of the pattern holds, so the pattern needn't be tried."""
+    return reduce(lambda a, b: a | b, [~text.contains(w) for w in _literals(pattern)], F.lit(False))
 
 
 def _count(text: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(p)) for p in patterns])
+    return reduce(lambda a, b: a + b, [F.when(_lacks(text, p), 0).otherwise(F.regexp_count(text, F.lit(p))) for p in patterns])
 
 
 def _held(text: Column, words_: list[str]) -> Column:
@@ -115,23 +175,55 @@ def _of(array: Column, held: list[str]) -> Column:
     return F.size(F.filter(array, lambda w: w.isin(held)))
 
 
-def requirement_flags(r: Column) -> dict[str, Column]:
-    """What each requirement (in lower case) has, as numbers to sum."""
-    action = r"\b(" + "|".join(ACTIONS) + r")(s|es|d|ed|ing)?\b"
-    guard, acts, shown = r.rlike("|".join(CONDITION)), r.rlike(action), r.rlike("|".join(OBSERVABLE))
-    tests = {
-        "atomic": F.size(F.filter(F.split(r, r"\s+"), lambda w: w.isin(COORDINATING))) == 0,
-        "whole": r.rlike(ACTORS) & r.rlike(action + r"[^\n]*?\w{3,}"), "passive": r.rlike(BE) & (r.contains(" by ") | r.rlike(BE + r"\s+\w+(ed|en)\b")),
-        "vague": F.concat(F.lit(" "), r, F.lit(" ")).rlike(" (" + "|".join(PRONOUNS) + ") "),
-        "actor": r.rlike(ACTORS), "action": r.rlike("|".join(ACTIONS)), "object": r.rlike(OBJECTS), "outcome": r.rlike(OUTCOMES), "trigger": r.rlike(TRIGGERS),
-        "guarded": guard, "moves": guard & acts, "complete": guard & acts & shown, "shown": shown,
-    }
-    numbers = {name: F.coalesce(test.cast("int"), F.lit(0)) for name, test in tests.items()}
-    numbers |= {m: F.regexp_count(r, F.lit(f" {m} ")) for m in MODALS}
-    numbers |= {"hard": _count(r, HARD), "soft": _held(r, SOFT), "negative": _count(r, NEGATIVE)}
-    numbers["branches"] = reduce(lambda a, b: a + b, [r.rlike(p).cast("int") for p in CONDITION])
-    numbers["errors"] = reduce(lambda a, b: a + b, [r.rlike(p).cast("int") for p in ERRORS])
-    return numbers
+#: An action in any of its forms.
+ACTION = r"\b(" + "|".join(ACTIONS) + r")(s|es|d|ed|ing)?\b"
+#: Patterns that say whether a requirement (in lower case) has something, and, from `hard` on, whether there is anything to count.
+HAS = {
+    "joined": r"(?:^|\s)(?:" + "|".join(COORDINATING) + r")(?:\s|\z)", "vague": "(?:^| )(?:" + "|".join(PRONOUNS) + r")(?: |\z)", "action": "|".join(ACTIONS), "shown": "|".join(OBSERVABLE),
+    "actor": ACTORS, "object": OBJECTS, "outcome": OUTCOMES, "trigger": TRIGGERS, "acts": ACTION, "reaches": ACTION + r"[^\n]*?\w{3,}", "be": BE, "been": BE + r"\s+\w+(ed|en)\b",
+} | {f"condition{i}": p for i, p in enumerate(CONDITION)} | {
+    "errors": "|".join(ERRORS), "hard": "|".join(HARD), "negative": "|".join(NEGATIVE), "soft": "|".join(SOFT), "modals": " (?:" + "|".join(MODALS) + ") ",
+}
+
+
+def _automaton(pattern: str) -> str:
+    """The pattern for an automaton, which tries all alternatives at once: it finds all that Java's finds, and in ASCII, where no look-ahead is left out, no more.
+
+    Java's white space has a vertical tab, and its borders of words know letters beyond ASCII.
+    """
+    return re.sub(r"\(\?!.*?\)", "", pattern).replace(r"\s", r"[\s\x0B]")
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, requirement), with a bit of __has for each pattern that the automaton finds."""
+    for batch in batches:
+        text, has = batch.column(1), np.zeros(batch.num_rows, np.int64)
+        for i, pattern in enumerate(HAS.values()):
+            has |= np.asarray(pc.match_substring_regex(text, _automaton(pattern))).astype(np.int64) << i
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(has)], names=[*batch.schema.names, "__has"])
+
+
+def requirement_flags(rows: DataFrame) -> DataFrame:
+    """rows (key, __r), with what each requirement __r (in lower case) has as numbers to sum instead of the requirement itself.
+
+    One look at a batch of requirements tells which patterns may hold; Java's, whose borders count, is tried only then and beyond ASCII.
+    """
+    key, kind = rows.columns[0], rows.schema[0].dataType.simpleString()
+    told = rows.mapInArrow(_seen, f"`{key}` {kind}, __r string, __has long")
+    c, bits = F.col("__r"), {name: i for i, name in enumerate(HAS)}
+    may = lambda name: F.col("__has").bitwiseAND(F.lit(1 << bits[name])) != 0
+    ascii_ = F.octet_length(c) == F.char_length(c)
+    has = lambda name: may(name) & ((ascii_ if "(?!" not in HAS[name] else F.lit(False)) | c.rlike(HAS[name]))
+    tests = {x: may(x) for x in ("vague", "action", "shown")} | {x: has(x) for x in ("actor", "object", "outcome", "trigger", "acts")}
+    tests |= {"atomic": ~may("joined"), "reaches": has("reaches"), "passive": (has("be") & c.contains(" by ")) | has("been")}
+    told = told.select(key, "__r", "__has", *[t.alias(name) for name, t in tests.items()], reduce(lambda a, b: a + b, [has(f"condition{i}").cast("int") for i in range(len(CONDITION))]).alias("branches"))
+    guard, acts = F.col("branches") > 0, F.col("acts")
+    given = {x: F.col(x) for x in ("atomic", "passive", "vague", "actor", "action", "object", "outcome", "trigger", "shown")}
+    given |= {"whole": F.col("actor") & F.col("reaches"), "guarded": guard, "moves": guard & acts, "complete": guard & acts & F.col("shown")}
+    some = lambda name, number: F.when(may(name), number).otherwise(0)
+    numbers = {name: test.cast("int") for name, test in given.items()} | {m: some("modals", _count(c, [f" {m} "])) for m in MODALS} | {"branches": F.col("branches")}
+    numbers |= {"errors": some("errors", reduce(lambda a, b: a + b, [c.rlike(p).cast("int") for p in ERRORS])), "hard": some("hard", _count(c, HARD)), "soft": some("soft", _held(c, SOFT)), "negative": some("negative", _count(c, NEGATIVE))}
+    return told.select(key, *[n.alias(name) for name, n in numbers.items()])
 
 
 def metrics(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -140,14 +232,15 @@ def metrics(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     Requirements become rows, are measured by compiled expressions, and are summed by the key (which must be unique); only
     numbers are shuffled.
     """
-    rows = df.select(key, F.explode(requirements(F.col(text))).alias("__r")).withColumn("__r", F.lower("__r"))
-    names = list(requirement_flags(F.col("__r")))
-    sums = rows.select(key, *[c.alias(f"__{n}") for n, c in requirement_flags(F.col("__r")).items()]).groupBy(key).agg(F.count("*").alias("__n"), *[F.sum(f"__{n}").alias(f"__{n}") for n in names])
-    c = readability(df, text).withColumn("__w", words(F.col(text)))
-    held = {"coordination": COORDINATING, "subordination": SUBORDINATING, "negation": NEGATIONS, "conditional": CONDITIONALS}
-    c = c.withColumns({f"__{n}s": _of(F.col("__w"), v) for n, v in held.items()} | {
-        "__concepts": F.size(F.array_distinct(F.filter("__w", lambda x: F.char_length(x) > 4))).cast("double"),
-        "__exempt": F.regexp_count(F.lower(text), F.lit(r"\b(shall|must|should|will)\s+not\b")), "__ids": F.regexp_extract_all(text, F.lit(f"({REQUIREMENT_ID})"), F.lit(1))}).drop("__w")
+    rows = df.select(F.col(key).alias("__key"), F.explode_outer(requirements(F.col(text))).alias("__r")).where("__r is not null").withColumn("__r", F.lower("__r"))
+    flags = requirement_flags(rows)
+    names = [n for n in flags.columns if n != "__key"]
+    sums = flags.groupBy(F.col("__key").alias(key)).agg(F.count("*").alias("__n"), *[F.sum(n).alias(f"__{n}") for n in names])
+    c = readability(df, text, held=True)
+    c = c.withColumns({f"__{n}": F.col("__m")[n] for n in LISTS} | {
+        "__concepts": F.col("__m.concepts").cast("double"),
+        "__exempt": F.when(F.lower(text).contains("not"), F.regexp_count(F.lower(text), F.lit(r"\b(shall|must|should|will)\s+not\b"))).otherwise(0),
+        "__ids": F.when(_any(F.col(text), ["FR-", "REQ-", "AC-", "SC-"]), F.regexp_extract_all(text, F.lit(f"({REQUIREMENT_ID})"), F.lit(1))).otherwise(F.array().cast("array<string>"))}).drop("__m")
     c = c.join(sums, key, "left").fillna(0, subset=["__n", *[f"__{n}" for n in names]])
     n = F.col("__n").cast("double")
     safe = F.greatest(n, F.lit(1.0))
